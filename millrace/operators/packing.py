@@ -27,20 +27,21 @@ def pack_chunks(
     """
     filled = docs.where(F.col(size) > 0)
     placed = running_offset(filled, order, weight=F.col(size), by=[shard], out="__start")
-    end = F.col("__start") + F.col(size)
     lit = F.lit(chunk_size).cast("bigint")
-
-    def piece(c: Column) -> Column:
-        begin = F.greatest(c * lit, F.col("__start"))
-        stop = F.least((c + 1) * lit, end)
-        at, n = (begin - F.col("__start") + 1).cast("int"), (stop - begin).cast("int")
-        return F.struct(
-            c.alias("chunk"), begin.alias("begin"), *[F.slice(F.col(a), at, n).alias(a) for a in arrays]
-        )
-
-    chunks = F.sequence(F.floor(F.col("__start") / lit), F.floor((end - 1) / lit))
-    pieces = placed.select(F.col(shard).alias("shard_id"), F.explode(F.transform(chunks, piece)).alias("p")).select(
-        "shard_id", "p.*"
+    end = F.col("__start") + F.col(size)
+    crossed = placed.withColumn("__end", end).select(
+        F.col(shard).alias("shard_id"),
+        "__start",
+        "__end",
+        *arrays,
+        F.explode(F.sequence(F.floor(F.col("__start") / lit), F.floor((F.col("__end") - 1) / lit))).alias("chunk"),
+    )
+    # a projection of its own: there the slices are compiled and touch only what they keep
+    begin = F.greatest(F.col("chunk") * lit, F.col("__start"))
+    stop = F.least((F.col("chunk") + 1) * lit, F.col("__end"))
+    at, n = (begin - F.col("__start") + 1).cast("int"), (stop - begin).cast("int")
+    pieces = crossed.select(
+        "shard_id", "chunk", begin.alias("begin"), *[F.slice(F.col(a), at, n).alias(a) for a in arrays]
     )
     merged = pieces.groupBy("shard_id", "chunk").agg(
         F.array_sort(F.collect_list(F.struct("begin", *arrays))).alias("pieces")  # begin is unique

@@ -50,12 +50,12 @@ class Vocabulary:
     @classmethod
     def from_table(cls, table: DataFrame) -> Vocabulary:
         """From (token, token_id) rows with dense ids after the reserved ones."""
-        rows = table.select("token", "token_id").limit(MAX_VOCAB + 1).collect()
-        rows.sort(key=lambda r: r["token_id"])
-        expected = range(len(RESERVED), len(RESERVED) + len(rows))
-        if [r["token_id"] for r in rows] != list(expected):
-            raise ValueError("ids must be dense after the reserved ones")
-        return cls(table.sparkSession, [r["token"] for r in rows])
+        ranked = table.select("token", "token_id").where(F.col("token_id") < MAX_VOCAB).toArrow()
+        ranked = ranked.sort_by("token_id")
+        ids = ranked["token_id"].to_pylist()
+        if ids != list(range(len(RESERVED), len(RESERVED) + len(ids))):
+            raise ValueError("ids must be unique and dense after the reserved ones")
+        return cls(table.sparkSession, ranked["token"].to_pylist())
 
     @classmethod
     def of(cls, texts: DataFrame, text: str = "text", size: int = VOCAB_SIZE) -> Vocabulary:
