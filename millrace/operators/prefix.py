@@ -83,3 +83,60 @@ def hashed_position(
     )
     placed = running_offset(tagged, "__h", by=by, ties=["__md5", *ties], out=out, shifts=HASH_KEY)
     return placed.drop("__md5", "__h")
+
+
+def running_minimum(
+    df: DataFrame, key: str, value: str, by: Sequence[str] = (), out: str = "running_min", shifts: Sequence[int] = INTEGER_KEY
+) -> DataFrame:
+    """Add the inclusive running minimum of ``value`` in order of a unique integer key.
+
+    Minima of key ranges are passed on in the same way as the totals of ``running_offset``.
+    """
+    by = list(by)
+    node = [f"__node{i}" for i in range(len(shifts))]
+    tagged = df
+    for name, bits in zip(node, shifts):
+        tagged = tagged.withColumn(name, F.shiftright(F.col(key), bits))
+
+    def window(part: list[str], order: str, last: int):
+        return Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, last)
+
+    local = tagged.withColumn(out, F.min(value).over(window([*by, node[0]], key, 0))).drop(*node[1:])
+    level = tagged.groupBy(*by, *node).agg(F.min(value).alias("__m"))
+    before = None
+    for i in range(len(node)):
+        parents = node[i + 1 :]
+        earlier = level.withColumn("__e", F.min("__m").over(window([*by, *parents[:1]], node[i], -1)))
+        if before is None:
+            before = earlier.select(*by, *node, F.col("__e").alias("__before"))
+        else:
+            before = before.join(earlier.select(*by, node[i], "__e"), [*by, node[i]]).withColumn(
+                "__before", F.least("__before", "__e")
+            ).drop("__e")
+        if parents:
+            level = level.groupBy(*by, *parents).agg(F.min("__m").alias("__m"))
+    return (
+        local.join(before.select(*by, node[0], "__before"), [*by, node[0]])
+        .withColumn(out, F.least(out, "__before"))
+        .select(*df.columns, out)
+    )
+
+
+def trailing_blocks(df: DataFrame, position: str, size: int, block: int = 1 << 14) -> DataFrame:
+    """Rows in blocks of positions, each block led by the ``size - 1`` rows before it.
+
+    Adds ``__block`` and ``__context``. A frame of the last ``size`` rows can then be taken per
+    block, in parallel, and the context rows dropped: exact, however long the sequence is.
+    """
+    if size > block:
+        raise ValueError("the frame is longer than a block")
+    home = F.floor(F.col(position) / block).cast("bigint")
+    own = F.struct(home.alias("block"), F.lit(False).alias("context"))
+    ahead = F.struct((home + 1).alias("block"), F.lit(True).alias("context"))
+    reaches = F.col(position) % block > block - size
+    return (
+        df.withColumn("__b", F.explode(F.when(reaches, F.array(own, ahead)).otherwise(F.array(own))))
+        .withColumn("__block", F.col("__b.block"))
+        .withColumn("__context", F.col("__b.context"))
+        .drop("__b")
+    )

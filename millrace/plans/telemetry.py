@@ -1 +1,201 @@
-"""Queries."""
+"""Queries over run metrics: events stand for steps, order lines for preference pairs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from millrace.functions import arrays as A
+from millrace.operators import quality, telemetry as T
+from millrace.plans.chat import PAIR_LEN, SQL_PAIR_TOKENS, _chat_rows, _encoded_pairs, _sides
+from millrace.plans.registry import query, table
+from millrace.plans.shared import CHAT_LEN, SQL_CHAT_FIT
+from millrace.session import fresh_path
+from millrace.streaming.telemetry_stream import metrics_stream, run_to_table
+
+WINDOW = 20
+FACTOR, WARMUP, INTERVAL = 60.0, 50, 7
+ORIGIN = "2024-01-01 00:00:00"
+
+
+def _as_steps(events: DataFrame) -> DataFrame:
+    # the column has no time zone, so the seconds are put together from its fields
+    whole = F.datediff(F.to_date("ts"), F.to_date(F.lit(ORIGIN[:10]))).cast("bigint") * 86400
+    whole = whole + F.hour("ts") * 3600 + F.minute("ts") * 60
+    micros = whole * 1_000_000 + (F.date_part(F.lit("SECOND"), "ts") * 1_000_000).cast("bigint")
+    start = micros / F.lit(1e6)
+    return events.select(
+        (F.col("user_id") % 4).alias("rank"),
+        (F.col("event_id") + 1).alias("step"),
+        start.alias("start_s"),
+        (start + 0.5).alias("check_s"),
+        (F.col("user_id") + 100).alias("tokens"),
+        F.coalesce("value", F.lit(0.0)).alias("loss"),
+        (F.col("event_type") == "error").alias("reset"),
+    )
+
+
+def _steps(spark: SparkSession, sf: str) -> DataFrame:
+    return _as_steps(table(spark, sf, "events"))
+
+
+SQL_STEPS = f"""
+steps AS (SELECT user_id % 4 AS rank, event_id + 1 AS step, (epoch_us(ts) - epoch_us(TIMESTAMP '{ORIGIN}')) / 1e6 AS start_s,
+                 (epoch_us(ts) - epoch_us(TIMESTAMP '{ORIGIN}')) / 1e6 + 0.5 AS check_s, user_id + 100 AS tokens,
+                 coalesce(value, 0.0) AS loss, event_type = 'error' AS reset FROM events)"""
+
+SQL_RATES = f"""{SQL_STEPS},
+seg AS (SELECT *, coalesce(sum(CAST(reset AS INTEGER)) OVER (PARTITION BY rank ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS segment,
+               row_number() OVER (PARTITION BY rank ORDER BY step) AS rn FROM steps),
+win AS (SELECT rank, step, check_s, first(start_s) OVER w AS first_s, sum(tokens) OVER w AS tk, count(*) OVER w AS bt FROM seg WHERE rn > 1
+        WINDOW w AS (PARTITION BY rank, segment ORDER BY step ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW)),
+rates AS (SELECT seg.rank, seg.step, CAST(tk AS BIGINT) AS window_tokens, bt AS window_batches, round(tk / (win.check_s - first_s), 6) AS tokens_per_second,
+                 round(bt / (win.check_s - first_s), 6) AS batches_per_second FROM seg LEFT JOIN win USING (rank, step))"""
+
+
+@query("sliding_throughput", f"WITH {SQL_RATES} SELECT * FROM rates")
+def sliding_throughput(spark, sf):
+    rated = T.sliding_throughput(_steps(spark, sf), WINDOW)
+    return rated.select(
+        "rank", "step", "window_tokens", "window_batches",
+        F.round("tokens_per_second", 6).alias("tokens_per_second"),
+        F.round("batches_per_second", 6).alias("batches_per_second"),
+    )
+
+
+SQL_MIN = f"{SQL_STEPS}, low AS (SELECT *, min(loss) OVER (PARTITION BY rank ORDER BY step) AS min_loss FROM steps)"
+
+
+@query("running_min_loss", f"WITH {SQL_MIN} SELECT rank, step, loss, min_loss, round(exp(loss / 100), 9) AS perplexity FROM low")
+def running_min_loss(spark, sf):
+    low = T.running_min_loss(_steps(spark, sf))
+    return low.select("rank", "step", "loss", "min_loss", F.round(F.pow("perplexity", F.lit(0.01)), 9).alias("perplexity"))
+
+
+LIMIT, EXTRA = 600_000.0, 10
+
+SQL_STOP = f"""{SQL_MIN},
+hit AS (SELECT rank, step, CASE WHEN rank = 3 AND check_s >= {LIMIT} THEN 'time limit reached'
+               WHEN step > {WARMUP} AND loss > {FACTOR} * min_loss THEN 'early stopping from loss increase' END AS reason FROM low WHERE step % {INTERVAL} = 0)"""
+
+
+@query("early_stop", f"""WITH {SQL_STOP}
+SELECT rank, min(step) AS stop_step, arg_min(reason, step) AS reason,
+       min(step) + CASE WHEN arg_min(reason, step) = 'time limit reached' THEN {EXTRA} ELSE 0 END AS stop_at
+FROM hit WHERE reason IS NOT NULL GROUP BY rank""")
+def early_stop(spark, sf):
+    # only rank 3 has a clock that can run out here
+    steps = _steps(spark, sf).withColumn("elapsed_s", F.when(F.col("rank") == 3, F.col("check_s")))
+    return T.early_stop(steps, FACTOR, WARMUP, INTERVAL, LIMIT, EXTRA)
+
+
+@query("masked_instances", """
+SELECT event_id // 16 AS step, user_id % 4 AS rank, count(*) FILTER (NOT coalesce(value, 0) > 5) AS masked_instances FROM events GROUP BY ALL""")
+def masked_instances(spark, sf):
+    rows = table(spark, sf, "events").select(
+        F.floor(F.col("event_id") / 16).cast("bigint").alias("step"), (F.col("user_id") % 4).alias("rank"),
+        (F.coalesce("value", F.lit(0.0)) > 5).alias("instance_mask"),
+    )
+    return T.masked_instances(rows)
+
+
+@query("label_normalised_loss", f"""WITH {SQL_CHAT_FIT},
+tl AS (SELECT conv_id, p, lab, CASE WHEN lab AND p >= 1 THEN CAST('0x' || substr(md5(conv_id || ':' || p), 1, 4) AS BIGINT) / 65536.0 ELSE 0 END AS loss FROM fit),
+r AS (SELECT conv_id // 8 AS step, conv_id % 4 AS rank, sum(loss) AS s, count(*) FILTER (lab) AS labels, count(*) AS tokens FROM tl GROUP BY ALL)
+SELECT step, round(sum(CASE WHEN labels > 0 THEN s / labels END) / count(*), 9) AS by_labels, round(avg(s / tokens), 9) AS by_tokens FROM r GROUP BY step""")
+def label_normalised_loss(spark, sf):
+    rows = _chat_rows(spark, sf)
+
+    def token_loss(p):
+        key = F.md5(F.concat_ws(":", F.col("conv_id").cast("string"), p.cast("string")))
+        return F.conv(F.substring(key, 1, 4), 16, 10).cast("bigint") / F.lit(65536.0)
+
+    tokens = rows.select("conv_id", "n_labels", F.posexplode("label_mask").alias("p", "lab"))
+    sums = tokens.groupBy("conv_id").agg(
+        F.sum(F.when(F.col("lab") & (F.col("p") >= 1), token_loss(F.col("p"))).otherwise(0.0)).alias("loss_sum"),
+        F.max("n_labels").alias("n_labels"),
+        F.count(F.lit(1)).alias("n_tokens"),
+    )
+    instances = sums.withColumn("step", F.floor(F.col("conv_id") / 8).cast("bigint")).withColumn("rank", F.col("conv_id") % 4)
+    labels = T.label_normalised_loss(instances, True).select("step", F.round("loss", 9).alias("by_labels"))
+    every = T.label_normalised_loss(instances, False).select("step", F.round("loss", 9).alias("by_tokens"))
+    return labels.join(every, "step")
+
+
+@query("metric_window_mean", """
+WITH m AS (SELECT event_id // 4 AS micro, unnest(['loss', 'margin']) AS name, unnest([coalesce(value, 0), coalesce(value, 0) / 2]) AS value FROM events)
+SELECT micro // 10 AS "window", (micro // 10 + 1) * 5 AS training_step, name, round(sum(value) / 4 / 10, 9) AS value
+FROM m GROUP BY micro // 10, name HAVING count(*) = 40""")
+def metric_window_mean(spark, sf):
+    value = F.coalesce("value", F.lit(0.0))
+    both = F.array(
+        F.struct(F.lit("loss").alias("name"), value.alias("value")),
+        F.struct(F.lit("margin").alias("name"), (value / 2).alias("value")),
+    )
+    metrics = table(spark, sf, "events").select(
+        F.floor(F.col("event_id") / 4).cast("bigint").alias("micro_step"), (F.col("event_id") % 4).alias("rank"), F.inline(both)
+    )
+    return T.metric_window_mean(metrics, accumulation=2, logging_steps=5, world=4).withColumn("value", F.round("value", 9))
+
+
+@query("pair_logp", f"""WITH {SQL_PAIR_TOKENS},
+t AS (SELECT pair_id, side, -(CAST('0x' || substr(md5(pair_id || ':' || side || ':' || p), 1, 4) AS BIGINT) / 65536.0) AS logprob FROM cut WHERE lab <> -100)
+SELECT pair_id, side, round(sum(logprob), 9) AS logp, round(avg(logprob), 9) AS mean_logp FROM t GROUP BY pair_id, side""")
+def pair_logp(spark, sf):
+    tokens = _sides(_encoded_pairs(spark, sf)).select("pair_id", "side", F.posexplode("labels").alias("p", "label"))
+    key = F.md5(F.concat_ws(":", F.col("pair_id").cast("string"), "side", F.col("p").cast("string")))
+    logprob = -(F.conv(F.substring(key, 1, 4), 16, 10).cast("bigint") / F.lit(65536.0))
+    labelled = tokens.where(F.col("label") != A.IGNORED).withColumn("logprob", logprob)
+    total = T.pair_logp(labelled, "dpo").select("pair_id", "side", F.round("logp", 9).alias("logp"))
+    mean = T.pair_logp(labelled, "simpo").select("pair_id", "side", F.round("logp", 9).alias("mean_logp"))
+    return total.join(mean, ["pair_id", "side"])
+
+
+@query("preference_rewards", """
+WITH p AS (SELECT l_orderkey % 50 AS batch_id, -l_extendedprice / 1000 AS pc, -l_quantity AS pr, -l_partkey / 100.0 AS rc, -l_suppkey / 10.0 AS rr FROM lineitem),
+m AS (SELECT batch_id, avg(0.1 * (pc - rc)) AS c, avg(0.1 * (pr - rr)) AS r, avg(CASE WHEN 0.1 * (pc - rc) > 0.1 * (pr - rr) THEN 1.0 ELSE 0.0 END) AS pa, avg(pc) AS lc, avg(pr) AS lr FROM p GROUP BY batch_id)
+SELECT batch_id, round(c, 6) AS chosen, round(r, 6) AS rejected, round((c + r) / 2, 6) AS average, round(c - r, 6) AS margin,
+       CASE WHEN c > r THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS accuracy, round(pa, 6) AS pair_accuracy, round(lc, 6) AS logps_chosen, round(lr, 6) AS logps_rejected FROM m""")
+def preference_rewards(spark, sf):
+    pairs = table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") % 50).alias("batch_id"),
+        (-F.col("l_extendedprice") / 1000).alias("policy_chosen"),
+        (-F.col("l_quantity")).alias("policy_rejected"),
+        (-F.col("l_partkey") / F.lit(100.0)).alias("ref_chosen"),
+        (-F.col("l_suppkey") / F.lit(10.0)).alias("ref_rejected"),
+    )
+    rewards = T.preference_rewards(pairs, beta=0.1)
+    return rewards.select("batch_id", "accuracy", *[F.round(c, 6).alias(c) for c in rewards.columns if c not in ("batch_id", "accuracy")])
+
+
+@query("rank_reduce", """
+WITH r AS (SELECT event_id // 16 AS step, user_id % 4 AS rank, avg(coalesce(value, 0)) AS loss FROM events GROUP BY ALL)
+SELECT step, round(sum(loss) / count(*), 9) AS loss FROM r GROUP BY step""")
+def rank_reduce(spark, sf):
+    per_rank = table(spark, sf, "events").groupBy(
+        F.floor(F.col("event_id") / 16).cast("bigint").alias("step"), (F.col("user_id") % 4).alias("rank")
+    ).agg(F.avg(F.coalesce("value", F.lit(0.0))).alias("loss"))
+    return T.rank_reduce(per_rank, "loss").withColumn("loss", F.round("loss", 9))
+
+
+@query("log_every_n", "SELECT event_id AS step, value FROM events WHERE event_id % 10 = 0 OR event_id % 25 = 0")
+def log_every_n(spark, sf):
+    steps = table(spark, sf, "events").select(F.col("event_id").alias("step"), "value")
+    return quality.log_every_n(steps, 10, 25)
+
+
+@query("stream_run_metrics", f"""WITH {SQL_RATES}, low AS (SELECT *, min(loss) OVER (PARTITION BY rank ORDER BY step) AS min_loss FROM steps),
+fire AS (SELECT rank, min(step) AS step FROM low WHERE step % {INTERVAL} = 0 AND step > {WARMUP} AND loss > {FACTOR} * min_loss GROUP BY rank)
+SELECT r.rank, r.step, coalesce(window_tokens, 0) AS window_tokens, coalesce(window_batches, 0) AS window_batches, tokens_per_second, batches_per_second,
+       low.min_loss, CASE WHEN fire.step IS NULL THEN 0 ELSE 1 END AS stop
+FROM rates r JOIN low USING (rank, step) LEFT JOIN fire ON fire.rank = r.rank AND fire.step = r.step""")
+def stream_run_metrics(spark, sf):
+    schema = table(spark, sf, "events").schema
+    feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/events*.parquet")
+    stream = metrics_stream(_as_steps(feed), WINDOW, FACTOR, WARMUP, INTERVAL)
+    out = run_to_table(spark, stream, fresh_path(spark, "metrics"), fresh_path(spark, "metrics-log"))
+    return out.select(
+        "rank", "step", "window_tokens", "window_batches",
+        F.round("tokens_per_second", 6).alias("tokens_per_second"),
+        F.round("batches_per_second", 6).alias("batches_per_second"),
+        "min_loss", F.col("stop").cast("int").alias("stop"),
+    )
