@@ -118,16 +118,30 @@ def messages_to_text(messages: Column) -> Column:
     return F.array_join(F.transform(messages, lambda m: F.concat(strip(m["content"]), F.lit("\n"))), "")
 
 
-def turns_to_messages(turns: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
-    """Long turns to one record per conversation, messages in turn order."""
-    ordered = F.array_sort(F.collect_list(F.struct(order, "role", F.col("text").alias("content"))))
-    messages = F.transform(ordered, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
-    return turns.groupBy(key).agg(messages.alias("messages"))
+PART_TURNS = 4096  # turns of a conversation that are put together in one row
 
 
-def passthrough_messages(df: DataFrame, dataset: str, key: str) -> DataFrame:
-    """Messages as they are, tagged with the dataset and a dense id."""
-    return assign_ids(df, dataset, key).withColumn("dataset", F.lit(dataset))
+def join_turns(turns: DataFrame, piece: Column, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """(key, part, text): the pieces of a conversation's turns, joined in order.
+
+    A conversation is one part unless it has more than PART_TURNS turns; then its parts follow
+    each other. So no group is unbounded, and joining the parts gives the whole text.
+    """
+    part = F.floor(F.greatest(F.col(order), F.lit(0)) / PART_TURNS).cast("bigint")
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), piece.alias("piece"))))
+    return turns.groupBy(key, part.alias("part")).agg(F.array_join(ordered["piece"], "").alias("text"))
+
+
+def turns_to_text(turns: DataFrame, key: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
+    """The same as ``messages_to_text`` for turns in long form."""
+    return join_turns(turns, F.concat(strip(F.col(text)), F.lit("\n")), key, order)
+
+
+def passthrough_messages(turns: DataFrame, dataset: str, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """Turns as they are, tagged with the dataset, a dense conversation id and a dense place."""
+    ids = assign_ids(turns.select(key).distinct(), dataset, key)
+    placed = dense_position(turns, order, by=[key], out="pos")
+    return placed.join(ids, key).withColumn("dataset", F.lit(dataset))
 
 
 def prune_columns(df: DataFrame, keep: Sequence[str]) -> DataFrame:

@@ -25,23 +25,18 @@ def epoch_orders(instances: DataFrame, seed: int, epochs: int, key: str = "insta
     return placed.withColumn("epoch", F.col("epoch").cast("bigint"))
 
 
-def _size(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("__n"))  # one row
-
-
 def even_world(order: DataFrame, world: int, drop_last: bool) -> DataFrame:
     """Make the order a multiple of ``world``: cut it, or repeat it from its start."""
-    sized = order.crossJoin(F.broadcast(_size(order)))
-    n = F.col("__n")
+    n = order.agg(F.count(F.lit(1))).scalar()
     if drop_last:
-        return sized.where(F.col("position") < n - n % world).drop("__n")
+        return order.where(F.col("position") < n - n % world)
     total = F.ceil(n / world) * world
     # how many laps a position takes part in: the first, and every later one that reaches it
     laps = F.floor((total - F.col("position") - 1) / n)
     return (
-        sized.withColumn("__lap", F.explode(F.sequence(F.lit(0).cast("bigint"), laps)))
+        order.withColumn("__lap", F.explode(F.sequence(F.lit(0).cast("bigint"), laps)))
         .withColumn("position", (F.col("position") + F.col("__lap") * n).cast("bigint"))
-        .drop("__lap", "__n")
+        .drop("__lap")
     )
 
 

@@ -77,30 +77,17 @@ def locate_instance(requests: DataFrame, manifest: DataFrame, index: str = "inde
     as there are files, each file is listed under the buckets it overlaps (at most two per
     file on average), and a request looks into one bucket only.
     """
-    stats = manifest.agg(
-        F.coalesce(F.max("end"), F.lit(0)).alias("__total"),
-        F.greatest(F.ceil(F.max("end") / F.count(F.lit(1))), F.lit(1)).alias("__width"),
-    )  # one row
-    sized = F.broadcast(stats)
-    files = (
-        manifest.where(F.col("end") > F.col("start"))
-        .crossJoin(sized)
-        .select(
-            "path",
-            "start",
-            "end",
-            F.explode(
-                F.sequence(F.floor(F.col("start") / F.col("__width")), F.floor((F.col("end") - 1) / F.col("__width")))
-            ).alias("__bucket"),
-        )
-    )
-    at = F.when(F.col(index) < 0, F.col(index) + F.col("__total")).otherwise(F.col(index))
-    wanted = requests.crossJoin(sized).withColumn("__pos", at)
+    total = manifest.agg(F.coalesce(F.max("end"), F.lit(0))).scalar()
+    width = manifest.agg(F.greatest(F.ceil(F.max("end") / F.count(F.lit(1))), F.lit(1))).scalar()
+    buckets = F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))
+    files = manifest.where(F.col("end") > F.col("start")).select("path", "start", "end", F.explode(buckets).alias("__bucket"))
+    at = F.when(F.col(index) < 0, F.col(index) + total).otherwise(F.col(index))
+    wanted = requests.withColumn("__pos", at)
     if strict:
-        inside = (F.col("__pos") >= 0) & (F.col("__pos") < F.col("__total"))
+        inside = (F.col("__pos") >= 0) & (F.col("__pos") < total)
         message = F.concat(F.col(index).cast("string"), F.lit(" is out of bounds"))
         wanted = wanted.withColumn("__pos", F.when(inside, F.col("__pos")).otherwise(F.raise_error(message).cast("bigint")))
-    wanted = wanted.withColumn("__bucket", F.floor(F.col("__pos") / F.col("__width")))
+    wanted = wanted.withColumn("__bucket", F.floor(F.col("__pos") / width))
     return (
         wanted.join(files, "__bucket")
         .where((F.col("start") <= F.col("__pos")) & (F.col("__pos") < F.col("end")))
@@ -114,8 +101,8 @@ def concat_manifests(first: DataFrame, second: DataFrame) -> DataFrame:
 
     Masks and settings of both are kept; they live in the chunk rows themselves.
     """
-    last = first.agg((F.coalesce(F.max("ordinal"), F.lit(-1)) + 1).alias("__shift"))  # one row
-    moved = second.crossJoin(F.broadcast(last)).withColumn("ordinal", F.col("ordinal") + F.col("__shift"))
+    shift = first.agg(F.coalesce(F.max("ordinal"), F.lit(-1)) + 1).scalar()
+    moved = second.withColumn("ordinal", F.col("ordinal") + shift)
     keep = ["path", "ordinal", "n_chunks"]
     return chunk_offsets(first.select(*keep).unionByName(moved.select(*keep)))
 

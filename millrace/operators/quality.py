@@ -55,9 +55,10 @@ def select_unsolved(cases: DataFrame, clear: list[str], rework: bool = False) ->
     return out
 
 
-def select_usable_cases(cases: DataFrame, excluded: DataFrame, key: str = "case_id") -> DataFrame:
+def select_usable_cases(cases: DataFrame, excluded: DataFrame, candidates: DataFrame, key: str = "case_id") -> DataFrame:
     """Cases that are not excluded and have a candidate."""
-    return cases.join(excluded.select(key), key, "left_anti").where(F.size("candidate_programs") > 0)
+    usable = cases.join(excluded.select(key), key, "left_anti")
+    return usable.join(candidates.select(key).distinct(), key, "left_semi")
 
 
 def is_dead_loop(program: Column) -> Column:

@@ -231,9 +231,16 @@ def build_calls(cases: DataFrame, case: str = "case_id") -> DataFrame:
     )
 
 
-def drop_dead_loops(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(calls that may run, number of the others)."""
-    return calls.where(~F.col("dead_loop")), calls.agg(F.count(F.when(F.col("dead_loop"), 1)).alias("n_dead_loops"))
+def drop_dead_loops(calls: DataFrame) -> DataFrame:
+    """Calls that may run."""
+    return calls.where(~F.col("dead_loop"))
+
+
+def dead_loop_counts(calls: DataFrame) -> DataFrame:
+    """(n_calls, n_dead_loops): calls that may run, and the others, once per parameter set."""
+    return calls.agg(
+        F.count(F.when(~F.col("dead_loop"), 1)).alias("n_calls"), F.count(F.when(F.col("dead_loop"), 1)).alias("n_dead_loops")
+    )
 
 
 # --- variants --------------------------------------------------------------------------
@@ -261,6 +268,18 @@ def align_variants(cases: DataFrame, fields: Sequence[str], case: str = "case_id
     return rows.select(case, F.col("slot").cast("bigint").alias("slot"), *[F.col("v")[f].alias(f) for f in fields])
 
 
+def align_slots(*parts: DataFrame, keys: Sequence[str] = ("case_id", "slot")) -> DataFrame:
+    """The same for parts in long form: slots that all parts have.
+
+    All joins share their keys, so every part is shuffled once, and a case of any size is
+    spread over its slots.
+    """
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, list(keys))
+    return out
+
+
 def _equal_whole(prediction: Column, answer: Column) -> Column:
     return F.coalesce(truncated(prediction) == truncated(to_float(answer)), F.lit(False))
 
@@ -278,17 +297,21 @@ def generation_quota(accepted: DataFrame, cases: DataFrame, quota: int = QUOTA,
     return joined.select(case, n.alias("n_accepted"), (n >= quota).alias("complete"))
 
 
-def select_retries(cases: DataFrame, case: str = "case_id") -> DataFrame:
-    """(case, slot, question) still to be answered.
+def select_retries(
+    questions: DataFrame, predictions: DataFrame, answers: DataFrame, keys: Sequence[str] = ("case_id", "slot")
+) -> DataFrame:
+    """(case_id, slot, question) still to be answered.
 
-    A case without predictions compares a stand-in text, whose last number is 0, so an
+    A case without any prediction compares a stand-in text, whose last number is 0, so an
     answer of 0 counts as right. Predictions of an earlier round are compared as they are.
     """
-    stand_in = F.transform("new_questions", lambda q: F.lit(NO_PREDICTION))
-    filled = cases.withColumn("new_prediction", F.coalesce("new_prediction", stand_in))
-    rows = align_variants(filled, ["new_questions", "new_prediction", "new_answers"], case)
-    right = _equal_whole(last_number("new_prediction", NO_NUMBER), F.col("new_answers"))
-    return rows.where(~right).select(case, "slot", F.col("new_questions").alias("question"))
+    case = keys[0]
+    answered = predictions.select(case).distinct().withColumn("__has", F.lit(True))
+    aligned = questions.join(answers, list(keys)).join(predictions, list(keys), "left").join(answered, case, "left")
+    paired = aligned.where(F.col("new_prediction").isNotNull() | F.col("__has").isNull())
+    said = F.coalesce("new_prediction", F.lit(NO_PREDICTION))
+    right = _equal_whole(last_number(said, NO_NUMBER), F.col("new_answer"))
+    return paired.where(~right).select(*keys, F.col("new_question").alias("question"))
 
 
 def majority_answer(answers: DataFrame, case: str = "case_id", pos: str = "pos") -> DataFrame:

@@ -9,7 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from millrace.functions import arrays as A
-from millrace.functions.text import strip, words
+from millrace.functions.text import words
+from millrace.operators.normalize import PART_TURNS, join_turns
 
 # Reserved ids and the vocabulary size that 16-bit ids were chosen for.
 EOS, PAD, UNK, NEWLINE = 0, 1, 2, 3
@@ -158,7 +159,8 @@ def chat_encode(
 ) -> DataFrame:
     """(key, input_ids, label_mask) per conversation, starting with an unlabelled eos.
 
-    With ``seq_len`` only turns that can reach into the first ``seq_len`` tokens are taken: a
+    Without ``seq_len`` a conversation of very many turns comes in several parts (see
+    ``join_turns``). With ``seq_len`` only turns that can reach into the first ``seq_len`` tokens are taken: a
     turn is at least three tokens, so later ones than seq_len/3 cannot. That bounds the rows
     of a conversation before they are collected, however many turns it has.
     """
@@ -166,15 +168,38 @@ def chat_encode(
         place = F.row_number().over(Window.partitionBy(key).orderBy(order))
         turns = turns.withColumn("__place", place).where(F.col("__place") <= seq_len // 3 + 1).drop("__place")
     encoded = encode_turns(turns, vocab, role, text)
-    ordered = F.array_sort(F.collect_list(F.struct(order, "ids", "mask")))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "ids", "mask")))
+    if seq_len is None:
+        # the start is a turn of its own, before all others
+        start = turns.select(key).distinct().select(
+            key,
+            F.lit(-1).cast(turns.schema[order].dataType).alias(order),
+            F.array(F.lit(EOS)).alias("ids"),
+            F.array(F.lit(False)).alias("mask"),
+        )
+        pieces = encoded.select(key, order, "ids", "mask").unionByName(start)
+        part = F.floor(F.greatest(F.col(order), F.lit(0)) / PART_TURNS).cast("bigint").alias("part")
+        joined = pieces.groupBy(key, part).agg(ordered.alias("turns"))
+        return joined.select(
+            key,
+            "part",
+            F.flatten(F.col("turns.ids")).alias("input_ids"),
+            F.flatten(F.col("turns.mask")).alias("label_mask"),
+        )
     joined = encoded.groupBy(key).agg(ordered.alias("turns"))
     return joined.select(
         key,
-        F.concat(F.array(F.lit(EOS)), F.flatten(F.transform("turns", lambda t: t["ids"]))).alias("input_ids"),
-        F.concat(F.array(F.lit(False)), F.flatten(F.transform("turns", lambda t: t["mask"]))).alias("label_mask"),
+        F.concat(F.array(F.lit(EOS)), F.flatten(F.col("turns.ids"))).alias("input_ids"),
+        F.concat(F.array(F.lit(False)), F.flatten(F.col("turns.mask"))).alias("label_mask"),
     )
 
 
+def chat_lengths(turns: DataFrame, vocab: Vocabulary, key: str = "conv_id", role: str = "role", text: str = "text") -> DataFrame:
+    """(key, n_full): tokens of each whole conversation, summed without putting it together."""
+    sizes = encode_turns(turns, vocab, role, text).select(key, F.size("ids").alias("n"))
+    return sizes.groupBy(key).agg((F.sum("n") + 1).cast("bigint").alias("n_full"))
+
+
 def fit_to_length(df: DataFrame, seq_len: int = SEQ_LEN) -> DataFrame:
     """Cut on the right, then fill ids with pad and the mask with false; count labels."""
     ids = A.pad(A.truncate(F.col("input_ids"), seq_len), seq_len, F.lit(PAD))
@@ -253,19 +278,33 @@ def encode_preferences(
     return out.select(key, *names)
 
 
+def prompt_line(role: Column, content: Column) -> Column:
+    """A turn of a prompt: role line and message, or an open role line."""
+    head = F.concat(F.lit("<|"), role, F.lit("|>\n"))
+    empty = F.coalesce(F.length(content), F.lit(0)) == 0
+    return F.when(empty, head).otherwise(F.concat(head, content, F.lit("\n")))
+
+
+def render_turns(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """(key, part, text): prompts of long-form turns whose final reply is left to the model."""
+    last = turns.groupBy(key).agg(F.max(order).alias("__last"))
+    open_end = (F.col(order) == F.col("__last")) & (F.col(role) == "assistant")
+    lines = turns.join(last, key).withColumn(
+        "__line", prompt_line(F.col(role), F.when(open_end, F.lit("")).otherwise(F.col(text)))
+    )
+    start = turns.select(key).distinct().select(
+        key, F.lit(-1).cast(turns.schema[order].dataType).alias(order), F.lit(RESERVED[EOS]).alias("__line")
+    )
+    pieces = lines.select(key, order, "__line").unionByName(start)
+    return join_turns(pieces, F.col("__line"), key, order)
+
+
 def render_chat_prompt(messages: Column, system: Column | None = None) -> Column:
     """Prompt text: an end marker, then role and message lines.
 
     An absent or empty message leaves its role line open, for the model to complete.
     """
-    def line(m: Column) -> Column:
-        marker = F.concat(F.lit("<|"), m["role"], F.lit("|>"))
-        empty = F.coalesce(F.length(m["content"]), F.lit(0)) == 0
-        return F.when(empty, F.concat(marker, F.lit("\n"))).otherwise(
-            F.concat(marker, F.lit("\n"), m["content"], F.lit("\n"))
-        )
-
-    body = F.array_join(F.transform(messages, line), "")
+    body = F.array_join(F.transform(messages, lambda m: prompt_line(m["role"], m["content"])), "")
     start = F.lit(RESERVED[EOS])
     if system is not None:
         filled = F.coalesce(F.length(system), F.lit(0)) > 0

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from millrace.functions import arrays as A
 from millrace.functions.hashing import seeded_md5
-from millrace.functions.text import last_token, strip
 from millrace.operators import ordering, quality, tokenize
-from millrace.operators.normalize import qa_to_messages, turns_to_messages
 from millrace.plans.corpus import SQL_QA, _questions
 from millrace.plans.registry import query, table
 from millrace.plans.shared import (
@@ -30,7 +26,7 @@ from millrace.plans.shared import (
 from millrace.session import fresh_path
 from millrace.sources import readers, writers
 
-PAIR_LEN = 128
+PAIR_LEN = 48
 
 
 def _turns(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,7 +101,7 @@ def decode_tokens(spark, sf):
 
 
 @query("chat_encode", f"""WITH {SQL_CHAT_FLAT}
-SELECT conv_id, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY p) AS input_ids,
+SELECT conv_id, CAST(0 AS BIGINT) AS part, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY p) AS input_ids,
        string_agg(CAST(CAST(lab AS INTEGER) AS VARCHAR), ' ' ORDER BY p) AS label_mask FROM flat GROUP BY conv_id""")
 def chat_encode(spark, sf):
     return _as_text(tokenize.chat_encode(_turns(spark, sf), chat_vocab(spark, sf)))
@@ -146,7 +142,7 @@ def count_tokens(spark, sf):
 SELECT conv_id, md5(input_ids) AS ids_md5, md5(label_mask) AS mask_md5, CAST({CHAT_LEN} AS BIGINT) AS n_tokens FROM rows_""")
 def write_token_shards(spark, sf):
     path = fresh_path(spark, "shards")
-    writers.write_token_shards(_chat_rows(spark, sf), path, ["conv_id"])
+    writers.write_token_shards(_chat_rows(spark, sf), path, "conv_id")
     back = spark.read.parquet(path)
     return back.select(
         "conv_id",
@@ -175,54 +171,45 @@ def make_labels(spark, sf):
 
 
 @query("render_chat_prompt", """
-SELECT conv_id, '<|endoftext|>' || string_agg('<|' || role || E'|>\\n' ||
+SELECT conv_id, part, CASE WHEN part = 0 THEN '<|endoftext|>' ELSE '' END || string_agg('<|' || role || E'|>\\n' ||
        CASE WHEN role = 'assistant' AND turn = last_turn THEN '' ELSE text || E'\\n' END, '' ORDER BY turn) AS prompt
-FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last_turn FROM conversations) GROUP BY conv_id""")
+FROM (SELECT *, turn // 4096 AS part, max(turn) OVER (PARTITION BY conv_id) AS last_turn FROM conversations) GROUP BY conv_id, part""")
 def render_chat_prompt(spark, sf):
-    records = turns_to_messages(_turns(spark, sf))
-    # the final reply is what the model is to write, so its text is left out
-    open_end = F.transform(
-        "messages",
-        lambda m, i: F.struct(
-            m["role"].alias("role"),
-            F.when((i == F.size("messages") - 1) & (m["role"] == "assistant"), F.lit("")).otherwise(m["content"]).alias("content"),
-        ),
-    )
-    return records.select("conv_id", tokenize.render_chat_prompt(open_end).alias("prompt"))
+    prompts = tokenize.render_turns(_turns(spark, sf))
+    return prompts.select("conv_id", "part", F.col("text").alias("prompt"))
 
 
 # --- preference pairs ------------------------------------------------------------------
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """(pair_id, chosen, rejected): same prompt, another conversation's first reply rejected."""
-    turns = _turns(spark, sf)
-    last_user = turns.where("role = 'user'").groupBy("conv_id").agg(F.max("turn").alias("asked"))
-    prompts = turns_to_messages(turns.join(last_user, "conv_id").where(F.col("turn") <= F.col("asked")))
-    replies = turns.where("role = 'assistant'")
-    chosen = replies.join(last_user, "conv_id").where(F.col("turn") == F.col("asked") + 1).select(
-        "conv_id", F.col("text").alias("good")
+    """(pair_id, chosen, rejected) per exchange: its own reply, and one of the next conversation.
+
+    Made of joins on (conversation, turn) only, so a long conversation is many small rows.
+    """
+    first = _turns(spark, sf).where("role = 'assistant'").groupBy((F.col("conv_id") - 1).alias("conv_id")).agg(
+        F.min_by("text", "turn").alias("bad")
     )
-    first = replies.groupBy((F.col("conv_id") - 1).alias("conv_id")).agg(F.min_by("text", "turn").alias("bad"))
 
-    def with_reply(reply):
-        return F.array_append("messages", F.struct(F.lit("assistant").alias("role"), F.col(reply).alias("content")))
+    def messages(reply):
+        return F.array(*[
+            F.struct(F.lit(role).alias("role"), F.col(col).alias("content"))
+            for role, col in (("user", "question"), ("assistant", reply))
+        ])
 
-    return prompts.join(chosen, "conv_id").join(first, "conv_id").select(
-        F.col("conv_id").alias("pair_id"), with_reply("good").alias("chosen"), with_reply("bad").alias("rejected")
+    pair_id = F.shiftleft("conv_id", 32) + F.col("turn")
+    return _questions(spark, sf).join(first, "conv_id").select(
+        pair_id.alias("pair_id"), messages("answer").alias("chosen"), messages("bad").alias("rejected")
     )
 
 
-SQL_PAIRS = """
-lastu AS (SELECT conv_id, max(turn) AS asked FROM conversations WHERE role = 'user' GROUP BY conv_id),
-good AS (SELECT c.conv_id, c.text FROM conversations c JOIN lastu u ON u.conv_id = c.conv_id AND c.turn = u.asked + 1 WHERE c.role = 'assistant'),
-bad AS (SELECT conv_id - 1 AS conv_id, arg_min(text, turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
-both_ AS (SELECT conv_id FROM good JOIN bad USING (conv_id)),
+SQL_PAIRS = f"""{SQL_QA},
+bad AS (SELECT conv_id - 1 AS conv_id, arg_min(text, turn) AS bad FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+px AS (SELECT conv_id * 4294967296 + turn AS pair_id, question, answer, bad FROM qa JOIN bad USING (conv_id)),
 pairs AS (
-  SELECT c.conv_id AS pair_id, side, turn, role, text FROM conversations c JOIN lastu USING (conv_id) JOIN both_ USING (conv_id)
-    CROSS JOIN (VALUES ('chosen'), ('rejected')) s(side) WHERE turn <= asked
-  UNION ALL SELECT conv_id, 'chosen', 1000000, 'assistant', text FROM good JOIN both_ USING (conv_id)
-  UNION ALL SELECT conv_id, 'rejected', 1000000, 'assistant', text FROM bad JOIN both_ USING (conv_id))"""
+  SELECT pair_id, side, 0 AS turn, 'user' AS role, question AS text FROM px CROSS JOIN (VALUES ('chosen'), ('rejected')) s(side)
+  UNION ALL SELECT pair_id, 'chosen', 1, 'assistant', answer FROM px
+  UNION ALL SELECT pair_id, 'rejected', 1, 'assistant', bad FROM px)"""
 
 SQL_PAIR_TOKENS = f"""vocab AS ({sql_vocab('conversations')}), {SQL_PAIRS}, {sql_chat_flat('pairs', 'pair_id, side')},
 cut AS (SELECT pair_id, side, p, id, CASE WHEN lab THEN id ELSE -100 END AS lab FROM flat WHERE p < {PAIR_LEN})"""
@@ -290,8 +277,9 @@ UNION ALL SELECT 'has_a_label', CAST(count(*) FILTER (n_labels = 0) AS BIGINT) F
 UNION ALL SELECT 'chosen_not_empty', 0 UNION ALL SELECT 'rejected_not_empty', 0""")
 def validate_rows(spark, sf):
     vocab = chat_vocab(spark, sf)
-    full = tokenize.chat_encode(_turns(spark, sf), vocab)
-    rows = tokenize.fit_to_length(full.withColumn("n_full", F.size("input_ids")), CHAT_LEN)
+    encoded = tokenize.chat_encode(_turns(spark, sf), vocab, seq_len=CHAT_LEN)
+    lengths = tokenize.chat_lengths(_turns(spark, sf), vocab)
+    rows = tokenize.fit_to_length(encoded, CHAT_LEN).join(lengths, "conv_id")
     on_rows = quality.violations(rows, {
         "ids_and_mask_equally_long": F.size("input_ids") == F.size("label_mask"),
         "row_has_fixed_length": F.size("input_ids") == CHAT_LEN,

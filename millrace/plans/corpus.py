@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from millrace.functions.hashing import seeded_unit
 from millrace.functions.text import words
 from millrace.operators import mixture, normalize
-from millrace.operators.normalize import assign_ids, turns_to_messages
+from millrace.operators.normalize import assign_ids
 from millrace.plans.registry import query, table, text_literal
 from millrace.plans.shared import SEED, sql_md5, sql_strip, sql_unit, sql_words
 from millrace.session import fresh_path
@@ -183,10 +183,10 @@ def cut_at_delimiter(spark, sf):
 def _multiple_choice(spark: SparkSession, sf: str) -> DataFrame:
     """(item_id, question, choices, answer): choice k is the text of item id + 7k, modulo the count."""
     items = table(spark, sf, "benchmark").select("item_id", "text")
-    total = items.agg(F.count(F.lit(1)).alias("n"))  # one row
-    wanted = items.crossJoin(F.broadcast(total)).select(
-        "item_id", F.col("text").alias("question"), "n", F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("k")
-    ).withColumn("other", (F.col("item_id") + 7 * F.col("k")) % F.col("n"))
+    total = items.agg(F.count(F.lit(1))).scalar()
+    wanted = items.select(
+        "item_id", F.col("text").alias("question"), F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("k")
+    ).withColumn("other", (F.col("item_id") + 7 * F.col("k")) % total)
     named = wanted.join(items.select(F.col("item_id").alias("other"), F.col("text").alias("choice")), "other")
     return named.groupBy("item_id", "question").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("k", "choice"))), lambda x: x["choice"]).alias("choices")
@@ -225,10 +225,9 @@ def assign_dense_ids(spark, sf):
 
 
 @query("messages_to_text", f"""
-SELECT conv_id, string_agg({sql_strip('text')} || E'\\n', '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id""")
+SELECT conv_id, turn // 4096 AS part, string_agg({sql_strip('text')} || E'\\n', '' ORDER BY turn) AS text FROM conversations GROUP BY ALL""")
 def messages_to_text(spark, sf):
-    records = turns_to_messages(table(spark, sf, "conversations"))
-    return records.select("conv_id", normalize.messages_to_text(F.col("messages")).alias("text"))
+    return normalize.turns_to_text(table(spark, sf, "conversations"))
 
 
 @query("passthrough_messages", """
@@ -237,11 +236,8 @@ SELECT 'chat' AS dataset, 'chat_' || CAST(i AS VARCHAR) AS id,
        row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, role, text AS content
 FROM conversations JOIN ids USING (conv_id)""")
 def passthrough_messages(spark, sf):
-    records = turns_to_messages(table(spark, sf, "conversations"))
-    tagged = normalize.passthrough_messages(records, "chat", "conv_id")
-    return tagged.select("dataset", "id", F.posexplode("messages").alias("pos", "m")).select(
-        "dataset", "id", F.col("pos").cast("bigint").alias("pos"), "m.role", "m.content"
-    )
+    tagged = normalize.passthrough_messages(table(spark, sf, "conversations"), "chat")
+    return tagged.select("dataset", "id", "pos", "role", F.col("text").alias("content"))
 
 
 @query("prune_columns", "SELECT doc_id, source, n_chars FROM documents")

@@ -25,6 +25,7 @@ from millrace.plans.shared import (
     sql_vocab,
     sql_words,
 )
+from millrace.session import stage
 
 CTX = 24
 SUBJECTS = sorted(tasks.SUBJECT_FIELD)
@@ -36,7 +37,7 @@ K4 = "(SELECT range AS k FROM range(4))"
 def _subject_docs(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_key, turn, subject, question, choices, answer): user turns as questions."""
     items = table(spark, sf, "benchmark").select("item_id", "text")
-    n = items.agg(F.count(F.lit(1)).alias("n"))  # one row
+    n = items.agg(F.count(F.lit(1))).scalar()
     subject = F.element_at(F.array(*[F.lit(s) for s in SUBJECTS]), (F.col("conv_id") % 57 + 1).cast("int"))
     asked = _questions(spark, sf).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_key"),
@@ -45,8 +46,8 @@ def _subject_docs(spark: SparkSession, sf: str) -> DataFrame:
         subject.alias("subject"),
         ((F.col("conv_id") + F.col("turn")) % 4).alias("answer"),
     )
-    wanted = asked.select("doc_key", F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("k")).crossJoin(F.broadcast(n))
-    wanted = wanted.withColumn("item_id", (F.col("doc_key") + 7 * F.col("k")) % F.col("n"))
+    wanted = asked.select("doc_key", F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("k"))
+    wanted = wanted.withColumn("item_id", (F.col("doc_key") + 7 * F.col("k")) % n)
     choices = wanted.join(items, "item_id").groupBy("doc_key").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]).alias("choices")
     )
@@ -132,7 +133,7 @@ def category_subjects(spark, sf):
 
 def _task_records(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """Records of every task class, made from the multiple-choice items."""
-    mc = _multiple_choice(spark, sf)
+    mc = stage(_multiple_choice(spark, sf), "choices")  # every task reads it
     q, a = F.col("question"), F.col("answer")
     c = [F.element_at("choices", i + 1) for i in range(4)]
     letter = F.element_at(F.array(*[F.lit(x) for x in "ABCD"]), a + 1)

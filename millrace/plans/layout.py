@@ -43,7 +43,7 @@ def chunk_offsets(spark, sf):
 def read_token_chunks(spark, sf):
     path = fresh_path(spark, "chunks")
     chunks, _ = _layout(spark, sf)
-    writers.write_token_shards(chunks.select("shard_id", "instance_id", "input_ids"), path, ["instance_id"], "shard_id")
+    writers.write_token_shards(chunks.select("shard_id", "instance_id", "input_ids"), path, "instance_id", "shard_id")
     back = readers.read_token_chunks(spark, path)
     return back.select("shard_id", "instance_id", F.md5(joined_ids(F.col("input_ids"))).alias("ids_md5"))
 
@@ -53,10 +53,9 @@ SELECT instance_id AS index, shard_id AS path, chunk AS local_index FROM chunks
 UNION ALL SELECT CAST(instance_id - n AS BIGINT), shard_id, chunk FROM chunks CROSS JOIN total""")
 def locate_instance(spark, sf):
     manifest = _manifest(spark, sf)
-    every = manifest.select(F.explode(F.sequence("start", F.col("end") - 1)).alias("index"), F.lit(0).alias("sign"))
-    total = manifest.agg(F.max("end").alias("n"))
-    negative = every.crossJoin(F.broadcast(total)).select((F.col("index") - F.col("n")).alias("index"))
-    return packing.locate_instance(every.select("index").unionByName(negative), manifest)
+    every = manifest.select(F.explode(F.sequence("start", F.col("end") - 1)).alias("index"))
+    negative = every.select((F.col("index") - manifest.agg(F.max("end")).scalar()).alias("index"))
+    return packing.locate_instance(every.unionByName(negative), manifest)
 
 
 @query("concat_datasets", f"""WITH {SQL_CHUNKS},

@@ -90,9 +90,8 @@ w AS (SELECT rank, local, instance_id, CASE WHEN local >= m // {BATCH} * {BATCH}
 SELECT rank, worker, row_number() OVER (PARTITION BY rank, worker ORDER BY is_left, local) - 1 AS worker_seq, instance_id FROM w""")
 def worker_stripe(spark, sf):
     striped = _even(spark, sf)
-    n = _instances(spark, sf).agg(F.count(F.lit(1)).alias("n"))  # one row
-    striped = striped.crossJoin(F.broadcast(n))
-    total = F.col("n") - F.col("n") % WORLD
+    n = _instances(spark, sf).agg(F.count(F.lit(1))).scalar()
+    total = n - n % WORLD
     shared = ordering.worker_stripe(striped, WORLD, START, BATCH, WORKERS, total)
     return shared.select("rank", "worker", "worker_seq", "instance_id")
 

@@ -16,13 +16,14 @@ from millrace.session import stage
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Order lines with a dense ordinal per order (an order has few lines)."""
-    place = F.row_number().over(
-        Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    )
+    """Order lines with a unique, ordered number per order, made of the line's own keys.
+
+    Order and uniqueness are all that is needed, so no order is sorted to number its lines.
+    """
+    place = F.col("l_linenumber").cast("bigint") * 10**17 + F.col("l_partkey") * 10**8 + F.col("l_suppkey")
     return table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("case_id"),
-        (place - 1).cast("bigint").alias("ordinal"),
+        place.alias("ordinal"),
         F.col("l_quantity").cast("bigint").alias("q"),
         F.col("l_partkey").alias("part"),
         F.col("l_suppkey").alias("supp"),
@@ -30,7 +31,7 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _cases(spark: SparkSession, sf: str) -> DataFrame:
-    first = _lines(spark, sf).where("ordinal = 0").select("case_id", F.col("q").cast("string").alias("q"))
+    first = _lines(spark, sf).groupBy("case_id").agg(F.min_by("q", "ordinal").cast("string").alias("q"))
     orders = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("case_id"),
         F.col("o_custkey").cast("string").alias("cust"),
@@ -54,7 +55,7 @@ def _cases(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL_LINES = """
-lines_ AS (SELECT l_orderkey AS case_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS ordinal,
+lines_ AS (SELECT l_orderkey AS case_id, CAST(l_linenumber AS BIGINT) * 100000000000000000 + l_partkey * 100000000 + l_suppkey AS ordinal,
                   CAST(l_quantity AS BIGINT) AS q, l_partkey AS part, l_suppkey AS supp FROM lineitem)"""
 
 SQL_CASES = f"""{SQL_LINES},
@@ -64,7 +65,7 @@ cases AS (
          'Customer ' || o_custkey || ' bought 12 inches of rope and ' || q || ' boxes for ' || CAST(floor(o_totalprice) AS BIGINT) || ' dollars. How many boxes?' AS question,
          'They bought ' || q || E' boxes.\\n#### ' || CASE WHEN o_orderkey % 11 = 0 THEN '1,' || lpad(CAST(q AS VARCHAR), 3, '0') ELSE CAST(q AS VARCHAR) END AS answer,
          'num_x=' || q || ', price_y=' || CAST(floor(o_totalprice) AS BIGINT) AS parameters
-  FROM orders JOIN lines_ ON case_id = o_orderkey AND ordinal = 0)"""
+  FROM orders JOIN (SELECT case_id, arg_min(q, ordinal) AS q FROM lines_ GROUP BY case_id) ON case_id = o_orderkey)"""
 
 
 def _masking_response():
@@ -144,7 +145,8 @@ def _fill_sql(template: str, **values: str) -> str:
     return out
 
 
-SQL_NEW_PARAMS = f"""newp AS (SELECT case_id, string_agg('num_x=' || q, E'\\n' ORDER BY ordinal) AS np FROM lines_ GROUP BY case_id)"""
+SQL_NEW_PARAMS = f"""newp AS (SELECT case_id, string_agg('num_x=' || q, E'\\n' ORDER BY ordinal) AS np
+  FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY ordinal) AS rn FROM lines_) WHERE rn <= 5 GROUP BY case_id)"""
 
 
 @query("perturb_prompts", f"""WITH {SQL_CASES}, {SQL_NEW_PARAMS}
@@ -153,7 +155,10 @@ UNION ALL SELECT case_id, 'rewrite', md5({_fill_sql(P.REWRITE_QUESTION, question
 UNION ALL SELECT case_id, 'answer', md5({_fill_sql(P.ANSWER_QUESTION, question='question')}) FROM cases
 UNION ALL SELECT case_id, 'answer with examples', md5({_fill_sql(P.ANSWER_QUESTION_WITH_EXAMPLES, question='question')}) FROM cases""")
 def perturb_prompts(spark, sf):
-    lines = _lines(spark, sf).groupBy("case_id").agg(
+    # five new lines per case, as a response has; cut before they are collected
+    place = F.row_number().over(Window.partitionBy("case_id").orderBy("ordinal"))
+    five = _lines(spark, sf).withColumn("place", place).where("place <= 5")
+    lines = five.groupBy("case_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "q"))), lambda x: F.concat(F.lit("num_x="), x["q"].cast("string"))).alias("np")
     )
     cases = _cases(spark, sf).join(lines, "case_id")
@@ -325,8 +330,7 @@ def build_calls(spark, sf):
 @query("drop_dead_loops", f"""WITH {SQL_CALLS}
 SELECT count(*) FILTER (NOT contains(call, 'while True:')) AS n_calls, count(*) FILTER (contains(call, 'while True:')) AS n_dead_loops FROM calls""")
 def drop_dead_loops(spark, sf):
-    kept, dropped = S.drop_dead_loops(_calls(spark, sf))
-    return kept.agg(F.count(F.lit(1)).alias("n_calls")).crossJoin(dropped)
+    return S.dead_loop_counts(_calls(spark, sf))
 
 
 # --- variants --------------------------------------------------------------------------
@@ -387,35 +391,36 @@ def generation_quota(spark, sf):
     return done.withColumn("complete", F.col("complete").cast("int"))
 
 
-def _variant_lists(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per case with three lists; predictions are one shorter than questions."""
-    rows = F.array_sort(F.collect_list(F.struct("slot", "new_question", "new_answer", "new_prediction")))
-    grouped = _variants(spark, sf).groupBy("case_id").agg(rows.alias("v"))
-    return grouped.select(
-        "case_id",
-        F.col("v.new_question").alias("new_questions"),
-        F.col("v.new_answer").alias("new_answers"),
-        F.slice(F.col("v.new_prediction"), F.lit(1), F.greatest(F.size("v") - 1, F.lit(0))).alias("new_prediction"),
+def _slots(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Questions, predictions and answers by (case_id, slot); the last slot has no prediction."""
+    variants = _variants(spark, sf)
+    last = variants.groupBy("case_id").agg(F.max("slot").alias("last"))
+    predictions = variants.join(last, "case_id").where("slot < last")
+    return (
+        variants.select("case_id", "slot", "new_question"),
+        predictions.select("case_id", "slot", "new_prediction"),
+        variants.select("case_id", "slot", "new_answer"),
     )
 
 
-SQL_SHORT = f"{SQL_VARIANTS}, sized AS (SELECT *, count(*) OVER (PARTITION BY case_id) AS n FROM va)"
+SQL_SHORT = f"{SQL_VARIANTS}, sized AS (SELECT *, max(slot) OVER (PARTITION BY case_id) AS last_slot FROM va)"
 
 
 @query("align_variants", f"""WITH {SQL_SHORT}
-SELECT case_id, slot, new_question AS new_questions, new_prediction, new_answer AS new_answers FROM sized WHERE slot < n - 1""")
+SELECT case_id, slot, new_question, new_prediction, new_answer FROM sized WHERE slot < last_slot""")
 def align_variants(spark, sf):
-    return S.align_variants(_variant_lists(spark, sf), ["new_questions", "new_prediction", "new_answers"])
+    return S.align_slots(*_slots(spark, sf))
 
 
 @query("select_retries", f"""WITH {SQL_SHORT},
-z AS (SELECT case_id, slot, new_question AS question, new_answer, CASE WHEN case_id % 4 = 0 THEN '-50000000' ELSE new_prediction END AS p FROM sized WHERE case_id % 4 = 0 OR slot < n - 1)
+many AS (SELECT DISTINCT case_id FROM sized WHERE slot < last_slot AND case_id % 4 <> 0),
+z AS (SELECT case_id, slot, new_question AS question, new_answer, CASE WHEN m.case_id IS NULL THEN '-50000000' ELSE new_prediction END AS p
+      FROM sized LEFT JOIN many m USING (case_id) WHERE m.case_id IS NULL OR slot < last_slot)
 SELECT case_id, slot, question FROM z
 WHERE NOT coalesce(CAST(trunc(coalesce({sql_last_number('p')}, -50000000000.0)) AS BIGINT) = CAST(trunc({sql_float('new_answer')}) AS BIGINT), false)""")
 def select_retries(spark, sf):
-    lists = _variant_lists(spark, sf)
-    unanswered = F.when(F.col("case_id") % 4 != 0, F.col("new_prediction"))
-    return S.select_retries(lists.withColumn("new_prediction", unanswered))
+    questions, predictions, answers = _slots(spark, sf)
+    return S.select_retries(questions, predictions.where("case_id % 4 <> 0"), answers)
 
 
 @query("join_responses", f"""WITH {SQL_CASES}
@@ -495,10 +500,8 @@ EXCLUDED = [306]  # fixed value: cases known to hang
 SELECT o_orderkey AS case_id, count(*) AS n_programs FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey NOT IN ({EXCLUDED[0]}) GROUP BY o_orderkey""")
 def select_usable_cases(spark, sf):
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("case_id"))
-    programs = _candidates(spark, sf).groupBy("case_id").agg(F.collect_list("program").alias("candidate_programs"))
-    cases = orders.join(programs, "case_id", "left").withColumn(
-        "candidate_programs", F.coalesce("candidate_programs", F.array().cast("array<string>"))
-    )
+    candidates = _lines(spark, sf)
     excluded = spark.createDataFrame([(c,) for c in EXCLUDED], "case_id bigint")
-    usable = quality.select_usable_cases(cases, excluded)
-    return usable.select("case_id", F.size("candidate_programs").cast("bigint").alias("n_programs"))
+    usable = quality.select_usable_cases(orders, excluded, candidates)
+    programs = candidates.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_programs"))
+    return usable.join(programs, "case_id")

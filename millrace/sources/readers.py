@@ -82,12 +82,8 @@ def with_folds(df: DataFrame, key: str, folds: int = 10) -> DataFrame:
     from millrace.operators.prefix import dense_position
 
     placed = dense_position(df, key, out="__position")
-    total = df.agg(F.count(F.lit(1)).alias("__total"))  # one row
-    return (
-        placed.crossJoin(F.broadcast(total))
-        .withColumn("fold", fold_number(F.col("__position"), F.col("__total"), folds))
-        .drop("__position", "__total")
-    )
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return placed.withColumn("fold", fold_number(F.col("__position"), total, folds)).drop("__position")
 
 
 def read_token_chunks(

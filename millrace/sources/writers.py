@@ -17,15 +17,22 @@ def write_jsonl(df: DataFrame, path: str, partition_by: Sequence[str] = (), per_
     writer.json(path)
 
 
-def write_token_shards(df: DataFrame, path: str, order: Sequence[str], shard: str | None = None) -> None:
+def in_ranges(df: DataFrame, order: str, by: Sequence[str] = (), bits: int = 16) -> DataFrame:
+    """Rows of one range of an integer key together and sorted, ranges spread over tasks.
+
+    The range is the key's high bits, so no sampling pass runs the input a second time, and
+    a source that holds most of the rows is still many ranges.
+    """
+    return df.repartition(*by, F.shiftright(order, bits)).sortWithinPartitions(*by, order)
+
+
+def write_token_shards(df: DataFrame, path: str, order: str, shard: str | None = None) -> None:
     """Encoded rows with ids and masks side by side, in order within each file.
 
-    Ids and mask share a row, so they cannot drift apart. Ranges of the order keep a hot
-    shard in many files; sorting inside a file gives row groups that chunk reads can skip.
+    Ids and mask share a row, so they cannot drift apart. A hot shard is many files; sorting
+    inside a file gives row groups that chunk reads can skip.
     """
-    keys = [*([shard] if shard else []), *order]
-    laid = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    writer = laid.write
+    writer = in_ranges(df, order, [shard] if shard else []).write
     if shard:
         writer = writer.partitionBy(shard)
     writer.parquet(path)
@@ -40,10 +47,8 @@ def shard_by_size(
 
 
 def write_data_order(order: DataFrame, path: str) -> None:
-    """The global order as (position, instance_id), in position order across files."""
-    order.select("position", "instance_id").repartitionByRange("position").sortWithinPartitions(
-        "position"
-    ).write.parquet(path)
+    """The global order as (position, instance_id), sorted within each file."""
+    in_ranges(order.select("position", "instance_id"), "position").write.parquet(path)
 
 
 def trace_lines(used: DataFrame) -> DataFrame:
@@ -62,7 +67,7 @@ def trace_lines(used: DataFrame) -> DataFrame:
 
 def write_index_trace(used: DataFrame, path: str) -> None:
     """Gzip text per rank, steps in order within each file."""
-    lines = trace_lines(used).repartitionByRange("rank", "step").sortWithinPartitions("rank", "step")
+    lines = in_ranges(trace_lines(used), "step", ["rank"])
     lines.select("rank", F.col("line").alias("value")).write.partitionBy("rank").option(
         "compression", "gzip"
     ).text(path)
