@@ -8,7 +8,7 @@ from pyspark.sql import Column, functions as F
 # characters a strip removes; the number forms that both engines and Python agree on.
 WORD = r"[^ \t\n\r]+"
 STRIP_CLASS = r"[ \t\n\r\x0b\x0c]+"
-FLOAT_FORM = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
+FLOAT_FORM = r"^\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)\s*$"
 GROUPED_NUMBER = r"[-+]?\d{1,3}(?:,\d{3})*(?:\.\d+)?"
 
 
@@ -25,8 +25,7 @@ def strip(col: Column | str) -> Column:
 
 def to_float(col: Column | str) -> Column:
     """Guarded cast: NULL for anything that is not a plain decimal number."""
-    c = _c(col)
-    return F.when(c.rlike(FLOAT_FORM), F.regexp_replace(c, r"\s", "").try_cast("double"))
+    return F.regexp_extract(_c(col), FLOAT_FORM, 1).try_cast("double")
 
 
 def last_number(col: Column | str, default: float | None = None) -> Column:
@@ -42,7 +41,7 @@ def last_number(col: Column | str, default: float | None = None) -> Column:
 
 def truncated(col: Column) -> Column:
     """Whole part of a finite number, toward zero, as bigint."""
-    return F.when(F.abs(col) < F.lit(9.0e18), col.cast("bigint"))
+    return col.try_cast("bigint")
 
 
 def last_token(col: Column | str) -> Column:

@@ -8,7 +8,7 @@ from millrace.functions import arrays as A
 from millrace.functions.hashing import seeded_md5
 from millrace.operators import ordering, quality, tokenize
 from millrace.plans.corpus import SQL_QA, _questions
-from millrace.plans.registry import query, table
+from millrace.plans.registry import query, spread_table, table
 from millrace.plans.shared import (
     CHAT_LEN,
     SEED,
@@ -47,13 +47,13 @@ def _as_text(df: DataFrame) -> DataFrame:
 
 @query("build_vocab", f"SELECT w AS token, id AS token_id, n FROM ({sql_vocab('documents')})")
 def build_vocab(spark, sf):
-    return tokenize.build_vocab(table(spark, sf, "documents"), size=VOCAB)
+    return tokenize.build_vocab(spread_table(spark, sf, "documents", "text"), size=VOCAB)
 
 
 @query("encode_documents", f"""WITH {SQL_DOC_TOKENS}
 SELECT doc_id, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) AS input_ids, count(*) AS n_tokens FROM dtok GROUP BY doc_id""")
 def encode_documents(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread_table(spark, sf, "documents", "doc_id", "text")
     encoded = tokenize.encode_documents(docs, doc_vocab(spark, sf))
     return encoded.select(
         "doc_id", joined_ids(F.col("input_ids")).alias("input_ids"), F.size("input_ids").cast("bigint").alias("n_tokens")
@@ -65,7 +65,7 @@ raw AS (SELECT doc_id, pos, id FROM dtok WHERE pos < 1000000000)
 SELECT doc_id, count(id) + 1 AS n_once, count(id) + 1 AS n_twice, CAST(0 AS BIGINT) AS last_id
 FROM (SELECT doc_id FROM documents) LEFT JOIN raw USING (doc_id) GROUP BY doc_id""")
 def append_eos(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread_table(spark, sf, "documents", "doc_id", "text")
     plain = tokenize.encode_documents(docs, doc_vocab(spark, sf), add_special=False)
     once = plain.withColumn("once", A.append_once(F.col("input_ids"), tokenize.EOS))
     twice = once.withColumn("twice", A.append_once(F.col("once"), tokenize.EOS))
@@ -84,7 +84,7 @@ SELECT doc_id, coalesce(string_agg(CAST(id AS VARCHAR), ' ' ORDER BY h) FILTER (
        coalesce(string_agg(CAST(id AS VARCHAR), ' ' ORDER BY h) FILTER (t <= 63) || ' ', '') || '0' AS tail_ids
 FROM (SELECT doc_id FROM documents) LEFT JOIN raw USING (doc_id) GROUP BY doc_id""")
 def truncate_tokens(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread_table(spark, sf, "documents", "doc_id", "text")
     vocab = doc_vocab(spark, sf)
     head = tokenize.encode_documents(docs, vocab, truncate_to=64, side="right", out="head_ids")
     both = tokenize.encode_documents(head, vocab, truncate_to=64, side="left", out="tail_ids")
@@ -96,7 +96,7 @@ SELECT d.doc_id, coalesce(string_agg(s.w, ' ' ORDER BY s.pos) FILTER (v.id IS NO
 FROM documents d LEFT JOIN dsplit s ON s.doc_id = d.doc_id LEFT JOIN vocab v ON v.w = s.w GROUP BY d.doc_id""")
 def decode_tokens(spark, sf):
     vocab = doc_vocab(spark, sf)
-    encoded = tokenize.encode_documents(table(spark, sf, "documents").select("doc_id", "text"), vocab)
+    encoded = tokenize.encode_documents(spread_table(spark, sf, "documents", "doc_id", "text"), vocab)
     return encoded.select("doc_id", vocab.decode(F.col("input_ids"), skip_special=True).alias("decoded"))
 
 

@@ -8,9 +8,9 @@ from millrace.functions.hashing import seeded_unit
 from millrace.functions.text import words
 from millrace.operators import mixture, normalize
 from millrace.operators.normalize import assign_ids
-from millrace.plans.registry import query, table, text_literal
+from millrace.plans.registry import query, spread_table, table, text_literal
 from millrace.plans.shared import SEED, sql_md5, sql_strip, sql_unit, sql_words
-from millrace.session import fresh_path
+from millrace.session import fresh_path, spread
 from millrace.sources import manifests, readers, writers
 
 LANGS = ("de", "en", "es", "fr")
@@ -28,7 +28,8 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
 @query("read_documents", "SELECT CAST(doc_id AS VARCHAR) AS id, text, source FROM documents")
 def read_documents(spark, sf):
     path = fresh_path(spark, "documents")
-    rows = _docs(spark, sf).select(F.col("doc_id").cast("string").alias("id"), "text", "source")
+    docs = spread_table(spark, sf, "documents", "doc_id", "text", "source")
+    rows = docs.select(F.col("doc_id").cast("string").alias("id"), "text", "source")
     writers.write_jsonl(rows, path, partition_by=["source"])
     globs = [f"{path}/source=src?/*.json.gz", f"{path}/source=src??/*.json.gz"]
     return readers.read_documents(spark, globs, "id string, text string", source_pattern="source=([^/]+)/")
@@ -74,13 +75,13 @@ SELECT 'documents-' || CAST(row_number() OVER (ORDER BY doc_id) - 1 AS VARCHAR)
 FROM documents""")
 def write_jsonl(spark, sf):
     path = fresh_path(spark, "jsonl")
-    rows = assign_ids(_docs(spark, sf).select("doc_id", "text"), "documents", "doc_id", "-")
+    rows = assign_ids(spread_table(spark, sf, "documents", "doc_id", "text"), "documents", "doc_id", "-")
     writers.write_jsonl(rows.select("id", "text", F.lit("documents").alias("source")), path)
     return readers.read_documents(spark, [path])
 
 
 def _sharded(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _docs(spark, sf)
+    docs = spread(_docs(spark, sf))
     return writers.shard_by_size(docs, "doc_id", F.octet_length("text"), SHARD_BYTES)
 
 

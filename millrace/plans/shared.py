@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.operators.tokenize import Vocabulary
-from millrace.plans.registry import table
+from millrace.plans.registry import spread_table
 
 SEED = 96
 VOCAB = 50280
@@ -62,7 +62,7 @@ CHAT_LEN = 256
 
 
 def chat_vocab(spark: SparkSession, sf: str) -> Vocabulary:
-    return Vocabulary.of(table(spark, sf, "conversations"), size=VOCAB)
+    return Vocabulary.of(spread_table(spark, sf, "conversations", "text"), size=VOCAB)
 
 
 def sql_chat_flat(relation: str, keys: str, order: str = "turn") -> str:
@@ -102,7 +102,7 @@ CHUNK = 128
 
 
 def doc_vocab(spark: SparkSession, sf: str) -> Vocabulary:
-    return Vocabulary.of(table(spark, sf, "documents"), size=VOCAB)
+    return Vocabulary.of(spread_table(spark, sf, "documents", "text"), size=VOCAB)
 
 
 def encoded_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,7 +113,7 @@ def encoded_documents(spark: SparkSession, sf: str) -> DataFrame:
     from millrace.operators.tokenize import encode_documents
     from millrace.session import stage
 
-    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    docs = spread_table(spark, sf, "documents", "doc_id", "source", "text")
     encoded = encode_documents(docs, doc_vocab(spark, sf))
     sized = encoded.select("doc_id", "source", "input_ids", F.size("input_ids").alias("n_tokens"))
     return stage(sized, "encoded")

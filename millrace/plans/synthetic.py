@@ -8,7 +8,7 @@ from millrace.functions import prompt_texts as P
 from millrace.functions.hashing import seeded_unit
 from millrace.functions.text import last_number
 from millrace.operators import quality, synthetic as S
-from millrace.plans.registry import query, table, text_literal
+from millrace.plans.registry import query, spread_table, table, text_literal
 from millrace.plans.shared import FLOAT_RE, SEED, sql_float, sql_last_number, sql_md5, sql_strip
 from millrace.session import stage
 
@@ -20,8 +20,11 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
 
     Order and uniqueness are all that is needed, so no order is sorted to number its lines.
     """
-    place = F.col("l_linenumber").cast("bigint") * 10**17 + F.col("l_partkey") * 10**8 + F.col("l_suppkey")
-    return table(spark, sf, "lineitem").select(
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    digest = F.md5(F.concat_ws(":", "l_partkey", "l_suppkey", cents))
+    place = F.col("l_linenumber").cast("bigint") * 10**17 + F.conv(F.substring(digest, 1, 14), 16, 10).cast("bigint")
+    columns = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return spread_table(spark, sf, "lineitem", *columns).select(
         F.col("l_orderkey").alias("case_id"),
         place.alias("ordinal"),
         F.col("l_quantity").cast("bigint").alias("q"),
@@ -55,7 +58,8 @@ def _cases(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL_LINES = """
-lines_ AS (SELECT l_orderkey AS case_id, CAST(l_linenumber AS BIGINT) * 100000000000000000 + l_partkey * 100000000 + l_suppkey AS ordinal,
+lines_ AS (SELECT l_orderkey AS case_id, CAST(l_linenumber AS BIGINT) * 100000000000000000 +
+    CAST('0x' || substr(md5(l_partkey || ':' || l_suppkey || ':' || CAST(round(l_extendedprice * 100) AS BIGINT)), 1, 14) AS BIGINT) AS ordinal,
                   CAST(l_quantity AS BIGINT) AS q, l_partkey AS part, l_suppkey AS supp FROM lineitem)"""
 
 SQL_CASES = f"""{SQL_LINES},
