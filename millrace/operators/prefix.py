@@ -8,7 +8,7 @@ they are the same on every run and after every retry, and no sampling pass is ne
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -32,40 +32,51 @@ def running_offset(
     ``weight`` defaults to 1, which makes ``out`` a dense position starting at 0.
     ``ties`` order rows of equal key. Columns in ``by`` must not be NULL.
     """
-    weight = F.lit(1) if weight is None else weight
-    by = list(by)
+    return running_offsets(df, key, {out: F.lit(1) if weight is None else weight}, by, ties, shifts)
+
+
+def running_offsets(
+    df: DataFrame,
+    key: str,
+    weights: Mapping[str, Column],
+    by: Sequence[str] = (),
+    ties: Sequence[str] = (),
+    shifts: Sequence[int] = INTEGER_KEY,
+) -> DataFrame:
+    """Several running sums over the same order in one pass: output name to weight."""
+    by, outs = list(by), list(weights)
     node = [f"__node{i}" for i in range(len(shifts))]
-    tagged = df.withColumn("__w", weight.cast("bigint"))
+    tagged = df
+    for name, weight in weights.items():
+        tagged = tagged.withColumn(f"__w_{name}", weight.cast("bigint"))
     for name, bits in zip(node, shifts):
         tagged = tagged.withColumn(name, F.shiftright(F.col(key), bits))
 
-    def exclusive_sum(part: list[str], order: list[str]) -> Column:
+    def exclusive_sums(rows: DataFrame, part: list[str], order: list[str], prefix: str) -> DataFrame:
         window = Window.partitionBy(*part).orderBy(*order)
-        total = F.sum("__w").over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return total - F.col("__w")
-
-    local = tagged.withColumn(out, exclusive_sum([*by, node[0]], [key, *ties])).drop("__w", *node[1:])
-    level = tagged.groupBy(*by, *node).agg(F.sum("__w").alias("__w"))
-    offsets = level.select(*by, *node, F.lit(0).cast("bigint").alias("__off"), "__w")
+        frame = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sums = {f"{prefix}{o}": F.sum(f"__w_{o}").over(frame) - F.col(f"__w_{o}") for o in outs}
+        return rows.withColumns(sums)
+
+    totals = [F.sum(f"__w_{o}").alias(f"__w_{o}") for o in outs]
+    local = exclusive_sums(tagged, [*by, node[0]], [key, *ties], "__l_")
+    level = tagged.groupBy(*by, *node).agg(*totals)
+    offsets: DataFrame | None = None
     for i in range(len(node)):
         parents = node[i + 1 :]
-        part = [*by, *parents[:1]]
-        ranged = level.withColumn("__start", exclusive_sum(part, [node[i]])).drop("__w")
-        if i == 0:
-            offsets = ranged.withColumnRenamed("__start", "__off")
+        ranged = exclusive_sums(level, [*by, *parents[:1]], [node[i]], "__s_")
+        if offsets is None:
+            offsets = ranged.select(*by, *node, *[F.col(f"__s_{o}").alias(f"__o_{o}") for o in outs])
         else:
-            offsets = (
-                offsets.join(ranged.select(*by, node[i], "__start"), [*by, node[i]])
-                .withColumn("__off", F.col("__off") + F.col("__start"))
-                .drop("__start")
+            starts = ranged.select(*by, node[i], *[f"__s_{o}" for o in outs])
+            offsets = offsets.join(starts, [*by, node[i]]).withColumns(
+                {f"__o_{o}": F.col(f"__o_{o}") + F.col(f"__s_{o}") for o in outs}
             )
         if parents:
-            level = level.groupBy(*by, *parents).agg(F.sum("__w").alias("__w"))
-    return (
-        local.join(offsets.select(*by, node[0], "__off"), [*by, node[0]])
-        .withColumn(out, F.col(out) + F.col("__off"))
-        .drop("__off", node[0])
-        .select(*df.columns, out)
+            level = level.groupBy(*by, *parents).agg(*totals)
+    offsets = offsets.select(*by, node[0], *[f"__o_{o}" for o in outs])
+    return local.join(offsets, [*by, node[0]]).select(
+        *df.columns, *[(F.col(f"__l_{o}") + F.col(f"__o_{o}")).alias(o) for o in outs]
     )
 
 

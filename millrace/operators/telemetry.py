@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from millrace.operators.prefix import running_minimum, running_offset, trailing_blocks
+from millrace.operators.prefix import running_minimum, running_offsets, trailing_blocks
 
 WINDOW = 100  # fixed value: default number of batches a throughput is taken over
 
@@ -28,29 +28,24 @@ def sliding_throughput(
     nothing is recorded yet.
     """
     by = list(by)
-    placed = running_offset(steps, step, by=by, out="__run_pos")
-    # resets strictly before a step number its segment
-    segmented = running_offset(placed, step, weight=F.col(reset).cast("int"), by=by, out="segment")
-    recorded = segmented.where(F.col("__run_pos") > 0)
-    in_segment = running_offset(recorded, step, by=[*by, "segment"], out="__pos")
-    blocks = trailing_blocks(in_segment, "__pos", window)
+    # resets strictly before a step number its segment; segments are contiguous in the run, so
+    # blocks of run positions hold all of a window's batches
+    weights = {"__pos": F.lit(1), "segment": F.col(reset).cast("int")}
+    blocks = trailing_blocks(running_offsets(steps, step, weights, by=by), "__pos", window)
     frame = (
         Window.partitionBy(*by, "segment", "__block").orderBy("__pos").rowsBetween(-(window - 1), Window.currentRow)
     )
+    recorded = F.col("__pos") > 0
     seconds = F.col(check) - F.col("__first")
-    rated = (
-        blocks.withColumn("__first", F.first(start).over(frame))
-        .withColumn("window_tokens", F.sum(tokens).over(frame).cast("bigint"))
-        .withColumn("window_batches", F.count(F.lit(1)).over(frame))
+    return (
+        blocks.withColumn("__first", F.first(F.when(recorded, F.col(start)), ignorenulls=True).over(frame))
+        .withColumn("window_tokens", F.sum(F.when(recorded, F.col(tokens))).over(frame).cast("bigint"))
+        .withColumn("window_batches", F.nullif(F.count(F.when(recorded, 1)).over(frame), F.lit(0).cast("bigint")))
         .where(~F.col("__context"))
         .withColumn("tokens_per_second", F.try_divide(F.col("window_tokens"), seconds))
         .withColumn("batches_per_second", F.try_divide(F.col("window_batches"), seconds))
+        .drop("__pos", "__block", "__context", "__first")
     )
-    added = ["segment", "window_tokens", "window_batches", "tokens_per_second", "batches_per_second"]
-    first = segmented.where(F.col("__run_pos") == 0).select(
-        *steps.columns, "segment", *[F.lit(None).cast(rated.schema[c].dataType).alias(c) for c in added[1:]]
-    )
-    return rated.select(*steps.columns, *added).unionByName(first)
 
 
 def running_min_loss(steps: DataFrame, by: Sequence[str] = ("rank",), step: str = "step", loss: str = "loss") -> DataFrame:

@@ -10,7 +10,7 @@ from millrace.operators import mixture, normalize
 from millrace.operators.normalize import assign_ids
 from millrace.plans.registry import query, spread_table, table, text_literal
 from millrace.plans.shared import SEED, sql_md5, sql_strip, sql_unit, sql_words
-from millrace.session import fresh_path, spread
+from millrace.session import fresh_path, spread, stage
 from millrace.sources import manifests, readers, writers
 
 LANGS = ("de", "en", "es", "fr")
@@ -107,8 +107,6 @@ WITH stages AS (
 SELECT case_id, CAST(stage AS BIGINT) AS stage, CAST(round AS BIGINT) AS round, payload FROM stages
 QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY stage DESC, round DESC) = 1""")
 def stage_checkpoint(spark, sf):
-    from millrace.session import stage
-
     orders = table(spark, sf, "orders")
 
     def rows(where, stage_no, round_no, payload):
@@ -250,7 +248,7 @@ def prune_columns(spark, sf):
 SELECT doc_id, 'label' AS meta_key, 'lang-' || lang AS meta_value FROM documents""")
 def attach_metadata(spark, sf):
     docs = _docs(spark, sf).select("doc_id", "lang", F.concat_ws("/", "lang", "source").alias("path"))
-    manifest = manifests.manifest_of(docs, "path", F.concat(F.lit("lang-"), F.col("lang")))
+    manifest = stage(manifests.manifest_of(docs, "path", F.concat(F.lit("lang-"), F.col("lang"))), "manifest")
     tagged = manifests.attach_metadata(docs, manifest)
     return tagged.select("doc_id", F.explode("metadata").alias("meta_key", "meta_value"))
 
@@ -272,7 +270,7 @@ SELECT source, shard, count(*) AS n_documents, CAST(sum(n_bytes) AS BIGINT) AS n
 FROM sharded SEMI JOIN listed USING (source, shard) GROUP BY source, shard""")
 def select_shards(spark, sf):
     sharded = _sharded(spark, sf).select("source", "shard", F.octet_length("text").alias("n_bytes"))
-    listed = sharded.select("source", "shard").distinct().where(seeded_unit(SEED, "source", "shard") < 0.25)
+    listed = stage(sharded.select("source", "shard").distinct().where(seeded_unit(SEED, "source", "shard") < 0.25), "listed")
     return mixture.select_shards(sharded, listed).groupBy("source", "shard").agg(
         F.count(F.lit(1)).alias("n_documents"), F.sum("n_bytes").cast("bigint").alias("n_bytes")
     )

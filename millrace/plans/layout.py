@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from millrace.functions import arrays as A
 from millrace.functions.periods import longest_repetition, periodic_sequences
@@ -10,7 +10,7 @@ from millrace.operators import packing, quality
 from millrace.plans.chat import _chat_rows
 from millrace.plans.registry import query, table
 from millrace.plans.shared import CHUNK, SQL_CHAT_FIT, SQL_CHUNKS, SQL_DOC_TOKENS, encoded_documents, joined_ids
-from millrace.session import fresh_path
+from millrace.session import fresh_path, stage
 from millrace.sources import readers, writers
 
 MAX_COUNT = 8
@@ -19,12 +19,13 @@ MAX_COUNT = 8
 def _layout(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(chunks with instance_id, manifest)."""
     docs = encoded_documents(spark, sf)
-    manifest = packing.chunk_manifest(docs, CHUNK)
+    manifest = stage(packing.chunk_manifest(docs, CHUNK), "manifest")
     return packing.number_instances(packing.pack_chunks(docs, CHUNK), manifest), manifest
 
 
 def _manifest(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.chunk_manifest(encoded_documents(spark, sf), CHUNK)
+    """Written, so that it is counted once and its true size decides how it is joined."""
+    return stage(packing.chunk_manifest(encoded_documents(spark, sf), CHUNK), "manifest")
 
 
 @query("pack_chunks", f"WITH {SQL_CHUNKS} SELECT shard_id, chunk, input_ids FROM chunks")
@@ -67,11 +68,9 @@ def concat_datasets(spark, sf):
     early = packing.chunk_manifest(docs.where("source < 'src5'"), CHUNK)
 
     def numbered(manifest):
-        from pyspark.sql import Window
-
         return manifest.withColumn("ordinal", F.row_number().over(Window.orderBy("path")).cast("bigint") - 1)
 
-    both = packing.concat_manifests(numbered(late), numbered(early))
+    both = stage(packing.concat_manifests(numbered(late), numbered(early)), "manifest")
     chunks = packing.number_instances(packing.pack_chunks(docs, CHUNK), both)
     return chunks.select("shard_id", "chunk", "instance_id")
 
