@@ -246,6 +246,25 @@ def dead_loop_counts(calls: DataFrame) -> DataFrame:
 # --- variants --------------------------------------------------------------------------
 
 
+def generate_responses(
+    prompts: DataFrame, generate: Callable[[list[str]], list[str]], key: str = "prompt_id", text: str = "prompt", size: int = 1000
+) -> DataFrame:
+    """(key, response) from a function that answers a list of at most ``size`` prompts.
+
+    The hook for an external model. Write the result before it is used twice: a model may
+    answer differently when a task is repeated.
+    """
+    kind = prompts.schema[key].dataType.simpleString()
+
+    def run(frames):
+        for frame in frames:
+            for at in range(0, len(frame), size):
+                part = frame.iloc[at : at + size]
+                yield part[[key]].assign(response=generate(part[text].tolist()))
+
+    return prompts.select(key, text).mapInPandas(run, f"`{key}` {kind}, response string")
+
+
 def join_responses(prompts: DataFrame, responses: DataFrame, key: str = "prompt_id") -> DataFrame:
     """Each prompt with its response by key; a failed one is an empty text."""
     joined = prompts.join(responses.select(key, "response"), key, "left")

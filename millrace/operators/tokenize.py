@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -99,9 +99,28 @@ class Vocabulary:
         return F.array_join(self.decode_words(kept), " ")
 
 
+class BatchTokenizer:
+    """Any tokenizer that encodes a list of texts, in the place of a vocabulary.
+
+    It runs on Arrow batches inside the tasks; the texts stay where they are.
+    """
+
+    def __init__(self, encode_batch: Callable[[list[str]], list[list[int]]]):
+        self._encode_batch = encode_batch
+
+    def encode(self, text: Column | str) -> Column:
+        encode_batch = self._encode_batch
+
+        @F.arrow_udf("array<int>")
+        def encode(texts: pa.Array) -> pa.Array:
+            return pa.array(encode_batch(texts.to_pylist()), pa.list_(pa.int32()))
+
+        return encode(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+
+
 def encode_documents(
     docs: DataFrame,
-    vocab: Vocabulary,
+    vocab: Vocabulary | BatchTokenizer,
     text: str = "text",
     add_special: bool = True,
     truncate_to: int | None = None,
@@ -164,10 +183,11 @@ def chat_encode(
     turn is at least three tokens, so later ones than seq_len/3 cannot. That bounds the rows
     of a conversation before they are collected, however many turns it has.
     """
+    # encoded first: a Python step would hide the partitioning that window and groups share
+    encoded = encode_turns(turns, vocab, role, text).select(key, order, "ids", "mask")
     if seq_len is not None:
         place = F.row_number().over(Window.partitionBy(key).orderBy(order))
-        turns = turns.withColumn("__place", place).where(F.col("__place") <= seq_len // 3 + 1).drop("__place")
-    encoded = encode_turns(turns, vocab, role, text)
+        encoded = encoded.withColumn("__place", place).where(F.col("__place") <= seq_len // 3 + 1).drop("__place")
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "ids", "mask")))
     if seq_len is None:
         # the start is a turn of its own, before all others
@@ -177,7 +197,7 @@ def chat_encode(
             F.array(F.lit(EOS)).alias("ids"),
             F.array(F.lit(False)).alias("mask"),
         )
-        pieces = encoded.select(key, order, "ids", "mask").unionByName(start)
+        pieces = encoded.unionByName(start)
         part = F.floor(F.greatest(F.col(order), F.lit(0)) / PART_TURNS).cast("bigint").alias("part")
         joined = pieces.groupBy(key, part).agg(ordered.alias("turns"))
         return joined.select(
@@ -310,6 +330,3 @@ def render_chat_prompt(messages: Column, system: Column | None = None) -> Column
         filled = F.coalesce(F.length(system), F.lit(0)) > 0
         start = F.concat(F.when(filled, F.concat(system, F.lit("\n"))).otherwise(F.lit("")), start)
     return F.concat(start, body)
-
-
-__all__ = [name for name in dir() if not name.startswith("_")]

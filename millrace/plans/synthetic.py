@@ -397,7 +397,7 @@ def generation_quota(spark, sf):
 
 def _slots(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Questions, predictions and answers by (case_id, slot); the last slot has no prediction."""
-    variants = _variants(spark, sf)
+    variants = stage(_variants(spark, sf), "variants")  # three tables come from it
     last = variants.groupBy("case_id").agg(F.max("slot").alias("last"))
     predictions = variants.join(last, "case_id").where("slot < last")
     return (
@@ -440,7 +440,7 @@ def join_responses(spark, sf):
 @query("merge_retries", f"""WITH {SQL_VARIANTS}
 SELECT case_id, slot, CASE WHEN NOT {SQL_ACCEPT} AND slot % 2 = 0 THEN 'again ' || new_answer WHEN case_id % 9 = 0 THEN '' ELSE new_prediction END AS new_prediction FROM va""")
 def merge_retries(spark, sf):
-    variants = _variants(spark, sf)
+    variants = stage(_variants(spark, sf), "variants")
     wrong = variants.join(S.verify_variants(variants).select("case_id", "slot"), ["case_id", "slot"], "left_anti")
     retried = wrong.where("slot % 2 = 0").select("case_id", "slot", F.concat(F.lit("again "), "new_answer").alias("response"))
     held = variants.select(

@@ -254,6 +254,20 @@ def test_long_conversation_comes_in_parts(spark):
     assert "".join(r["text"] for r in text) == "hi\n" * 5000
 
 
+def test_any_batch_tokenizer_fits_in(spark):
+    letters = tokenize.BatchTokenizer(lambda texts: [[ord(c) for c in t] for t in texts])
+    docs = spark.createDataFrame([(1, "ab"), (2, None)], "doc_id bigint, text string")
+    got = tokenize.encode_documents(docs, letters, truncate_to=2).orderBy("doc_id").collect()
+    assert [r["input_ids"] for r in got] == [[97, 0], [0]]
+
+
+def test_model_hook_gets_small_lists(spark):
+    prompts = spark.range(25).select(F.col("id").alias("prompt_id"), F.col("id").cast("string").alias("prompt")).coalesce(1)
+    got = S.generate_responses(prompts, lambda texts: [f"{t}/{len(texts)}" for t in texts], size=10)
+    answers = {r["prompt_id"]: r["response"] for r in S.join_responses(prompts, got.where("prompt_id <> 3")).collect()}
+    assert answers[0] == "0/10" and answers[24] == "24/5" and answers[3] == ""
+
+
 def test_append_and_truncate(spark):
     assert one(spark, A.append_once(F.col("a"), 0), a=[1, 0]) == [1, 0]
     assert one(spark, A.append_once(F.col("a"), 0), a=[1]) == [1, 0]
