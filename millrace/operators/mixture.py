@@ -47,8 +47,8 @@ def mix_datasets(
     """Concatenate a sample of every part.
 
     An amount up to 1 is a fraction; above 1 it is a number of rows, the first ones in
-    seeded order. The rows are found by their position, so a large amount is as parallel
-    as a small one.
+    seeded order. Only the keys are put in order, to find the last one that is taken; the
+    rows are then compared with it where they are.
     """
     chosen = []
     for name, amount in amounts.items():
@@ -56,8 +56,11 @@ def mix_datasets(
         if amount <= 1:
             part = part.where(seeded_unit(seed, key) < F.lit(float(amount)))
         else:
-            placed = hashed_position(part, seeded_md5(seed, key), ties=[key], out="__place")
-            part = placed.where(F.col("__place") < int(amount)).drop("__place")
+            digest = seeded_md5(seed, key)
+            placed = hashed_position(part.select(key), digest, ties=[key], out="__place")
+            taken = placed.where(F.col("__place") < int(amount))
+            last = taken.agg(F.max(F.struct(digest.alias("h"), F.col(key).alias("k")))).scalar()
+            part = part.where(F.struct(digest.alias("h"), F.col(key).alias("k")) <= last)
         chosen.append(part.select(*columns) if columns else part)
     return reduce(lambda a, b: a.unionByName(b), chosen)
 

@@ -25,9 +25,12 @@ def epoch_orders(instances: DataFrame, seed: int, epochs: int, key: str = "insta
     return placed.withColumn("epoch", F.col("epoch").cast("bigint"))
 
 
-def even_world(order: DataFrame, world: int, drop_last: bool) -> DataFrame:
-    """Make the order a multiple of ``world``: cut it, or repeat it from its start."""
-    n = order.agg(F.count(F.lit(1))).scalar()
+def even_world(order: DataFrame, world: int, drop_last: bool, size: Column | None = None) -> DataFrame:
+    """Make the order a multiple of ``world``: cut it, or repeat it from its start.
+
+    ``size`` is the number of instances; given, the order is not computed to be counted.
+    """
+    n = order.agg(F.count(F.lit(1))).scalar() if size is None else size
     if drop_last:
         return order.where(F.col("position") < n - n % world)
     total = F.ceil(n / world) * world

@@ -75,14 +75,19 @@ SELECT 'documents-' || CAST(row_number() OVER (ORDER BY doc_id) - 1 AS VARCHAR)
 FROM documents""")
 def write_jsonl(spark, sf):
     path = fresh_path(spark, "jsonl")
-    rows = assign_ids(spread_table(spark, sf, "documents", "doc_id", "text"), "documents", "doc_id", "-")
-    writers.write_jsonl(rows.select("id", "text", F.lit("documents").alias("source")), path)
+    rows = readers.stored_position(spark, f"{sf}/documents.parquet", ["text"])
+    named = rows.select(
+        F.concat(F.lit("documents-"), F.col("position").cast("string")).alias("id"), "text", F.lit("documents").alias("source")
+    )
+    writers.write_jsonl(spread(named), path)
     return readers.read_documents(spark, [path])
 
 
 def _sharded(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spread(_docs(spark, sf))
-    return writers.shard_by_size(docs, "doc_id", F.octet_length("text"), SHARD_BYTES)
+    # sizes are taken where the text is read; the text itself goes no further
+    docs = spread_table(spark, sf, "documents", "doc_id", "source", "text")
+    sized = docs.select("doc_id", "source", F.octet_length("text").alias("n_bytes"), F.size(words("text")).alias("n_tokens"))
+    return writers.shard_by_size(sized, "doc_id", F.col("n_bytes"), SHARD_BYTES)
 
 
 SQL_SHARDED = f"""
@@ -269,7 +274,7 @@ listed AS (SELECT source, shard FROM sharded GROUP BY source, shard HAVING {sql_
 SELECT source, shard, count(*) AS n_documents, CAST(sum(n_bytes) AS BIGINT) AS n_bytes
 FROM sharded SEMI JOIN listed USING (source, shard) GROUP BY source, shard""")
 def select_shards(spark, sf):
-    sharded = _sharded(spark, sf).select("source", "shard", F.octet_length("text").alias("n_bytes"))
+    sharded = _sharded(spark, sf).select("source", "shard", "n_bytes")
     listed = stage(sharded.select("source", "shard").distinct().where(seeded_unit(SEED, "source", "shard") < 0.25), "listed")
     return mixture.select_shards(sharded, listed).groupBy("source", "shard").agg(
         F.count(F.lit(1)).alias("n_documents"), F.sum("n_bytes").cast("bigint").alias("n_bytes")
@@ -297,7 +302,7 @@ per AS (SELECT source, count(DISTINCT shard) AS files, count(*) AS documents,
 SELECT source, files, documents, tokens, round(documents / CAST(sum(documents) OVER () AS DOUBLE), 9) AS document_share,
        round(tokens / CAST(sum(tokens) OVER () AS DOUBLE), 9) AS token_share FROM per""")
 def mixture_report(spark, sf):
-    return mixture.mixture_report(_sharded(spark, sf), F.size(words("text")))
+    return mixture.mixture_report(_sharded(spark, sf), F.col("n_tokens"))
 
 
 @query("union_sources", """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.functions import arrays as A
 from millrace.operators import ordering, packing, tokenize
@@ -23,6 +23,10 @@ def _instances(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("instance_id"))
 
 
+def _size(spark: SparkSession, sf: str) -> Column:
+    return _instances(spark, sf).agg(F.count(F.lit(1))).scalar()
+
+
 def _order(spark: SparkSession, sf: str) -> DataFrame:
     return ordering.seeded_order(_instances(spark, sf), SEED)
 
@@ -49,8 +53,9 @@ UNION ALL SELECT 'padded', p, instance_id FROM n CROSS JOIN LATERAL (SELECT unne
   JOIN ord ON ord.position = p % n""")
 def even_world(spark, sf):
     order = _order(spark, sf)
-    cut = ordering.even_world(order, WORLD, drop_last=True).withColumn("mode", F.lit("cut"))
-    padded = ordering.even_world(order, WORLD, drop_last=False).withColumn("mode", F.lit("padded"))
+    n = _size(spark, sf)
+    cut = ordering.even_world(order, WORLD, drop_last=True, size=n).withColumn("mode", F.lit("cut"))
+    padded = ordering.even_world(order, WORLD, drop_last=False, size=n).withColumn("mode", F.lit("padded"))
     return cut.unionByName(padded).select("mode", "position", "instance_id")
 
 
@@ -73,7 +78,7 @@ ranked AS (SELECT position, instance_id, n, (position - {START}) % {WORLD} AS ra
 
 def _even(spark: SparkSession, sf: str) -> DataFrame:
     """The whole order, cut to the world size and resumed at START."""
-    cut = ordering.even_world(_order(spark, sf), WORLD, drop_last=True)
+    cut = ordering.even_world(_order(spark, sf), WORLD, drop_last=True, size=_size(spark, sf))
     return ordering.rank_stripe(ordering.slice_order(cut, WORLD, None, START), WORLD, START)
 
 
@@ -90,7 +95,7 @@ w AS (SELECT rank, local, instance_id, CASE WHEN local >= m // {BATCH} * {BATCH}
 SELECT rank, worker, row_number() OVER (PARTITION BY rank, worker ORDER BY is_left, local) - 1 AS worker_seq, instance_id FROM w""")
 def worker_stripe(spark, sf):
     striped = _even(spark, sf)
-    n = _instances(spark, sf).agg(F.count(F.lit(1))).scalar()
+    n = _size(spark, sf)
     total = n - n % WORLD
     shared = ordering.worker_stripe(striped, WORLD, START, BATCH, WORKERS, total)
     return shared.select("rank", "worker", "worker_seq", "instance_id")

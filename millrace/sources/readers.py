@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from millrace.sources import manifests
+
 DOCUMENT_SCHEMA = "id string, text string, source string"
 MESSAGES_TYPE = "array<struct<role:string,content:string>>"
 
@@ -62,28 +64,62 @@ def load_corpus(
     return corpus.convert(rows) if corpus.convert else rows
 
 
-def fold_number(position: Column, total: Column, folds: int = 10) -> Column:
-    """Fold of a position: fold k holds [round(n*k/folds), round(n*(k+1)/folds))."""
-    fold = F.lit(0).cast("bigint")
-    for k in range(1, folds):
-        percent = 100 * k // folds
-        edge = F.bround(total * F.lit(percent) / F.lit(100.0))
-        fold = fold + (position >= edge).cast("bigint")
-    return fold
+MAX_BROADCAST_FILES = 2_000_000  # 16 bytes each; with more files the join is a plain one
 
 
-def percent_fold(df: DataFrame, key: str, fold: int, folds: int = 10) -> DataFrame:
-    """Rows of one fold of the stored order (the order of a unique integer key)."""
-    return with_folds(df, key, folds).where(F.col("fold") == fold).drop("fold")
+def stored_position(spark: SparkSession, path: str, columns: Sequence[str], out: str = "position") -> DataFrame:
+    """Rows of a Parquet table with their dense place in stored order: by file, then by row.
+
+    A row knows its place in its file, so only file sizes have to be added up. The rows
+    themselves are not shuffled, however wide they are.
+    """
+    from millrace.session import stage
+
+    rows = spark.read.parquet(path).select(
+        *columns, F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__row")
+    )
+    sizes = rows.groupBy("__path").agg((F.max("__row") + 1).alias("n_rows"))
+    files = stage(manifests.chunk_offsets(sizes, "n_rows", "__path").select(F.xxhash64("__path").alias("__file"), "start"), "files")
+    n_files, n_keys = files.agg(F.count(F.lit(1)), F.countDistinct("__file")).first()
+    if n_files != n_keys:
+        raise ValueError("two file names have the same hash")
+    files = F.broadcast(files) if n_files <= MAX_BROADCAST_FILES else files
+    placed = rows.withColumn("__file", F.xxhash64("__path")).join(files, "__file")
+    return placed.select(*columns, (F.col("start") + F.col("__row")).alias(out))
+
+
+def fold_bounds(df: DataFrame, key: str, folds: int = 10) -> list[int | None]:
+    """The first key of folds 1, 2, ...; None where no row is left.
+
+    Fold k of n rows holds the places [round(n*k/folds), round(n*(k+1)/folds)) in key order,
+    rounded half to even. Only keys are placed, and only the bounds come back.
+    """
+    from millrace.operators.prefix import dense_position
+
+    keys = df.select(key)
+    n = keys.count()
+    edges = [round(n * (100 * k // folds) / 100) for k in range(1, folds)]
+    placed = dense_position(keys, key, out="__place")
+    row = placed.agg(*[F.min(F.when(F.col("__place") >= e, F.col(key))) for e in edges]).first()
+    return list(row)
 
 
 def with_folds(df: DataFrame, key: str, folds: int = 10) -> DataFrame:
-    """Every row with its fold number; the folds are disjoint and complete."""
-    from millrace.operators.prefix import dense_position
+    """Every row with its fold number; the folds are disjoint and complete.
+
+    A fold is a range of the key, so rows are compared with the bounds and stay where they are.
+    """
+    passed = [(F.col(key) >= b).cast("bigint") for b in fold_bounds(df, key, folds) if b is not None]
+    return df.withColumn("fold", sum(passed, F.lit(0)).cast("bigint"))
+
 
-    placed = dense_position(df, key, out="__position")
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return placed.withColumn("fold", fold_number(F.col("__position"), total, folds)).drop("__position")
+def percent_fold(df: DataFrame, key: str, fold: int, folds: int = 10) -> DataFrame:
+    """Rows of one fold of the order of a unique integer key: a range the scan can skip to."""
+    bounds = [None, *fold_bounds(df, key, folds), None]
+    low, high = bounds[fold], bounds[fold + 1]
+    if fold > 0:
+        df = df.where(F.col(key) >= low) if low is not None else df.limit(0)
+    return df.where(F.col(key) < high) if high is not None else df
 
 
 def read_token_chunks(

@@ -104,6 +104,9 @@ def test_folds_are_disjoint_and_complete(spark, n):
     for k in range(10):
         lo, hi = round(n * 10 * k / 100), round(n * 10 * (k + 1) / 100)
         assert sorted(r["id"] for r in got if r["fold"] == k) == list(range(lo, hi))
+    for k in (0, 4, 9):
+        one = readers.percent_fold(spark.range(n), "id", k).collect()
+        assert sorted(r["id"] for r in one) == sorted(r["id"] for r in got if r["fold"] == k)
 
 
 def naive_runs(x, max_period=13):

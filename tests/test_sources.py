@@ -120,3 +120,26 @@ def test_stream_equals_batch_over_many_files(spark):
     stops = {r["rank"]: r["step"] for r in got.where("stop").select("rank", "step").collect()}
     want_stops = {r["rank"]: r["stop_step"] for r in T.early_stop(batch, 3.0, 10, 2).collect()}
     assert stops == want_stops
+
+
+def test_stored_position_counts_over_files(spark):
+    path = fresh_path(spark, "many")
+    spark.range(1000).select(F.col("id"), F.lit("x" * 50).alias("text")).repartition(7).write.parquet(path)
+    placed = readers.stored_position(spark, path, ["id", "text"])
+    assert sorted(r["position"] for r in placed.select("position").collect()) == list(range(1000))
+    text = plan(placed)
+    assert "Exchange hashpartitioning" not in text and "BroadcastHashJoin" in text
+    one_file = fresh_path(spark, "one")
+    spark.range(100).coalesce(1).write.parquet(one_file)
+    assert all(r["id"] == r["position"] for r in readers.stored_position(spark, one_file, ["id"]).collect())
+
+
+def test_wide_rows_stay_where_they_are(spark):
+    """Folds and amounts are decided on keys alone."""
+    from millrace.operators import mixture
+
+    wide = spark.range(200).select("id", F.lit("x" * 100).alias("text"))
+    for df in (readers.with_folds(wide, "id"), mixture.mix_datasets({"a": wide}, {"a": 17}, "id", 1)):
+        main = plan(df).split("Subquery")[0]
+        assert "Exchange" not in main
+    assert mixture.mix_datasets({"a": wide}, {"a": 17}, "id", 1).count() == 17
