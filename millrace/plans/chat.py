@@ -100,9 +100,10 @@ def decode_tokens(spark, sf):
     return encoded.select("doc_id", vocab.decode(F.col("input_ids"), skip_special=True).alias("decoded"))
 
 
-@query("chat_encode", f"""WITH {SQL_CHAT_FLAT}
-SELECT conv_id, CAST(0 AS BIGINT) AS part, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY p) AS input_ids,
-       string_agg(CAST(CAST(lab AS INTEGER) AS VARCHAR), ' ' ORDER BY p) AS label_mask FROM flat GROUP BY conv_id""")
+@query("chat_encode", f"""WITH {SQL_CHAT_FLAT},
+every AS (SELECT conv_id, turn, part AS o, pos, id, lab FROM seg UNION ALL SELECT conv_id, -1, 0, 0, 0, false FROM (SELECT DISTINCT conv_id FROM conversations))
+SELECT conv_id, greatest(turn, 0) // 4096 AS part, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY turn, o, pos) AS input_ids,
+       string_agg(CAST(CAST(lab AS INTEGER) AS VARCHAR), ' ' ORDER BY turn, o, pos) AS label_mask FROM every GROUP BY ALL""")
 def chat_encode(spark, sf):
     return _as_text(tokenize.chat_encode(_turns(spark, sf), chat_vocab(spark, sf)))
 
