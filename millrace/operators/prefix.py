@@ -30,7 +30,8 @@ def running_offset(
     """Add the exclusive running sum of ``weight`` in ``key`` order within ``by``.
 
     ``weight`` defaults to 1, which makes ``out`` a dense position starting at 0.
-    ``ties`` order rows of equal key. Columns in ``by`` must not be NULL.
+    ``ties`` order rows of equal key. Columns in ``by`` must not be NULL. All columns of ``df``
+    travel with the window, so hand in only those that are needed.
     """
     return running_offsets(df, key, {out: F.lit(1) if weight is None else weight}, by, ties, shifts)
 

@@ -31,13 +31,11 @@ def pair_has_labels(df: DataFrame) -> DataFrame:
 def repetition_mask(
     df: DataFrame, ids: str = "input_ids", min_period: int = 1, max_period: int = 13, max_count: int = 32
 ) -> DataFrame:
-    """instance_mask is false where some run of a short period repeats ``max_count`` times.
-
-    Rows are masked, not removed.
+    """times is the most repetitions of any run of a short period, instance_mask false where
+    they reach ``max_count``. Rows are masked, not removed.
     """
-    return df.withColumn(
-        "instance_mask", longest_repetition(F.col(ids), min_period, max_period) < F.lit(max_count)
-    )
+    counted = df.withColumn("times", longest_repetition(F.col(ids), min_period, max_period))
+    return counted.withColumn("instance_mask", F.col("times") < F.lit(max_count))
 
 
 def select_unsolved(cases: DataFrame, clear: list[str], rework: bool = False) -> DataFrame:

@@ -35,6 +35,12 @@ def build_vocab(texts: DataFrame, text: str = "text", size: int = VOCAB_SIZE) ->
     return top.select("token", (rank + (len(RESERVED) - 1)).cast("bigint").alias("token_id"), "n")
 
 
+def _lists(like: pa.Array, values: pa.Array) -> pa.Array:
+    """Values cut into lists as long as those of ``like``."""
+    starts = pc.subtract(like.offsets, like.offsets[0]).cast(pa.int32())
+    return pa.ListArray.from_arrays(starts, values)
+
+
 class Vocabulary:
     """A vocabulary of at most 65,536 words, shipped once to every executor.
 
@@ -72,14 +78,27 @@ class Vocabulary:
             flat = batch.flatten().cast(pa.string())
             ids = pc.add(pc.index_in(flat, value_set=known), first)
             ids = pc.fill_null(ids, unknown).cast(pa.int32())
-            starts = pc.subtract(batch.offsets, batch.offsets[0]).cast(pa.int32())
-            return pa.ListArray.from_arrays(starts, ids)
+            return _lists(batch, ids)
 
         return encode(F.coalesce(word_array, F.array().cast("array<string>")))
 
     def encode(self, text: Column | str) -> Column:
         return self.encode_words(words(text))
 
+    def encode_each(self, texts: Column) -> Column:
+        """Ids of every text of an array of texts."""
+        shared, first, unknown = self._shared, len(RESERVED), UNK
+
+        @F.arrow_udf("array<array<int>>")
+        def encode(batch: pa.Array) -> pa.Array:
+            known = pa.array(shared.value, pa.string())
+            inner = batch.flatten()
+            ids = pc.add(pc.index_in(inner.flatten().cast(pa.string()), value_set=known), first)
+            ids = pc.fill_null(ids, unknown).cast(pa.int32())
+            return _lists(batch, _lists(inner, ids))
+
+        return encode(F.transform(texts, words))
+
     def decode_words(self, ids: Column) -> Column:
         """Words of an array of ids."""
         shared, reserved = self._shared, RESERVED
@@ -88,8 +107,7 @@ class Vocabulary:
         def decode(batch: pa.Array) -> pa.Array:
             table = pa.array([*reserved, *shared.value], pa.string())
             flat = table.take(batch.flatten())
-            starts = pc.subtract(batch.offsets, batch.offsets[0]).cast(pa.int32())
-            return pa.ListArray.from_arrays(starts, flat)
+            return _lists(batch, flat)
 
         return decode(F.coalesce(ids, F.array().cast("array<int>")))
 
@@ -117,6 +135,16 @@ class BatchTokenizer:
 
         return encode(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
+    def encode_each(self, texts: Column) -> Column:
+        encode_batch = self._encode_batch
+
+        @F.arrow_udf("array<array<int>>")
+        def encode(batch: pa.Array) -> pa.Array:
+            ids = pa.array(encode_batch(batch.flatten().to_pylist()), pa.list_(pa.int32()))
+            return _lists(batch, ids)
+
+        return encode(F.transform(texts, lambda t: F.coalesce(t, F.lit(""))))
+
 
 def encode_documents(
     docs: DataFrame,
@@ -144,32 +172,33 @@ def role_id(role: Column) -> Column:
     return out.otherwise(F.raise_error(F.concat(F.lit("unknown role "), F.coalesce(role, F.lit("NULL")))).cast("int"))
 
 
-def encode_turns(turns: DataFrame, vocab: Vocabulary, role: str = "role", text: str = "text") -> DataFrame:
-    """Per turn its ids and label mask.
+def turn_ids(role: Column, content: Column) -> Column:
+    """A turn's ids: role line, content, a newline; a reply has an eos before the newline."""
+    head = F.array(role_id(role), F.lit(NEWLINE))
+    tail = F.when(role == "assistant", F.array(F.lit(EOS), F.lit(NEWLINE))).otherwise(F.array(F.lit(NEWLINE)))
+    return F.concat(head, content, tail)
 
-    A turn is its role line, its content and a newline. An assistant turn has an eos before
-    the newline; its content and eos are labelled, the newline is not.
-    """
-    content = turns.withColumn("__content", vocab.encode(text))
-    reply = F.col(role) == "assistant"
-    head = F.array(role_id(F.col(role)), F.lit(NEWLINE))
-    tail = F.when(reply, F.array(F.lit(EOS), F.lit(NEWLINE))).otherwise(F.array(F.lit(NEWLINE)))
-    size = F.size("__content")
-    mask = F.concat(
-        F.array(F.lit(False), F.lit(False)),
-        F.array_repeat(reply, size),
-        F.when(reply, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False))),
-    )
+
+def turn_mask(role: Column, content: Column) -> Column:
+    """A turn's label mask: true for a reply's content and eos, not for its newline."""
+    reply = role == "assistant"
+    tail = F.when(reply, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
+    return F.concat(F.array(F.lit(False), F.lit(False)), F.array_repeat(reply, F.size(content)), tail)
+
+
+def encode_turns(turns: DataFrame, vocab: Vocabulary | BatchTokenizer, role: str = "role", text: str = "text") -> DataFrame:
+    """Per turn its ids and label mask."""
+    encoded = turns.withColumn("__content", vocab.encode(text))
     return (
-        content.withColumn("ids", F.concat(head, F.col("__content"), tail))
-        .withColumn("mask", mask)
+        encoded.withColumn("ids", turn_ids(F.col(role), F.col("__content")))
+        .withColumn("mask", turn_mask(F.col(role), F.col("__content")))
         .drop("__content")
     )
 
 
 def chat_encode(
     turns: DataFrame,
-    vocab: Vocabulary,
+    vocab: Vocabulary | BatchTokenizer,
     key: str = "conv_id",
     order: str = "turn",
     role: str = "role",
@@ -214,7 +243,7 @@ def chat_encode(
     )
 
 
-def chat_lengths(turns: DataFrame, vocab: Vocabulary, key: str = "conv_id", role: str = "role", text: str = "text") -> DataFrame:
+def chat_lengths(turns: DataFrame, vocab: Vocabulary | BatchTokenizer, key: str = "conv_id", role: str = "role", text: str = "text") -> DataFrame:
     """(key, n_full): tokens of each whole conversation, summed without putting it together."""
     sizes = encode_turns(turns, vocab, role, text).select(key, F.size("ids").alias("n"))
     return sizes.groupBy(key).agg((F.sum("n") + 1).cast("bigint").alias("n_full"))
@@ -237,7 +266,7 @@ def count_tokens(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def encode_preferences(
-    pairs: DataFrame, vocab: Vocabulary, key: str = "pair_id", seq_len: int = 2048, bos: int | None = None
+    pairs: DataFrame, vocab: Vocabulary | BatchTokenizer, key: str = "pair_id", seq_len: int = 2048, bos: int | None = None
 ) -> DataFrame:
     """Both sides of each pair as ids, labels and attention mask.
 
@@ -252,40 +281,14 @@ def encode_preferences(
             F.raise_error(F.lit(f"{side} messages field is empty")).cast(pairs.schema[side].dataType)
         )
         out = out.withColumn(side, checked)
-        # one word list for the whole side, and how many words each message has
-        per_message = F.transform(side, lambda m: words(m["content"]))
-        out = out.withColumn("__n", F.transform(per_message, lambda w: F.size(w)))
-        out = out.withColumn("__ids", vocab.encode_words(F.flatten(per_message)))
-        spans = F.transform(
-            F.sequence(F.lit(1), F.size(side)),
-            lambda i: F.struct(
-                F.element_at(side, i)["role"].alias("role"),
-                F.element_at("__n", i).alias("n"),
-                F.aggregate(F.slice("__n", F.lit(1), i - 1), F.lit(0), lambda a, x: a + x).alias("before"),
-            ),
-        )
-
-        def segment(s: Column, labelled: bool) -> Column:
-            reply = s["role"] == "assistant"
-            if labelled:
-                return F.concat(
-                    F.array(F.lit(False), F.lit(False)),
-                    F.array_repeat(reply, s["n"]),
-                    F.when(reply, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False))),
-                )
-            return F.concat(
-                F.array(role_id(s["role"]), F.lit(NEWLINE)),
-                F.slice(F.col("__ids"), s["before"] + 1, s["n"]),
-                F.when(reply, F.array(F.lit(EOS), F.lit(NEWLINE))).otherwise(F.array(F.lit(NEWLINE))),
-            )
-
+        out = out.withColumn("__ids", vocab.encode_each(F.transform(side, lambda m: m["content"])))
         start_ids = [EOS] if bos is None else [bos, EOS]
         start = F.array(*[F.lit(x) for x in start_ids])
         start_mask = F.array(*[F.lit(False) for _ in start_ids])
-        out = out.withColumn("__spans", spans)
-        ids = F.concat(start, F.flatten(F.transform("__spans", lambda s: segment(s, False))))
-        mask = F.concat(start_mask, F.flatten(F.transform("__spans", lambda s: segment(s, True))))
-        out = out.withColumn(f"{side}_input_ids", A.truncate(ids, seq_len))
+        ids = F.zip_with(side, "__ids", lambda m, x: turn_ids(m["role"], x))
+        mask = F.zip_with(side, "__ids", lambda m, x: turn_mask(m["role"], x))
+        out = out.withColumn(f"{side}_input_ids", A.truncate(F.concat(start, F.flatten(ids)), seq_len))
+        mask = F.concat(start_mask, F.flatten(mask))
         labels = F.zip_with(
             F.col(f"{side}_input_ids"),
             A.truncate(mask, seq_len),
@@ -293,7 +296,7 @@ def encode_preferences(
         )
         out = out.withColumn(f"{side}_labels", labels)
         out = out.withColumn(f"{side}_attention_mask", F.transform(f"{side}_input_ids", lambda x: F.lit(1)))
-        out = out.drop("__n", "__ids", "__spans")
+        out = out.drop("__ids")
     names = [f"{s}_{p}" for s in ("chosen", "rejected") for p in ("input_ids", "labels", "attention_mask")]
     return out.select(key, *names)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from millrace.functions import arrays as A
-from millrace.functions.periods import longest_repetition, periodic_sequences
+from millrace.functions.periods import periodic_sequences
 from millrace.operators import packing, quality
 from millrace.plans.chat import _chat_rows
 from millrace.plans.registry import query, table
@@ -112,11 +112,7 @@ FROM chunks LEFT JOIN most ON k_ = shard_id || '/' || chunk""")
 def repetition_mask(spark, sf):
     chunks, _ = _layout(spark, sf)
     masked = quality.repetition_mask(chunks, max_count=MAX_COUNT)
-    return masked.select(
-        "instance_id",
-        longest_repetition(F.col("input_ids")).alias("times"),
-        F.col("instance_mask").cast("int").alias("instance_mask"),
-    )
+    return masked.select("instance_id", "times", F.col("instance_mask").cast("int").alias("instance_mask"))
 
 
 @query("consecutive_groups", """

@@ -13,7 +13,7 @@ VOCAB = 50280
 
 def joined_ids(col: Column) -> Column:
     """An array as one blank separated text, so that every engine compares it alike."""
-    return F.array_join(F.transform(col, lambda x: x.cast("int").cast("string")), " ")
+    return F.array_join(col.cast("array<int>").cast("array<string>"), " ")
 
 
 def sql_words(col: str) -> str:

@@ -35,7 +35,7 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def _cases(spark: SparkSession, sf: str) -> DataFrame:
     first = _lines(spark, sf).groupBy("case_id").agg(F.min_by("q", "ordinal").cast("string").alias("q"))
-    orders = table(spark, sf, "orders").select(
+    orders = spread_table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus").select(
         F.col("o_orderkey").alias("case_id"),
         F.col("o_custkey").cast("string").alias("cust"),
         F.floor("o_totalprice").cast("bigint").cast("string").alias("price"),

@@ -261,6 +261,30 @@ def test_any_batch_tokenizer_fits_in(spark):
     assert [r["input_ids"] for r in got] == [[97, 0], [0]]
 
 
+def test_pairs_are_encoded_per_message(spark):
+    kind = "pair_id bigint, chosen array<struct<role:string,content:string>>, rejected array<struct<role:string,content:string>>"
+    pairs = spark.createDataFrame([(1, [("user", "hi"), ("assistant", "ok what")], [("assistant", "")])], kind)
+    row = tokenize.encode_preferences(pairs, Vocabulary(spark, ["hi", "ok"])).first()
+    assert row["chosen_input_ids"] == [0, 4, 3, 7, 3, 5, 3, 8, 2, 0, 3]
+    assert row["chosen_labels"] == [-100] * 7 + [8, 2, 0, -100]
+    assert row["rejected_input_ids"] == [0, 5, 3, 0, 3] and row["rejected_labels"] == [-100, -100, -100, 0, -100]
+    row = tokenize.encode_preferences(pairs, tokenize.BatchTokenizer(lambda t: [[9] * len(x) for x in t]), bos=6, seq_len=6).first()
+    assert row["chosen_input_ids"] == [6, 0, 4, 3, 9, 9] and row["chosen_attention_mask"] == [1] * 6
+    with pytest.raises(ValueError):
+        tokenize.encode_preferences(pairs, Vocabulary(spark, []), bos=0)
+    empty = spark.createDataFrame([(1, [], [("user", "x")])], kind)
+    with pytest.raises(Exception, match="chosen messages field is empty"):
+        tokenize.encode_preferences(empty, Vocabulary(spark, [])).collect()
+
+
+def test_removed_rows_are_counted_in_passing(spark):
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    rows = spark.createDataFrame([(0,), (3,), (0,)], "n_labels bigint")
+    assert quality.has_labels(rows, seen).count() == 1 and seen.get["removed"] == 2
+
+
 def test_model_hook_gets_small_lists(spark):
     prompts = spark.range(25).select(F.col("id").alias("prompt_id"), F.col("id").cast("string").alias("prompt")).coalesce(1)
     got = S.generate_responses(prompts, lambda texts: [f"{t}/{len(texts)}" for t in texts], size=10)
