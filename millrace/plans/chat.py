@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from millrace.functions import arrays as A
-from millrace.functions.hashing import seeded_md5
 from millrace.operators import ordering, quality, tokenize
 from millrace.plans.corpus import SQL_QA, _questions
 from millrace.plans.registry import query, spread_table, table

@@ -10,7 +10,7 @@ from millrace.operators import mixture, normalize
 from millrace.operators.normalize import assign_ids
 from millrace.plans.registry import query, spread_table, table, text_literal
 from millrace.plans.shared import SEED, sql_md5, sql_strip, sql_unit, sql_words
-from millrace.session import fresh_path, spread, stage
+from millrace.session import fresh_path, stage
 from millrace.sources import manifests, readers, writers
 
 LANGS = ("de", "en", "es", "fr")
@@ -79,7 +79,7 @@ def write_jsonl(spark, sf):
     named = rows.select(
         F.concat(F.lit("documents-"), F.col("position").cast("string")).alias("id"), "text", F.lit("documents").alias("source")
     )
-    writers.write_jsonl(spread(named), path)
+    writers.write_jsonl(named, path)
     return readers.read_documents(spark, [path])
 
 

@@ -9,13 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from millrace.functions.hashing import seeded_unit
 from millrace.functions.text import words
 from millrace.operators import evaluation as E
-from millrace.operators import quality, tasks
+from millrace.operators import tasks
 from millrace.operators.prefix import dense_position
 from millrace.plans.chat import _chat_rows
 from millrace.plans.corpus import SQL_MC, SQL_QA, _multiple_choice, _questions
 from millrace.plans.registry import query, table
 from millrace.plans.shared import (
-    CHAT_LEN,
     SEED,
     SQL_CHAT_FIT,
     chat_vocab,

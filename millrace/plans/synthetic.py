@@ -9,7 +9,7 @@ from millrace.functions.hashing import seeded_unit
 from millrace.functions.text import last_number
 from millrace.operators import quality, synthetic as S
 from millrace.plans.registry import query, spread_table, table, text_literal
-from millrace.plans.shared import FLOAT_RE, SEED, sql_float, sql_last_number, sql_md5, sql_strip
+from millrace.plans.shared import SEED, sql_float, sql_last_number, sql_md5, sql_strip
 from millrace.session import stage
 
 # --- derived inputs --------------------------------------------------------------------

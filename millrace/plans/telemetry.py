@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.functions import arrays as A
 from millrace.operators import quality, telemetry as T
-from millrace.plans.chat import PAIR_LEN, SQL_PAIR_TOKENS, _chat_rows, _encoded_pairs, _sides
+from millrace.plans.chat import SQL_PAIR_TOKENS, _chat_rows, _encoded_pairs, _sides
 from millrace.plans.registry import query, table
-from millrace.plans.shared import CHAT_LEN, SQL_CHAT_FIT
+from millrace.plans.shared import SQL_CHAT_FIT
 from millrace.session import fresh_path
 from millrace.streaming.telemetry_stream import metrics_stream, run_to_table
 

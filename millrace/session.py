@@ -62,8 +62,9 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores when the input has fewer splits than the cluster has cores.
 
-    A small file is often one row group and so one task, however heavy the work per row. A
-    large input has splits enough and is left as it is, so this never shuffles one.
+    For plain scans. A small file is often one row group and so one task, however heavy the
+    work per row. A large input has splits enough and is left as it is, so this never
+    shuffles one.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
