@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import ngram_join
+from millrace.llm import bpe, decontaminate, line_dedup, mil_classifier, ngram_join
 
 QUERIES = {}
 ORACLES = {}
@@ -38,3 +38,94 @@ least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, coalesce(l.component_id, d.doc_id) AS component_id
 FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN least l USING (doc_id)
 """
+
+
+def in_fold(doc_id, folds: int, fold: int):
+    """Whether the crc32 of an id's text falls in a fold; a null id does not."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
+
+
+QUALITY_THRESHOLD = 0.3
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = mil_classifier.fit(docs, labels.where(~in_fold(F.col("doc_id"), 5, 0)))
+    return mil_classifier.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", in_fold(F.col("doc_id"), 5, 0).alias("held_out"), "score",
+        (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+QUERIES["op5_quality_classifier"] = op5_quality_classifier
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_boilerplate(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+QUERIES["op1_line_dedup"] = op1_line_dedup
+ORACLES["op1_line_dedup"] = r"""
+WITH lines AS (
+  SELECT doc_id, source, unnest(parts) AS raw, generate_subscripts(parts, 1) AS place
+  FROM (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents)),
+trimmed AS (SELECT *, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM lines),
+placed AS (
+  SELECT source, line, coalesce(lag(line) OVER w, '') || chr(10) || coalesce(lead(line) OVER w, '') AS context
+  FROM trimmed WHERE line <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY place)),
+common AS (
+  SELECT line FROM placed GROUP BY line
+  HAVING count(DISTINCT source) >= 10 AND count(DISTINCT context) >= greatest(10, ceil(count(*) / 2.0))),
+marked AS (SELECT t.*, c.line IS NOT NULL AS gone FROM trimmed t LEFT JOIN common c USING (line))
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(m.raw, chr(10) ORDER BY m.place) FILTER (WHERE NOT gone), '') END AS text,
+       count(m.raw) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed
+FROM documents d LEFT JOIN marked m USING (doc_id) GROUP BY d.doc_id, d.text
+"""
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "similarity", "start_word")
+
+
+QUERIES["op7_decontamination"] = op7_decontamination
+ORACLES["op7_decontamination"] = r"""
+WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents),
+iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
+items AS (SELECT item_id, w, len(w) AS n_words, least(5, len(w)) AS g FROM iw WHERE len(w) > 0),
+ig AS (SELECT item_id, n_words, g, array_to_string(w[p + 1 : p + g], ' ') AS h
+       FROM (SELECT *, unnest(range(0, n_words - g + 1)) AS p FROM items)),
+dg AS (SELECT doc_id, n, g, p, array_to_string(w[p + 1 : p + g], ' ') AS h
+       FROM (SELECT doc_id, w, len(w) AS n, g, unnest(range(0, len(w) - g + 1)) AS p
+             FROM dw, (SELECT DISTINCT g FROM items) WHERE len(w) >= g)),
+hits AS (SELECT DISTINCT d.doc_id, d.n, i.item_id, i.n_words, i.g, d.p FROM dg d JOIN ig i ON d.g = i.g AND d.h = i.h),
+windows AS (SELECT DISTINCT doc_id, item_id, n_words, g, s
+            FROM (SELECT *, unnest(range(greatest(0, p - (n_words - g)), least(p, n - n_words) + 1)) AS s FROM hits)),
+wc AS (SELECT w.doc_id, w.item_id, w.s, d.h, count(*) AS c
+       FROM windows w JOIN dg d ON d.doc_id = w.doc_id AND d.g = w.g AND d.p BETWEEN w.s AND w.s + w.n_words - w.g GROUP BY ALL),
+ic AS (SELECT item_id, h, count(*) AS c FROM ig GROUP BY ALL),
+shared AS (SELECT doc_id, item_id, s, CAST(sum(least(wc.c, ic.c)) AS BIGINT) AS shared FROM wc JOIN ic USING (item_id, h) GROUP BY ALL),
+judged AS (SELECT doc_id, item_id, s, shared, 2 * (n_words - g + 1) - shared AS total FROM shared JOIN items USING (item_id))
+SELECT doc_id, item_id, shared / total AS similarity, CAST(s AS BIGINT) AS start_word
+FROM judged WHERE 100 * shared >= 80 * total
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared / total DESC, s) = 1
+"""
+
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = bpe.shared_vocabulary(spark, public_tokenizers.path(TOKENIZER))
+    docs = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    docs = bpe.decode(docs.drop("text"), vocabulary)
+    return docs.select(
+        "doc_id", F.size("input_ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("input_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES["op10_bpe"] = op10_bpe
