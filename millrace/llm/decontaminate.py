@@ -49,12 +49,10 @@ def simhash(grams: Column, most: int) -> Column:
     width = 9 if most < 256 else 21
     ones = sum(1 << (k * width) for k in range(63 // width))
     over = F.lit((1 << (width - 1)) - 1) - F.floor(F.size(grams) / 2).cast("bigint")
+    add = lambda j: lambda total, h: total + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(ones))
     bits = None
     for j in range(width):
-        count = F.aggregate(
-            grams, F.lit(0).cast("bigint"),
-            lambda total, h, j=j: total + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(ones)),
-        )
+        count = F.aggregate(grams, F.lit(0).cast("bigint"), add(j))
         vote = (count + over * F.lit(ones)).bitwiseAND(F.lit(ones << (width - 1)))
         vote = F.shiftrightunsigned(vote, j)
         bits = vote if bits is None else bits.bitwiseOR(vote)
@@ -63,7 +61,7 @@ def simhash(grams: Column, most: int) -> Column:
 
 def block(bits: Column, number) -> Column:
     """A block of 7 bits of a fingerprint."""
-    return F.shiftrightunsigned(bits, number * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
+    return F.call_function("shiftrightunsigned", bits, number * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
 
 
 def near_masks() -> list[int]:
