@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.llm.words import mix, slices
 
-GROUP_BYTES = 6 << 20
+GROUP_BYTES = 2 << 20
+GROUP_IDS = 1 << 19
 
 
 def byte_letters() -> list[str]:
@@ -233,7 +234,9 @@ def _splitter(special: tuple[str, ...]):
 def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """All places of runs that begin at ``starts``, one run after the other."""
     ends = np.cumsum(sizes)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+    out = np.repeat(starts - (ends - sizes), sizes)
+    out += np.arange(len(out))
+    return out
 
 
 def distinct_pieces(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -318,6 +321,12 @@ def decode(docs: DataFrame, vocabulary: Broadcast, ids: str = "input_ids", out:
         flat = lists.flatten()
         flat = flat.fill_null(-1) if flat.null_count else flat
         bounds = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
-        return pa.array(decode_ids(vocabulary.value, flat.to_numpy(zero_copy_only=False), bounds), pa.string())
+        flat, found, at = flat.to_numpy(zero_copy_only=False), [], 0
+        while at < len(lists):
+            end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + GROUP_IDS, "right")) - 1)
+            own = bounds[at : end + 1]
+            found.append(pa.array(decode_ids(vocabulary.value, flat[own[0] : own[-1]], own - own[0]), pa.string()))
+            at = end
+        return pa.concat_arrays(found) if found else pa.array([], pa.string())
 
     return docs.withColumn(out, decoded(ids))
