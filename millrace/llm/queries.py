@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import bpe, decontaminate, line_dedup, mil_classifier, ngram_join
+from millrace.llm import bpe, decontaminate, html_text, line_dedup, mil_classifier, ngram_join
 
 QUERIES = {}
 ORACLES = {}
@@ -129,3 +129,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_bpe"] = op10_bpe
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+QUERIES["op9_html_extraction"] = op9_html_extraction
