@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import bpe, decontaminate, html_text, line_dedup, mil_classifier, ngram_join
+from millrace.llm import bpe, decontaminate, html_text, line_dedup, lm_scoring, mil_classifier, ngram_join, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -136,3 +136,19 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_html_extraction"] = op9_html_extraction
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_index(spark, warc.write_archive(_table(spark, sf_dir, "pages")))
+
+
+QUERIES["op6_warc"] = op6_warc
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = in_fold(F.col("doc_id"), 7, 2)
+    scored = lm_scoring.score(_table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES["op8_lm_scoring"] = op8_lm_scoring
