@@ -16,7 +16,7 @@ import numpy as np
 STATE, EMBED = 32, 24
 WINDOW = 32
 CLASS_WORDS = 50
-SCORE_LANES = 512
+SCORE_LANES = 1024
 NAMES = ("embed", "wx", "wh", "b", "wc", "bc", "uw", "bw")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import bpe, decontaminate, html_text, line_dedup, lm_scoring, mil_classifier, ngram_join, warc
+from millrace.llm import bpe, decontaminate, html_text, line_dedup, lm_scoring, mil_classifier, ngram_join, syncmers, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -152,3 +152,10 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_lm_scoring"] = op8_lm_scoring
+
+
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.with_next(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op4_document_fingerprints"] = op4_document_fingerprints
