@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import bpe, decontaminate, html_text, line_dedup, lm_scoring, mil_classifier, ngram_join, syncmers, warc
+from millrace.llm import (
+    bpe, chunk_dedup, decontaminate, html_text, line_dedup, lm_scoring, mil_classifier, ngram_join, syncmers, warc,
+)
 
 QUERIES = {}
 ORACLES = {}
@@ -159,3 +161,10 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_document_fingerprints"] = op4_document_fingerprints
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES["op2_substring_dedup"] = op2_substring_dedup
