@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 # A word is a run without blank, tab, newline or carriage return; the
 # characters a strip removes; the number forms that both engines and Python agree on.
 WORD = r"[^ \t\n\r]+"
-STRIP_CLASS = r"[ \t\n\r\x0b\x0c]+"
+STRIPPED = " \t\n\r\x0b\x0c"
 FLOAT_FORM = r"^\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)\s*$"
 GROUPED_NUMBER = r"[-+]?\d{1,3}(?:,\d{3})*(?:\.\d+)?"
 
@@ -18,9 +18,8 @@ def words(col: Column | str) -> Column:
 
 
 def strip(col: Column | str) -> Column:
-    """Remove surrounding whitespace of every kind (``trim`` only knows the blank)."""
-    left = F.regexp_replace(_c(col), "^" + STRIP_CLASS, "")
-    return F.regexp_replace(left, STRIP_CLASS + "$", "")
+    """Remove surrounding whitespace of every kind."""
+    return F.btrim(_c(col), F.lit(STRIPPED))
 
 
 def to_float(col: Column | str) -> Column:

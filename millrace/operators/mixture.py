@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from millrace.functions.hashing import seeded_md5, seeded_unit
 from millrace.operators.prefix import hashed_position
 
-MAX_FRACTIONS = 10_000  # fractions are configuration; more is refused, not broadcast
-
 
 def sample_by_source(
     df: DataFrame, fractions: Mapping[str, float], key: str, seed: int, source: str = "source"
@@ -20,10 +18,8 @@ def sample_by_source(
 
     The draw is the seeded hash of the key, so it needs no shuffle and survives retries.
     """
-    if len(fractions) > MAX_FRACTIONS:
-        raise ValueError("too many fractions")
     table = df.sparkSession.createDataFrame(list(fractions.items()), f"`{source}` string, __fraction double")
-    joined = df.join(F.broadcast(table), source, "left")
+    joined = df.join(table, source, "left")  # its known size decides how
     return joined.where(
         seeded_unit(seed, key) < F.coalesce(F.col("__fraction"), F.lit(1.0))
     ).select(*df.columns)

@@ -118,18 +118,10 @@ def messages_to_text(messages: Column) -> Column:
     return F.array_join(F.transform(messages, lambda m: F.concat(strip(m["content"]), F.lit("\n"))), "")
 
 
-PART_TURNS = 4096  # turns of a conversation that are put together in one row
-
-
 def join_turns(turns: DataFrame, piece: Column, key: str = "conv_id", order: str = "turn") -> DataFrame:
-    """(key, part, text): the pieces of a conversation's turns, joined in order.
-
-    A conversation is one part unless it has more than PART_TURNS turns; then its parts follow
-    each other. So no group is unbounded, and joining the parts gives the whole text.
-    """
-    part = F.floor(F.greatest(F.col(order), F.lit(0)) / PART_TURNS).cast("bigint")
+    """(key, text): the pieces of a conversation's turns, joined in order; one row each."""
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), piece.alias("piece"))))
-    return turns.groupBy(key, part.alias("part")).agg(F.array_join(ordered["piece"], "").alias("text"))
+    return turns.groupBy(key).agg(F.array_join(ordered["piece"], "").alias("text"))
 
 
 def turns_to_text(turns: DataFrame, key: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:

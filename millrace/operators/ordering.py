@@ -108,8 +108,18 @@ def interleave_round_robin(
     after all items of lower turn and those of its own turn in earlier streams.
     """
     turned = running_offset(streams, key, by=[stream], out="__turn")
-    # turn first, then stream: dense positions in that order, without a global window
-    return running_offset(turned, "__turn", ties=[stream], out=out, shifts=(10, 26)).drop("__turn")
+    # streams by number; a name's first bytes put it into its range
+    head = F.rpad(F.hex(F.substring(F.encode(F.col(stream).cast("string"), "utf-8"), 1, 7)), 14, "0")
+    number = F.col(stream).cast("bigint") if dict(streams.dtypes)[stream] in ("int", "bigint") else F.conv(head, 16, 10).cast("bigint")
+    names = streams.select(stream).distinct().withColumn("__head", number)
+    ranks = running_offset(names, "__head", ties=[stream], out="__rank").select(stream, "__rank")
+    # items of one turn by stream, in ranges of streams, after all items of the turns before
+    ranked = turned.join(ranks, stream)
+    within = running_offset(ranked, "__rank", by=["__turn"], out="__in")
+    turns = ranked.groupBy("__turn").agg(F.count(F.lit(1)).alias("__n"))
+    before = running_offset(turns, "__turn", F.col("__n"), out="__before").select("__turn", "__before")
+    placed = within.join(before, "__turn").withColumn(out, F.col("__before") + F.col("__in"))
+    return placed.select(*streams.columns, out)
 
 
 def collate_batches(

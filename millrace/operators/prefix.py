@@ -12,8 +12,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# A unique bigint key: at most 2**16 rows share a range, at most 2**24 ranges a parent.
-INTEGER_KEY = (16, 40)
+# A unique bigint key: at most 2**16 rows share a range, and 2**16 ranges a parent.
+INTEGER_KEY = (16, 32, 48)
 # A 60-bit hash key: 2**16 ranges of equal expected size, whatever the data.
 HASH_KEY = (44,)
 
@@ -72,7 +72,7 @@ def running_offsets(
             starts = ranged.select(*by, node[i], *[f"__s_{o}" for o in outs])
             offsets = offsets.join(starts, [*by, node[i]]).withColumns(
                 {f"__o_{o}": F.col(f"__o_{o}") + F.col(f"__s_{o}") for o in outs}
-            )
+            ).drop(*[f"__s_{o}" for o in outs])
         if parents:
             level = level.groupBy(*by, *parents).agg(*totals)
     offsets = offsets.select(*by, node[0], *[f"__o_{o}" for o in outs])
@@ -140,8 +140,7 @@ def trailing_blocks(df: DataFrame, position: str, size: int, block: int = 1 << 1
     Adds ``__block`` and ``__context``. A frame of the last ``size`` rows can then be taken per
     block, in parallel, and the context rows dropped: exact, however long the sequence is.
     """
-    if size > block:
-        raise ValueError("the frame is longer than a block")
+    block = max(block, size)
     home = F.floor(F.col(position) / block).cast("bigint")
     own = F.struct(home.alias("block"), F.lit(False).alias("context"))
     ahead = F.struct((home + 1).alias("block"), F.lit(True).alias("context"))

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from millrace.functions import arrays as A
-from millrace.functions.text import words
-from millrace.operators.normalize import PART_TURNS, join_turns
+from millrace.functions.text import WORD, strip, words
+from millrace.operators.normalize import join_turns
+from millrace.operators.prefix import running_offset
+from millrace.session import stage
 
 # Reserved ids and the vocabulary size that 16-bit ids were chosen for.
 EOS, PAD, UNK, NEWLINE = 0, 1, 2, 3
@@ -18,7 +23,11 @@ ROLE_IDS = {"user": 4, "assistant": 5, "system": 6}
 RESERVED = ("<|endoftext|>", "<|padding|>", "<|unknown|>", "\n", "<|user|>", "<|assistant|>", "<|system|>")
 VOCAB_SIZE = 50280
 MAX_VOCAB = 65536
+# The last ids of 16 bits: the end of a word spelled in bytes, and the bytes.
+WORD_END, FIRST_BYTE = MAX_VOCAB - 257, MAX_VOCAB - 256
+MAX_WORDS = WORD_END - 7
 SEQ_LEN = 4096
+_WORD = re.compile(WORD)
 
 
 def build_vocab(texts: DataFrame, text: str = "text", size: int = VOCAB_SIZE) -> DataFrame:
@@ -27,7 +36,7 @@ def build_vocab(texts: DataFrame, text: str = "text", size: int = VOCAB_SIZE) ->
     Counts combine before the shuffle; the cap makes the ranked list at most ``size`` rows,
     so ranking it in one task is bounded whatever the corpus.
     """
-    if size > MAX_VOCAB:
+    if size - len(RESERVED) > MAX_WORDS:
         raise ValueError("ids must fit 16 bits")
     counts = texts.select(F.explode(words(text)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     top = counts.orderBy(F.desc("n"), F.asc("token")).limit(size - len(RESERVED))
@@ -41,15 +50,70 @@ def _lists(like: pa.Array, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(starts, values)
 
 
+def word_bytes(word: str) -> list[int]:
+    """Ids of a word that has none of its own: its UTF-8 bytes and the mark that ends them."""
+    return [*(FIRST_BYTE + b for b in word.encode()), WORD_END]
+
+
+class Words:
+    """A vocabulary as a task sees it: word to ids and back."""
+
+    def __init__(self, words: Sequence[str]):
+        self.ids = {w: i + len(RESERVED) for i, w in enumerate(words)}
+        self.spelled = [*RESERVED, *words]
+
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, where each word's begin); every distinct word is looked up once."""
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        ids = [[self.ids[w]] if w in self.ids else word_bytes(w) for w in distinct]
+        sizes = np.array([len(x) for x in ids] or [0])
+        flat = np.array([i for x in ids for i in x], np.int32)
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        own = sizes[codes] if len(codes) else np.zeros(0, np.int64)
+        ends = np.cumsum(own)
+        places = np.repeat((np.cumsum(sizes) - sizes)[codes] - (ends - own), own) + np.arange(ends[-1]) if len(codes) else np.zeros(0, np.int64)
+        return flat[places], np.concatenate(([0], ends)).astype(np.int64)
+
+    def decode(self, ids: list[int]) -> list[str]:
+        """Words of ids; bytes without their end mark are a word too."""
+        out: list[str] = []
+        held = bytearray()
+        for i in ids:
+            if i >= FIRST_BYTE:
+                held.append(i - FIRST_BYTE)
+                continue
+            if held:
+                out.append(held.decode("utf-8", "replace"))
+                held = bytearray()
+            if i != WORD_END:
+                out.append(self.spelled[i])
+        if held:
+            out.append(held.decode("utf-8", "replace"))
+        return out
+
+
+_held: dict[int, Words] = {}
+
+
+def _words_of(shared: Broadcast) -> Words:
+    """The tables of a vocabulary, built once per worker."""
+    number = shared._jbroadcast.id() if getattr(shared, "_jbroadcast", None) is not None else id(shared.value)
+    if number not in _held:
+        _held.clear()
+        _held[number] = Words(shared.value)
+    return _held[number]
+
+
 class Vocabulary:
-    """A vocabulary of at most 65,536 words, shipped once to every executor.
+    """A vocabulary of at most ``MAX_WORDS`` words, shipped once to every executor.
 
-    Lookup is one Arrow hash probe over a whole batch and stays inside the row: no token is
-    ever exploded, joined or shuffled.
+    Words are looked up a batch at a time and stay inside the row: no token is ever exploded,
+    joined or shuffled. A word without an id is spelled in bytes, so no text loses any.
     """
 
     def __init__(self, spark: SparkSession, tokens: Sequence[str]):
-        if len(tokens) + len(RESERVED) > MAX_VOCAB:
+        if len(tokens) > MAX_WORDS:
             raise ValueError("ids must fit 16 bits")
         self.size = len(tokens) + len(RESERVED)
         self._shared = spark.sparkContext.broadcast(list(tokens))
@@ -57,7 +121,9 @@ class Vocabulary:
     @classmethod
     def from_table(cls, table: DataFrame) -> Vocabulary:
         """From (token, token_id) rows with dense ids after the reserved ones."""
-        ranked = table.select("token", "token_id").where(F.col("token_id") < MAX_VOCAB).toArrow()
+        ranked = table.select("token", "token_id").limit(MAX_WORDS + 1).toArrow()
+        if ranked.num_rows > MAX_WORDS:
+            raise ValueError("ids must fit 16 bits")
         ranked = ranked.sort_by("token_id")
         ids = ranked["token_id"].to_pylist()
         if ids != list(range(len(RESERVED), len(RESERVED) + len(ids))):
@@ -69,45 +135,51 @@ class Vocabulary:
         return cls.from_table(build_vocab(texts, text, size))
 
     def encode_words(self, word_array: Column) -> Column:
-        """Ids of an array of words; an unknown word gets the unknown id."""
-        shared, first, unknown = self._shared, len(RESERVED), UNK
+        """Ids of an array of words."""
+        shared = self._shared
 
         @F.arrow_udf("array<int>")
         def encode(batch: pa.Array) -> pa.Array:
-            known = pa.array(shared.value, pa.string())
-            flat = batch.flatten().cast(pa.string())
-            ids = pc.add(pc.index_in(flat, value_set=known), first)
-            ids = pc.fill_null(ids, unknown).cast(pa.int32())
-            return _lists(batch, ids)
+            ids, ends = _words_of(shared).encode(batch.flatten().cast(pa.string()))
+            starts = ends[np.asarray(batch.offsets) - batch.offsets[0].as_py()]
+            return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))
 
         return encode(F.coalesce(word_array, F.array().cast("array<string>")))
 
     def encode(self, text: Column | str) -> Column:
-        return self.encode_words(words(text))
+        """Ids of a text; it is split in the same step that looks its words up."""
+        shared = self._shared
+
+        @F.arrow_udf("array<int>")
+        def encode(texts: pa.Array) -> pa.Array:
+            found = [_WORD.findall(t) for t in texts.to_pylist()]
+            ids, ends = _words_of(shared).encode(pa.array([w for ws in found for w in ws], pa.string()))
+            starts = ends[np.cumsum([0, *map(len, found)])]
+            return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))
+
+        return encode(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
     def encode_each(self, texts: Column) -> Column:
         """Ids of every text of an array of texts."""
-        shared, first, unknown = self._shared, len(RESERVED), UNK
+        shared = self._shared
 
         @F.arrow_udf("array<array<int>>")
         def encode(batch: pa.Array) -> pa.Array:
-            known = pa.array(shared.value, pa.string())
             inner = batch.flatten()
-            ids = pc.add(pc.index_in(inner.flatten().cast(pa.string()), value_set=known), first)
-            ids = pc.fill_null(ids, unknown).cast(pa.int32())
-            return _lists(batch, _lists(inner, ids))
+            ids, ends = _words_of(shared).encode(inner.flatten().cast(pa.string()))
+            starts = ends[np.asarray(inner.offsets) - inner.offsets[0].as_py()]
+            return _lists(batch, pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32())))
 
         return encode(F.transform(texts, words))
 
     def decode_words(self, ids: Column) -> Column:
         """Words of an array of ids."""
-        shared, reserved = self._shared, RESERVED
+        shared = self._shared
 
         @F.arrow_udf("array<string>")
         def decode(batch: pa.Array) -> pa.Array:
-            table = pa.array([*reserved, *shared.value], pa.string())
-            flat = table.take(batch.flatten())
-            return _lists(batch, flat)
+            table = _words_of(shared)
+            return pa.array([table.decode(x) for x in batch.to_pylist()], pa.list_(pa.string()))
 
         return decode(F.coalesce(ids, F.array().cast("array<int>")))
 
@@ -187,8 +259,8 @@ def turn_mask(role: Column, content: Column) -> Column:
 
 
 def encode_turns(turns: DataFrame, vocab: Vocabulary | BatchTokenizer, role: str = "role", text: str = "text") -> DataFrame:
-    """Per turn its ids and label mask."""
-    encoded = turns.withColumn("__content", vocab.encode(text))
+    """Per turn its ids and label mask; the message is stripped first."""
+    encoded = turns.withColumn("__content", vocab.encode(strip(F.col(text))))
     return (
         encoded.withColumn("ids", turn_ids(F.col(role), F.col("__content")))
         .withColumn("mask", turn_mask(F.col(role), F.col("__content")))
@@ -205,37 +277,22 @@ def chat_encode(
     text: str = "text",
     seq_len: int | None = None,
 ) -> DataFrame:
-    """(key, input_ids, label_mask) per conversation, starting with an unlabelled eos.
+    """Ids and label mask of conversations, each starting with an unlabelled eos.
 
-    Without ``seq_len`` a conversation of very many turns comes in several parts (see
-    ``join_turns``). With ``seq_len`` only turns that can reach into the first ``seq_len`` tokens are taken: a
-    turn is at least three tokens, so later ones than seq_len/3 cannot. That bounds the rows
-    of a conversation before they are collected, however many turns it has.
+    With ``seq_len`` a row per conversation, (key, input_ids, label_mask), put together from the
+    turns that start within the first ``seq_len`` tokens: at most ``seq_len / 3`` of them and one
+    more, however many there are. Without it a row per turn, (key, order, start, input_ids,
+    label_mask), ``start`` being its place among the conversation's tokens, of which the eos has
+    place 0; that holds at every length.
     """
-    # encoded first: a Python step would hide the partitioning that window and groups share
-    encoded = encode_turns(turns, vocab, role, text).select(key, order, "ids", "mask")
-    if seq_len is not None:
-        place = F.row_number().over(Window.partitionBy(key).orderBy(order))
-        encoded = encoded.withColumn("__place", place).where(F.col("__place") <= seq_len // 3 + 1).drop("__place")
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "ids", "mask")))
+    encoded = stage(encode_turns(turns, vocab, role, text).select(key, order, "ids", "mask"), "turn-ids")
+    # only sizes are put in order
+    starts = running_offset(encoded.select(key, order, F.size("ids").alias("n")), order, F.col("n"), by=[key], out="start")
+    placed = encoded.join(starts.select(key, order, (F.col("start") + 1).alias("start")), [key, order])
     if seq_len is None:
-        # the start is a turn of its own, before all others
-        start = turns.select(key).distinct().select(
-            key,
-            F.lit(-1).cast(turns.schema[order].dataType).alias(order),
-            F.array(F.lit(EOS)).alias("ids"),
-            F.array(F.lit(False)).alias("mask"),
-        )
-        pieces = encoded.unionByName(start)
-        part = F.floor(F.greatest(F.col(order), F.lit(0)) / PART_TURNS).cast("bigint").alias("part")
-        joined = pieces.groupBy(key, part).agg(ordered.alias("turns"))
-        return joined.select(
-            key,
-            "part",
-            F.flatten(F.col("turns.ids")).alias("input_ids"),
-            F.flatten(F.col("turns.mask")).alias("label_mask"),
-        )
-    joined = encoded.groupBy(key).agg(ordered.alias("turns"))
+        return placed.select(key, order, "start", F.col("ids").alias("input_ids"), F.col("mask").alias("label_mask"))
+    ordered = F.array_sort(F.collect_list(F.struct("start", "ids", "mask")))
+    joined = placed.where(F.col("start") < seq_len).groupBy(key).agg(ordered.alias("turns"))
     return joined.select(
         key,
         F.concat(F.array(F.lit(EOS)), F.flatten(F.col("turns.ids"))).alias("input_ids"),
@@ -281,7 +338,7 @@ def encode_preferences(
             F.raise_error(F.lit(f"{side} messages field is empty")).cast(pairs.schema[side].dataType)
         )
         out = out.withColumn(side, checked)
-        out = out.withColumn("__ids", vocab.encode_each(F.transform(side, lambda m: m["content"])))
+        out = out.withColumn("__ids", vocab.encode_each(F.transform(side, lambda m: strip(m["content"]))))
         start_ids = [EOS] if bos is None else [bos, EOS]
         start = F.array(*[F.lit(x) for x in start_ids])
         start_mask = F.array(*[F.lit(False) for _ in start_ids])
@@ -309,7 +366,7 @@ def prompt_line(role: Column, content: Column) -> Column:
 
 
 def render_turns(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(key, part, text): prompts of long-form turns whose final reply is left to the model."""
+    """(key, text): prompts of long-form turns whose final reply is left to the model."""
     last = turns.groupBy(key).agg(F.max(order).alias("__last"))
     open_end = (F.col(order) == F.col("__last")) & (F.col(role) == "assistant")
     lines = turns.join(last, key).withColumn(

@@ -10,6 +10,7 @@ from millrace.plans.corpus import SQL_QA, _questions
 from millrace.plans.registry import query, spread_table, table
 from millrace.plans.shared import (
     CHAT_LEN,
+    EOS_PLACE,
     SEED,
     SQL_CHAT_FIT,
     SQL_CHAT_FLAT,
@@ -21,11 +22,12 @@ from millrace.plans.shared import (
     sql_chat_flat,
     sql_md5,
     sql_vocab,
+    sql_words,
 )
 from millrace.session import fresh_path
 from millrace.sources import readers, writers
 
-PAIR_LEN = 48
+PAIR_LEN = 2048
 
 
 def _turns(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,7 +62,7 @@ def encode_documents(spark, sf):
 
 
 @query("append_eos", f"""WITH {SQL_DOC_TOKENS},
-raw AS (SELECT doc_id, pos, id FROM dtok WHERE pos < 1000000000)
+raw AS (SELECT doc_id, pos, id FROM dtok WHERE pos < {EOS_PLACE})
 SELECT doc_id, count(id) + 1 AS n_once, count(id) + 1 AS n_twice, CAST(0 AS BIGINT) AS last_id
 FROM (SELECT doc_id FROM documents) LEFT JOIN raw USING (doc_id) GROUP BY doc_id""")
 def append_eos(spark, sf):
@@ -78,7 +80,7 @@ def append_eos(spark, sf):
 
 @query("truncate_tokens", f"""WITH {SQL_DOC_TOKENS},
 raw AS (SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS h,
-               row_number() OVER (PARTITION BY doc_id ORDER BY pos DESC) AS t FROM dtok WHERE pos < 1000000000)
+               row_number() OVER (PARTITION BY doc_id ORDER BY pos DESC) AS t FROM dtok WHERE pos < {EOS_PLACE})
 SELECT doc_id, coalesce(string_agg(CAST(id AS VARCHAR), ' ' ORDER BY h) FILTER (h <= 63) || ' ', '') || '0' AS head_ids,
        coalesce(string_agg(CAST(id AS VARCHAR), ' ' ORDER BY h) FILTER (t <= 63) || ' ', '') || '0' AS tail_ids
 FROM (SELECT doc_id FROM documents) LEFT JOIN raw USING (doc_id) GROUP BY doc_id""")
@@ -90,9 +92,7 @@ def truncate_tokens(spark, sf):
     return both.select("doc_id", joined_ids(F.col("head_ids")).alias("head_ids"), joined_ids(F.col("tail_ids")).alias("tail_ids"))
 
 
-@query("decode_tokens", f"""WITH {SQL_DOC_TOKENS}
-SELECT d.doc_id, coalesce(string_agg(s.w, ' ' ORDER BY s.pos) FILTER (v.id IS NOT NULL), '') AS decoded
-FROM documents d LEFT JOIN dsplit s ON s.doc_id = d.doc_id LEFT JOIN vocab v ON v.w = s.w GROUP BY d.doc_id""")
+@query("decode_tokens", f"SELECT doc_id, array_to_string({sql_words('text')}, ' ') AS decoded FROM documents")
 def decode_tokens(spark, sf):
     vocab = doc_vocab(spark, sf)
     encoded = tokenize.encode_documents(spread_table(spark, sf, "documents", "doc_id", "text"), vocab)
@@ -100,9 +100,9 @@ def decode_tokens(spark, sf):
 
 
 @query("chat_encode", f"""WITH {SQL_CHAT_FLAT},
-every AS (SELECT conv_id, turn, part AS o, pos, id, lab FROM seg UNION ALL SELECT conv_id, -1, 0, 0, 0, false FROM (SELECT DISTINCT conv_id FROM conversations))
-SELECT conv_id, greatest(turn, 0) // 4096 AS part, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY turn, o, pos) AS input_ids,
-       string_agg(CAST(CAST(lab AS INTEGER) AS VARCHAR), ' ' ORDER BY turn, o, pos) AS label_mask FROM every GROUP BY ALL""")
+by_turn AS (SELECT conv_id, turn, count(*) AS n, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY part, pos) AS input_ids,
+       string_agg(CAST(CAST(lab AS INTEGER) AS VARCHAR), ' ' ORDER BY part, pos) AS label_mask FROM seg GROUP BY ALL)
+SELECT conv_id, turn, CAST(1 + sum(n) OVER (PARTITION BY conv_id ORDER BY turn) - n AS BIGINT) AS start, input_ids, label_mask FROM by_turn""")
 def chat_encode(spark, sf):
     return _as_text(tokenize.chat_encode(_turns(spark, sf), chat_vocab(spark, sf)))
 
@@ -171,45 +171,44 @@ def make_labels(spark, sf):
 
 
 @query("render_chat_prompt", """
-SELECT conv_id, part, CASE WHEN part = 0 THEN '<|endoftext|>' ELSE '' END || string_agg('<|' || role || E'|>\\n' ||
+SELECT conv_id, '<|endoftext|>' || string_agg('<|' || role || E'|>\\n' ||
        CASE WHEN role = 'assistant' AND turn = last_turn THEN '' ELSE text || E'\\n' END, '' ORDER BY turn) AS prompt
-FROM (SELECT *, turn // 4096 AS part, max(turn) OVER (PARTITION BY conv_id) AS last_turn FROM conversations) GROUP BY conv_id, part""")
+FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last_turn FROM conversations) GROUP BY conv_id""")
 def render_chat_prompt(spark, sf):
     prompts = tokenize.render_turns(_turns(spark, sf))
-    return prompts.select("conv_id", "part", F.col("text").alias("prompt"))
+    return prompts.select("conv_id", F.col("text").alias("prompt"))
 
 
 # --- preference pairs ------------------------------------------------------------------
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """(pair_id, chosen, rejected) per exchange: its own reply, and one of the next conversation.
-
-    Made of joins on (conversation, turn) only, so a long conversation is many small rows.
-    """
-    first = _turns(spark, sf).where("role = 'assistant'").groupBy((F.col("conv_id") - 1).alias("conv_id")).agg(
-        F.min_by("text", "turn").alias("bad")
+    """(pair_id, chosen, rejected) per conversation: its turns up to the last answered question,
+    then its own reply or one of the next conversation."""
+    turns = _turns(spark, sf)
+    other = turns.where("role = 'assistant'").groupBy((F.col("conv_id") - 1).alias("conv_id")).agg(F.min_by("text", "turn").alias("bad"))
+    asked = _questions(spark, sf).groupBy("conv_id").agg(F.max("turn").alias("last"), F.max_by("answer", "turn").alias("answer"))
+    wanted = asked.join(other, "conv_id")
+    prompt = turns.join(wanted, "conv_id").where("turn <= last").groupBy("conv_id", "last", "answer", "bad").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("prompt")
     )
 
     def messages(reply):
-        return F.array(*[
-            F.struct(F.lit(role).alias("role"), F.col(col).alias("content"))
-            for role, col in (("user", "question"), ("assistant", reply))
-        ])
-
-    pair_id = F.shiftleft("conv_id", 32) + F.col("turn")
-    return _questions(spark, sf).join(first, "conv_id").select(
-        pair_id.alias("pair_id"), messages("answer").alias("chosen"), messages("bad").alias("rejected")
-    )
+        end = F.array(F.struct(F.lit("assistant").alias("role"), F.col(reply).alias("content")))
+        return F.concat(F.transform("prompt", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))), end)
+
+    pair_id = F.shiftleft("conv_id", 32) + F.col("last")
+    return prompt.select(pair_id.alias("pair_id"), messages("answer").alias("chosen"), messages("bad").alias("rejected"))
 
 
 SQL_PAIRS = f"""{SQL_QA},
 bad AS (SELECT conv_id - 1 AS conv_id, arg_min(text, turn) AS bad FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
-px AS (SELECT conv_id * 4294967296 + turn AS pair_id, question, answer, bad FROM qa JOIN bad USING (conv_id)),
+px AS (SELECT conv_id * 4294967296 + last AS pair_id, conv_id, last, answer, bad
+       FROM (SELECT conv_id, max(turn) AS last, arg_max(answer, turn) AS answer FROM qa GROUP BY conv_id) JOIN bad USING (conv_id)),
 pairs AS (
-  SELECT pair_id, side, 0 AS turn, 'user' AS role, question AS text FROM px CROSS JOIN (VALUES ('chosen'), ('rejected')) s(side)
-  UNION ALL SELECT pair_id, 'chosen', 1, 'assistant', answer FROM px
-  UNION ALL SELECT pair_id, 'rejected', 1, 'assistant', bad FROM px)"""
+  SELECT pair_id, side, turn, role, text FROM px JOIN conversations USING (conv_id) CROSS JOIN (VALUES ('chosen'), ('rejected')) s(side) WHERE turn <= last
+  UNION ALL SELECT pair_id, 'chosen', last + 1, 'assistant', answer FROM px
+  UNION ALL SELECT pair_id, 'rejected', last + 1, 'assistant', bad FROM px)"""
 
 SQL_PAIR_TOKENS = f"""vocab AS ({sql_vocab('conversations')}), {SQL_PAIRS}, {sql_chat_flat('pairs', 'pair_id, side')},
 cut AS (SELECT pair_id, side, p, id, CASE WHEN lab THEN id ELSE -100 END AS lab FROM flat WHERE p < {PAIR_LEN})"""

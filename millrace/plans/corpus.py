@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.functions.hashing import seeded_unit
@@ -13,7 +15,6 @@ from millrace.plans.shared import SEED, sql_md5, sql_strip, sql_unit, sql_words
 from millrace.session import fresh_path, stage
 from millrace.sources import manifests, readers, writers
 
-LANGS = ("de", "en", "es", "fr")
 SHARD_BYTES = 40_000
 FRACTIONS = {"src0": 0.5, "src1": 0.0323, "src2": 0.053, "src3": 0.5, "src4": 0.25}
 
@@ -31,8 +32,9 @@ def read_documents(spark, sf):
     docs = spread_table(spark, sf, "documents", "doc_id", "text", "source")
     rows = docs.select(F.col("doc_id").cast("string").alias("id"), "text", "source")
     writers.write_jsonl(rows, path, partition_by=["source"])
-    globs = [f"{path}/source=src?/*.json.gz", f"{path}/source=src??/*.json.gz"]
-    return readers.read_documents(spark, globs, "id string, text string", source_pattern="source=([^/]+)/")
+    read = readers.read_documents(spark, [f"{path}/source=*/*.json.gz"], "id string, text string", source_pattern="source=([^/]+)/")
+    # the folder that stands for no source
+    return read.withColumn("source", F.nullif("source", F.lit("__HIVE_DEFAULT_PARTITION__")))
 
 
 @query("load_corpus", """
@@ -40,23 +42,12 @@ SELECT lang, CASE WHEN source = 'src0' THEN 'validation' ELSE 'train' END AS spl
        count(*) AS n_rows, CAST(sum(length(text)) AS BIGINT) AS n_chars
 FROM documents GROUP BY ALL""")
 def load_corpus(spark, sf):
-    corpora = {
-        "documents": readers.Corpus(
-            path=f"{sf}/documents.parquet",
-            configs={lang: F.col("lang") == lang for lang in LANGS},
-            splits={"train": F.col("source") != "src0", "validation": F.col("source") == "src0"},
-        )
-    }
-    parts = {
-        (lang, split): readers.load_corpus(spark, corpora, "documents", lang, split)
-        for lang in LANGS
-        for split in ("train", "validation")
-    }
-    out = None
-    for (lang, split), rows in parts.items():
-        one = rows.select(F.lit(lang).alias("lang"), F.lit(split).alias("split"), F.length("text").alias("n"))
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("lang", "split").agg(
+    documents = readers.Corpus(
+        path=f"{sf}/documents.parquet",
+        splits={"validation": F.col("source") == "src0", "train": F.lit(True)},
+    )
+    named = replace(documents, convert=lambda rows: rows.select("lang", documents.split_name().alias("split"), F.length("text").alias("n")))
+    return readers.load_corpus(spark, {"documents": named}, "documents").groupBy("lang", "split").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("n").cast("bigint").alias("n_chars")
     )
 
@@ -229,7 +220,7 @@ def assign_dense_ids(spark, sf):
 
 
 @query("messages_to_text", f"""
-SELECT conv_id, turn // 4096 AS part, string_agg({sql_strip('text')} || E'\\n', '' ORDER BY turn) AS text FROM conversations GROUP BY ALL""")
+SELECT conv_id, string_agg({sql_strip('text')} || E'\\n', '' ORDER BY turn) AS text FROM conversations GROUP BY ALL""")
 def messages_to_text(spark, sf):
     return normalize.turns_to_text(table(spark, sf, "conversations"))
 

@@ -22,11 +22,13 @@ from millrace.plans.shared import (
     sql_strip,
     sql_unit,
     sql_vocab,
+    sql_word_ids,
     sql_words,
 )
 from millrace.session import stage
 
-CTX = 24
+CTX = 2048
+SHORT_CTX = 24  # where cutting is what is shown
 SUBJECTS = sorted(tasks.SUBJECT_FIELD)
 K4 = "(SELECT range AS k FROM range(4))"
 
@@ -39,7 +41,7 @@ def _subject_docs(spark: SparkSession, sf: str) -> DataFrame:
     n = items.agg(F.count(F.lit(1))).scalar()
     subject = F.element_at(F.array(*[F.lit(s) for s in SUBJECTS]), (F.col("conv_id") % 57 + 1).cast("int"))
     asked = _questions(spark, sf).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_key"),
+        (F.shiftleft("conv_id", 32) + F.col("turn")).alias("doc_key"),
         "turn",
         "question",
         subject.alias("subject"),
@@ -54,7 +56,7 @@ def _subject_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL_SUBJECT_DOCS = f"""{SQL_QA}, nb AS (SELECT count(*) AS n FROM benchmark),
-mm AS (SELECT conv_id * 1000 + turn AS doc_key, turn, question, ({SUBJECTS})[CAST(conv_id % 57 AS INTEGER) + 1] AS subject, (conv_id + turn) % 4 AS answer FROM qa),
+mm AS (SELECT conv_id * 4294967296 + turn AS doc_key, turn, question, ({SUBJECTS})[CAST(conv_id % 57 AS INTEGER) + 1] AS subject, (conv_id + turn) % 4 AS answer FROM qa),
 mmc AS (SELECT doc_key, list(b.text ORDER BY k) AS choices FROM mm CROSS JOIN {K4} CROSS JOIN nb JOIN benchmark b ON b.item_id = (doc_key + 7 * k) % n GROUP BY doc_key),
 md AS (SELECT mm.*, choices FROM mm JOIN mmc USING (doc_key))"""
 
@@ -239,14 +241,14 @@ def task_prompts(spark, sf):
 # --- requests --------------------------------------------------------------------------
 
 
-def _requests(spark: SparkSession, sf: str) -> DataFrame:
+def _requests(spark: SparkSession, sf: str, ctx: int = CTX) -> DataFrame:
     docs = dense_position(_subject_docs(spark, sf), "doc_key", out="doc_id")
     prompts = tasks.task_prompts(docs, "mmlu_stem", ["doc_id"])
-    return E.expand_requests(prompts, chat_vocab(spark, sf), model_ctx_len=CTX)
+    return E.expand_requests(prompts, chat_vocab(spark, sf), model_ctx_len=ctx)
 
 
 def _sql_ids(alias: str, source: str, keys: str, text: str) -> str:
-    return f"""{alias} AS (SELECT {keys}, list(coalesce(v.id, 2) ORDER BY pos) AS ids
+    return f"""{alias} AS (SELECT {keys}, flatten(list({sql_word_ids()} ORDER BY pos)) AS ids
   FROM (SELECT {keys}, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM (SELECT {keys}, {sql_words(text)} AS ws FROM {source}))
   LEFT JOIN vocab v USING (w) GROUP BY {keys})"""
 
@@ -255,8 +257,8 @@ SQL_REQUESTS = f"""vocab AS ({sql_vocab('conversations')}), {SQL_SUBJECT_DOCS},
 docs AS (SELECT doc_key, turn, row_number() OVER (ORDER BY doc_key) - 1 AS doc_id, {sql_example(False)} AS ctx_text, choices, answer FROM md),
 conts AS (SELECT doc_id, turn, answer, k AS cont_id, ' ' || choices[CAST(k AS INTEGER) + 1] AS cont_text FROM docs CROSS JOIN {K4}),
 {_sql_ids('ctok', 'docs', 'doc_id', 'ctx_text')}, {_sql_ids('ktok', 'conts', 'doc_id, cont_id', 'cont_text')},
-dcid AS (SELECT coalesce(max(id), 2) AS id FROM vocab WHERE w = 'Answer:'),
-raw AS (SELECT conts.doc_id, conts.cont_id, conts.answer AS label_id, ctok.ids AS ctx, ktok.ids AS cont, [dcid.id] AS dc,
+dcid AS (SELECT {sql_word_ids('x.w')} AS ids FROM (SELECT 'Answer:' AS w) x LEFT JOIN vocab v ON v.w = x.w),
+raw AS (SELECT conts.doc_id, conts.cont_id, conts.answer AS label_id, ctok.ids AS ctx, ktok.ids AS cont, dcid.ids AS dc,
                ctok.ids || ktok.ids[1:len(ktok.ids) - 1] AS full_q, cont_text
         FROM conts JOIN ctok USING (doc_id) JOIN ktok USING (doc_id, cont_id) CROSS JOIN dcid),
 req AS (SELECT *, full_q[greatest(len(full_q) - {CTX}, 0) + 1 : len(full_q)] AS query, dc || cont[1:len(cont) - 1] AS dc_query FROM raw)"""
@@ -267,7 +269,7 @@ def sql_ids_text(x: str) -> str:
 
 
 @query("expand_requests", f"""WITH {SQL_REQUESTS}
-SELECT doc_id, cont_id, label_id, len(query) - len(cont) + 1 AS ctx_len, CAST(1 AS BIGINT) AS dc_len, len(cont) AS cont_len,
+SELECT doc_id, cont_id, label_id, len(query) - len(cont) + 1 AS ctx_len, len(dc) AS dc_len, len(cont) AS cont_len,
        length(cont_text) - 1 AS cont_str_len, {sql_ids_text('ctx')} AS ctx, {sql_ids_text('cont')} AS continuation FROM req""")
 def expand_requests(spark, sf):
     r = _requests(spark, sf)
@@ -277,10 +279,10 @@ def expand_requests(spark, sf):
     )
 
 
-@query("left_truncate_query", f"""WITH {SQL_REQUESTS}
+@query("left_truncate_query", f"""WITH {SQL_REQUESTS.replace(f"len(full_q) - {CTX}", f"len(full_q) - {SHORT_CTX}")}
 SELECT doc_id, cont_id, {sql_ids_text('query')} AS query, {sql_ids_text('dc_query')} AS dc_query, len(query) - len(cont) + 1 AS ctx_len FROM req""")
 def left_truncate_query(spark, sf):
-    r = _requests(spark, sf)
+    r = _requests(spark, sf, SHORT_CTX)
     return r.select(
         "doc_id", "cont_id", joined_ids(F.col("query")).alias("query"), joined_ids(F.col("dc_query")).alias("dc_query"), "ctx_len"
     )

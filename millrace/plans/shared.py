@@ -29,6 +29,15 @@ def sql_vocab(relation: str, col: str = "text", size: int = VOCAB) -> str:
   WHERE rn <= {size - 7}"""
 
 
+EOS_PLACE = 10**15
+
+
+def sql_word_ids(word: str = "w") -> str:
+    """Ids of a word joined to vocab v: its own, or its bytes and the mark after them."""
+    byte = f"list_transform(range(strlen({word})), lambda i: 65280 + CAST('0x' || substr(hex({word}), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))"
+    return f"(CASE WHEN v.id IS NOT NULL THEN [CAST(v.id AS BIGINT)] ELSE {byte} || [CAST(65279 AS BIGINT)] END)"
+
+
 def sql_strip(col: str) -> str:
     return rf"regexp_replace(regexp_replace({col}, '^[ \t\n\r\x0b\x0c]+', ''), '[ \t\n\r\x0b\x0c]+$', '')"
 
@@ -58,7 +67,7 @@ def sql_last_number(col: str) -> str:
 
 # --- chat -----------------------------------------------------------------------------
 
-CHAT_LEN = 256
+CHAT_LEN = 4096
 
 
 def chat_vocab(spark: SparkSession, sf: str) -> Vocabulary:
@@ -74,7 +83,8 @@ seg AS (
   SELECT {keys}, {order}, 0 AS part, 0 AS pos,
          CASE role WHEN 'user' THEN 4 WHEN 'assistant' THEN 5 WHEN 'system' THEN 6 END AS id, false AS lab FROM {relation}
   UNION ALL SELECT {keys}, {order}, 1, 0, 3, false FROM {relation}
-  UNION ALL SELECT {keys}, {order}, 2, pos, coalesce(v.id, 2), role = 'assistant' FROM split LEFT JOIN vocab v USING (w)
+  UNION ALL SELECT {keys}, {order}, 2, pos * 1000000 + generate_subscripts(ids, 1), unnest(ids), role = 'assistant'
+            FROM (SELECT {', '.join('split.' + k.strip() for k in keys.split(','))}, split.{order}, pos, role, {sql_word_ids('split.w')} AS ids FROM split LEFT JOIN vocab v USING (w))
   UNION ALL SELECT {keys}, {order}, 3, 0, 0, true FROM {relation} WHERE role = 'assistant'
   UNION ALL SELECT {keys}, {order}, 4, 0, 3, false FROM {relation}),
 flat AS (
@@ -124,8 +134,9 @@ vocab AS ({sql_vocab('documents')}),
 dsplit AS (SELECT doc_id, source, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos
            FROM (SELECT doc_id, source, {sql_words('text')} AS ws FROM documents)),
 dtok AS (
-  SELECT s.doc_id, s.source, s.pos, coalesce(v.id, 2) AS id FROM dsplit s LEFT JOIN vocab v ON v.w = s.w
-  UNION ALL SELECT doc_id, source, 1000000000, 0 FROM documents)"""
+  SELECT doc_id, source, pos * 1000000 + generate_subscripts(ids, 1) AS pos, unnest(ids) AS id
+  FROM (SELECT s.doc_id, s.source, s.pos, {sql_word_ids('s.w')} AS ids FROM dsplit s LEFT JOIN vocab v ON v.w = s.w)
+  UNION ALL SELECT doc_id, source, {EOS_PLACE}, 0 FROM documents)"""
 
 SQL_CHUNKS = f"""{SQL_DOC_TOKENS},
 stream AS (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY doc_id, pos) - 1 AS p FROM dtok),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.functions import prompt_texts as P
 from millrace.functions.hashing import seeded_unit
@@ -150,7 +150,7 @@ def _fill_sql(template: str, **values: str) -> str:
 
 
 SQL_NEW_PARAMS = f"""newp AS (SELECT case_id, string_agg('num_x=' || q, E'\\n' ORDER BY ordinal) AS np
-  FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY ordinal) AS rn FROM lines_) WHERE rn <= 5 GROUP BY case_id)"""
+  FROM lines_ GROUP BY case_id)"""
 
 
 @query("perturb_prompts", f"""WITH {SQL_CASES}, {SQL_NEW_PARAMS}
@@ -159,10 +159,7 @@ UNION ALL SELECT case_id, 'rewrite', md5({_fill_sql(P.REWRITE_QUESTION, question
 UNION ALL SELECT case_id, 'answer', md5({_fill_sql(P.ANSWER_QUESTION, question='question')}) FROM cases
 UNION ALL SELECT case_id, 'answer with examples', md5({_fill_sql(P.ANSWER_QUESTION_WITH_EXAMPLES, question='question')}) FROM cases""")
 def perturb_prompts(spark, sf):
-    # five new lines per case, as a response has; cut before they are collected
-    place = F.row_number().over(Window.partitionBy("case_id").orderBy("ordinal"))
-    five = _lines(spark, sf).withColumn("place", place).where("place <= 5")
-    lines = five.groupBy("case_id").agg(
+    lines = _lines(spark, sf).groupBy("case_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "q"))), lambda x: F.concat(F.lit("num_x="), x["q"].cast("string"))).alias("np")
     )
     cases = _cases(spark, sf).join(lines, "case_id")

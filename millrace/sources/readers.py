@@ -42,6 +42,13 @@ class Corpus:
     splits: Mapping[str, Column] = field(default_factory=dict)
     convert: Callable[[DataFrame], DataFrame] | None = None
 
+    def split_name(self) -> Column:
+        """The first split that a row belongs to, so that one scan serves all of them."""
+        name = F.lit(None).cast("string")
+        for split, holds in reversed(self.splits.items()):
+            name = F.when(holds, F.lit(split)).otherwise(name)
+        return name
+
 
 def load_corpus(
     spark: SparkSession,
@@ -64,9 +71,6 @@ def load_corpus(
     return corpus.convert(rows) if corpus.convert else rows
 
 
-MAX_BROADCAST_FILES = 2_000_000  # 16 bytes each; with more files the join is a plain one
-
-
 def stored_position(spark: SparkSession, path: str, columns: Sequence[str], out: str = "position") -> DataFrame:
     """Rows of a Parquet table with their dense place in stored order: by file, then by row.
 
@@ -79,12 +83,9 @@ def stored_position(spark: SparkSession, path: str, columns: Sequence[str], out:
         *columns, F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__row")
     )
     sizes = rows.groupBy("__path").agg((F.max("__row") + 1).alias("n_rows"))
-    files = stage(manifests.chunk_offsets(sizes, "n_rows", "__path").select(F.xxhash64("__path").alias("__file"), "start"), "files")
-    n_files, n_keys = files.agg(F.count(F.lit(1)), F.countDistinct("__file")).first()
-    if n_files != n_keys:
-        raise ValueError("two file names have the same hash")
-    files = F.broadcast(files) if n_files <= MAX_BROADCAST_FILES else files
-    placed = rows.withColumn("__file", F.xxhash64("__path")).join(files, "__file")
+    # written first, so that its true size decides how it is joined
+    files = stage(manifests.chunk_offsets(sizes, "n_rows", "__path").select("__path", "start"), "files")
+    placed = rows.join(files, "__path")
     return placed.select(*columns, (F.col("start") + F.col("__row")).alias(out))
 
 

@@ -238,20 +238,21 @@ def test_reply_beyond_the_length_has_no_labels(spark):
 
 def test_turn_limit_changes_nothing(spark):
     rows = [(1, t * 5, ("user", "assistant")[t % 2], "hi " * (t % 3)) for t in range(40)]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    parts = tokenize.chat_encode(turns, Vocabulary(spark, ["hi"])).orderBy("turn").collect()
+    ids = [0, *(i for r in parts for i in r["input_ids"])]
+    mask = [False, *(m for r in parts for m in r["label_mask"])]
     for n in (1, 2, 3, 10, 31, 64):
         cut = chat(spark, n, rows).first()
-        turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
-        whole = tokenize.fit_to_length(tokenize.chat_encode(turns, Vocabulary(spark, ["hi"])), n).first()
-        assert cut["input_ids"] == whole["input_ids"] and cut["label_mask"] == whole["label_mask"]
+        assert cut["input_ids"] == ids[:n] and cut["label_mask"] == mask[:n]
 
 
-def test_long_conversation_comes_in_parts(spark):
+def test_long_conversation_has_one_shape(spark):
     turns = spark.range(5000).select(F.lit(1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.lit("hi").alias("text"))
-    got = tokenize.chat_encode(turns, Vocabulary(spark, ["hi"])).orderBy("part").collect()
-    assert [len(r["input_ids"]) for r in got] == [4096 * 4 + 1, 904 * 4]
-    assert got[0]["input_ids"][0] == 0
-    text = normalize.turns_to_text(turns).orderBy("part").collect()
-    assert "".join(r["text"] for r in text) == "hi\n" * 5000
+    got = tokenize.chat_encode(turns, Vocabulary(spark, ["hi"])).orderBy("turn").collect()
+    assert [r["start"] for r in got] == [1 + 4 * t for t in range(5000)]
+    assert {len(r["input_ids"]) for r in got} == {4}
+    assert normalize.turns_to_text(turns).first()["text"] == "hi\n" * 5000
 
 
 def test_any_batch_tokenizer_fits_in(spark):
