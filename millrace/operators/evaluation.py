@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.functions import arrays as A
 from millrace.operators.prefix import dense_position
-from millrace.operators.tasks import CATEGORY_FIELDS, SUBJECT_FIELD, VARIANTS, multi_subject_example, subjects_of
+from millrace.operators.tasks import CATEGORY_FIELDS, SUBJECT_FIELD, TASKS, VARIANTS, multi_subject_example, subjects_of
 from millrace.operators.tokenize import PAD, Vocabulary
 
 CTX_LEN = 2048  # fixed value: longest query a model takes
@@ -178,6 +178,23 @@ def prompt_variants(
     )
 
 
+def subject_task_prompts(questions: DataFrame, dev: DataFrame, task: str, key: str = "doc_key") -> DataFrame:
+    """(doc_id, variant, ctx_text, continuations, label_id, dc_text) of a subject task by name.
+
+    The name says which subjects (``subject``) and which part (``split``) of the questions it
+    takes, under which prompt variants, and whether options are lettered.
+    """
+    spec = TASKS[task]
+    chosen = questions.where(F.col("subject").isin(subjects_of(spec.options["category"])) & (F.col("split") == spec.options["split"]))
+    lettered = bool(spec.options.get("lettered"))
+    every = prompt_variants(chosen, dev, spec.options.get("variants"), lettered, key)
+    parts = spec.build(lambda name: F.col(name), lettered=lettered)
+    return every.select(
+        "doc_id", "variant", "ctx_text", parts.continuations.alias("continuations"),
+        parts.label.cast("bigint").alias("label_id"), parts.conditional.alias("dc_text"),
+    )
+
+
 # --- scores ----------------------------------------------------------------------------
 
 KEY = ("doc_id", "cont_id")

@@ -316,6 +316,21 @@ def generation_quota(accepted: DataFrame, cases: DataFrame, quota: int = QUOTA,
     return joined.select(case, n.alias("n_accepted"), (n >= quota).alias("complete"))
 
 
+def quota_round(
+    accepted: DataFrame, variants: DataFrame, cases: DataFrame, quota: int = QUOTA, case: str = "case_id"
+) -> tuple[DataFrame, DataFrame]:
+    """(accepted, open cases) after a round of variants.
+
+    The round's verified variants are appended to those of the rounds before. A case that has
+    its quota is cleared: its later variants do not count and it is not asked again.
+    """
+    done = generation_quota(accepted, cases, quota, case).where("complete").select(case)
+    added = verify_variants(variants).join(done, case, "left_anti").select(*accepted.columns)
+    after = accepted.unionByName(added)
+    still_open = generation_quota(after, cases, quota, case).where(~F.col("complete")).drop("complete")
+    return after, still_open
+
+
 def select_retries(
     questions: DataFrame, predictions: DataFrame, answers: DataFrame, keys: Sequence[str] = ("case_id", "slot")
 ) -> DataFrame:

@@ -320,6 +320,8 @@ def task_prompts(records: DataFrame, task: str, keys: list[str]) -> DataFrame:
     spec = TASKS[task]
     if spec.build is None:
         raise ValueError(f"{task} has several contexts per record; use pair_context_prompts")
+    if "variants" in spec.options:
+        raise ValueError(f"{task} puts examples in front; use evaluation.subject_task_prompts")
     options = {k: v for k, v in spec.options.items() if k == "lettered"}
     parts = spec.build(lambda name: F.col(name), **options)
     return records.select(
@@ -335,6 +337,7 @@ def pair_context_prompts(records: DataFrame, keys: list[str]) -> DataFrame:
     """Two contexts, one continuation: the sentence is split at its first underscore."""
     sentence = F.col("sentence")
     at = F.instr(sentence, "_")
+    at = F.when(at > 0, at).otherwise(F.raise_error(F.lit("a sentence has no underscore")).cast("int"))
     head = F.substring(sentence, F.lit(1), at - 1)
     tail = F.concat(F.lit(" "), strip(F.substring(sentence, at + 1, F.length(sentence))))
     options = F.array("option1", "option2")

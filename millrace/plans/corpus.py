@@ -127,6 +127,17 @@ def stage_checkpoint(spark, sf):
     return writers.furthest_stage(every)
 
 
+@query("prefer_longer", """
+SELECT o_orderkey AS case_id, CASE WHEN (SELECT count(*) FILTER (o_orderstatus = 'F') < count(*) FROM orders) THEN 'earlier' ELSE 'later' END AS payload
+FROM orders WHERE (SELECT count(*) FILTER (o_orderstatus = 'F') < count(*) FROM orders) OR o_orderstatus = 'F'""")
+def prefer_longer(spark, sf):
+    """A later stage that lost cases does not take the earlier one's place."""
+    cases = table(spark, sf, "orders").select(F.col("o_orderkey").alias("case_id"), "o_orderstatus")
+    earlier = cases.select("case_id", F.lit("earlier").alias("payload"))
+    later = cases.where("o_orderstatus = 'F'").select("case_id", F.lit("later").alias("payload"))
+    return writers.prefer_longer(earlier, later)
+
+
 # --- projections -----------------------------------------------------------------------
 
 

@@ -98,7 +98,7 @@ t AS (SELECT *, row_number() OVER (ORDER BY doc_key) - 1 AS place FROM md WHERE
 SELECT place * 7 + no AS doc_id, variant, CASE WHEN inst = 1 THEN {INST} ELSE '' END || coalesce(prefix, '') || {sql_example(False)} AS ctx_text
 FROM t CROSS JOIN v LEFT JOIN pre USING (subject, no)""")
 def prompt_variants(spark, sf):
-    dev, test = _split(_subject_docs(spark, sf))
+    dev, test = _split(stage(_subject_docs(spark, sf), "subject-docs"))
     return E.prompt_variants(test, dev, 1).select("doc_id", "variant", "ctx_text")
 
 
@@ -172,7 +172,6 @@ def _task_records(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
         "mrpc": rows(sentence1=F.concat(q, F.lit(" ' s ( x ) , y")), sentence2=c[0], label=a % 2),
         "sst2": rows(sentence=F.concat(q, F.lit(' did n\'t ( a ) " b " . ')), label=a % 2),
         "mmlu_stem": rows(question=q, choices=F.col("choices"), answer=a),
-        "mmlu_stem_mc_5shot": rows(question=q, choices=F.col("choices"), answer=a),
         "trivia_qa_wiki_ppl": rows(question=q, answer=F.struct(c[0].alias("value"))),
         "natural_qs_open_ppl": rows(question=q, answer=F.array(c[0], c[1])),
     }
@@ -219,7 +218,6 @@ def _sql_tasks() -> str:
         _sql_task("mrpc", f"""'Sentence 1: ' || {_detok("(q || ' '' s ( x ) , y')")} || E'\\nSentence 2: ' || {_detok("choices[1]")} || E'\\nQuestion: Do both sentences mean the same thing?\\nAnswer:'""", ["'yes'", "'no'"], "1 - a % 2"),
         _sql_task("sst2", f"""{_detok("(q || ' did n''t ( a ) " + '" b " . ' + "')")} || E'\\nQuestion: Is this sentence positive or negative?\\nAnswer:'""", ["'negative'", "'positive'"], "a % 2"),
         _sql_task("mmlu_stem", f"'Question: ' || {sql_strip('q')} || E'\\nAnswer:'", all4, "a"),
-        _sql_task("mmlu_stem_mc_5shot", f"{sql_strip('q')} || E'\\nA. ' || choices[1] || E'\\nB. ' || choices[2] || E'\\nC. ' || choices[3] || E'\\nD. ' || choices[4] || E'\\nAnswer:'", ["'A'", "'B'", "'C'", "'D'"], "a"),
         _sql_task("trivia_qa_wiki_ppl", "E'\\nQuestion: ' || q || E'\\nAnswer:'", c[:1], "0"),
         _sql_task("natural_qs_open_ppl", "E'\\nQuestion: ' || q || E'\\nAnswer:'", c[:1], "0"),
     ]
@@ -238,6 +236,42 @@ def task_prompts(spark, sf):
     )
 
 
+SUBJECT_TASKS = [name for name in tasks.TASKS if name.startswith("mmlu_")]
+
+SQL_SUBJECT_TASKS = f"""WITH {SQL_SUBJECT_DOCS}, {_sql_fields()},
+{sql_shots(False).replace("dev AS", "dev0 AS")}, {sql_shots(True).replace("dev AS", "dev1 AS")},
+devs AS (SELECT false AS lettered, * FROM dev0 UNION ALL SELECT true, * FROM dev1),
+tasks AS (SELECT DISTINCT 'mmlu_' || category || suffix AS task, category, split, kind, lettered
+  FROM cat CROSS JOIN (VALUES ('', 'validation', 'plain', false), ('_test', 'test', 'plain', false), ('_var', 'validation', 'var', false),
+                              ('_mc_5shot', 'validation', 'mc', true), ('_mc_5shot_test', 'test', 'mc', true)) s(suffix, split, kind, lettered)),
+v AS (SELECT * FROM (VALUES ('plain', 0, 1, 'plain', 0, 0), ('var', 0, 7, 'plain', 0, 0), ('var', 1, 7, 'inst', 1, 0), ('var', 2, 7, 'inst+1', 1, 1),
+  ('var', 3, 7, 'inst+2', 1, 2), ('var', 4, 7, 'inst+3', 1, 3), ('var', 5, 7, 'inst+4', 1, 4), ('var', 6, 7, 'inst+5', 1, 5), ('mc', 0, 1, 'inst+5', 1, 5))
+  t(kind, no, n, variant, inst, shots)),
+pre AS (SELECT subject, lettered, shots, string_agg(shown, '' ORDER BY rn) AS prefix
+        FROM devs JOIN (SELECT DISTINCT shots FROM v) ON rn <= shots GROUP BY subject, lettered, shots),
+placed AS (SELECT task, kind, lettered, md.*, row_number() OVER (PARTITION BY task ORDER BY doc_key) - 1 AS place
+  FROM md JOIN sub USING (subject) JOIN cat USING (field) JOIN tasks USING (category)
+  WHERE turn > 1 AND split = CASE WHEN doc_key // 4294967296 % 2 = 0 THEN 'test' ELSE 'validation' END)
+SELECT task, place * n + no AS doc_id, variant,
+       CASE WHEN inst = 1 THEN {INST} ELSE '' END || coalesce(prefix, '') || CASE WHEN p.lettered THEN {sql_example(True)} ELSE {sql_example(False)} END AS ctx_text,
+       CASE WHEN p.lettered THEN ' A| B| C| D' ELSE array_to_string(list_transform(choices, lambda c: ' ' || c), '|') END AS continuations,
+       answer AS label_id, 'Answer:' AS dc_text
+FROM placed p JOIN v USING (kind) LEFT JOIN (SELECT subject AS s, lettered AS l, shots AS k, prefix FROM pre) ON s = p.subject AND l = p.lettered AND k = v.shots"""
+
+
+@query("subject_task_prompts", SQL_SUBJECT_TASKS)
+def subject_task_prompts(spark, sf):
+    """All names of subject tasks; even conversations are the test part."""
+    docs = stage(_subject_docs(spark, sf), "subject-docs")
+    dev, test = _split(docs)
+    part = F.when(F.shiftright("doc_key", 32) % 2 == 0, "test").otherwise("validation")
+    out = None
+    for name in SUBJECT_TASKS:
+        one = E.subject_task_prompts(test.withColumn("split", part), dev, name).withColumn("task", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out.select("task", "doc_id", "variant", "ctx_text", F.array_join("continuations", "|").alias("continuations"), "label_id", "dc_text")
+
+
 # --- requests --------------------------------------------------------------------------
 
 

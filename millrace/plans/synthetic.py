@@ -392,6 +392,26 @@ def generation_quota(spark, sf):
     return done.withColumn("complete", F.col("complete").cast("int"))
 
 
+ROUND_QUOTA = 3
+
+
+@query("quota_rounds", f"""WITH {SQL_VARIANTS},
+ok AS (SELECT case_id, slot, slot % 2 AS round FROM va WHERE {SQL_ACCEPT}),
+first_round AS (SELECT case_id, count(*) AS n FROM ok WHERE round = 0 GROUP BY case_id),
+kept AS (SELECT ok.case_id FROM ok LEFT JOIN first_round f USING (case_id) WHERE round = 0 OR coalesce(f.n, 0) < {ROUND_QUOTA})
+SELECT o_orderkey AS case_id, count(kept.case_id) AS n_accepted, {ROUND_QUOTA} - count(kept.case_id) AS n_wanted
+FROM orders LEFT JOIN kept ON kept.case_id = o_orderkey GROUP BY o_orderkey HAVING count(kept.case_id) < {ROUND_QUOTA}""")
+def quota_rounds(spark, sf):
+    """Two rounds of variants; what is still to be asked of whom after them."""
+    variants = stage(_variants(spark, sf), "variants")
+    cases = table(spark, sf, "orders").select(F.col("o_orderkey").alias("case_id"))
+    accepted = variants.select("case_id", "slot").limit(0)
+    for number in range(2):
+        accepted, still_open = S.quota_round(accepted, variants.where(F.col("slot") % 2 == number), cases, ROUND_QUOTA)
+        accepted = stage(accepted, "accepted")
+    return still_open.select("case_id", "n_accepted", (F.lit(ROUND_QUOTA) - F.col("n_accepted")).alias("n_wanted"))
+
+
 def _slots(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Questions, predictions and answers by (case_id, slot); the last slot has no prediction."""
     variants = stage(_variants(spark, sf), "variants")  # three tables come from it
@@ -481,16 +501,25 @@ def iterative_rounds(spark, sf):
 # --- case selection --------------------------------------------------------------------
 
 
+ARCHIVED = ("masked_question", "replacement", "parameters", "program", "result", "correct")
+
+
 @query("select_unsolved", f"""WITH {SQL_CASES}
-SELECT case_id, CAST(1 AS BIGINT) AS n_prev, parameters AS prev_parameters, correct AS prev_correct, CAST(NULL AS VARCHAR) AS parameters
+SELECT case_id, CAST(1 AS BIGINT) AS n_prev, 'masked ' || case_id AS prev_masked, 'replaced ' || case_id AS prev_replacement,
+       parameters AS prev_parameters, 'program ' || case_id AS prev_program, 'result ' || case_id AS prev_result, correct AS prev_correct, CAST(6 AS BIGINT) AS n_cleared
 FROM cases WHERE coalesce(correct, 0) <= 0""")
 def select_unsolved(spark, sf):
     cases = _cases(spark, sf).select("case_id", "question", "parameters", "correct")
-    kind = "array<struct<parameters:string,correct:double>>"
-    redone = quality.select_unsolved(cases.withColumn("prev", F.array().cast(kind)), ["parameters", "correct"], rework=True)
+    made = {"masked_question": "masked ", "replacement": "replaced ", "program": "program ", "result": "result "}
+    cases = cases.withColumns({n: F.concat(F.lit(t), F.col("case_id").cast("string")) for n, t in made.items()})
+    kinds = ",".join(f"{n}:{'double' if n == 'correct' else 'string'}" for n in ARCHIVED)
+    redone = quality.select_unsolved(cases.withColumn("prev", F.array().cast(f"array<struct<{kinds}>>")), list(ARCHIVED), rework=True)
+    before = F.col("prev")[0]
     return redone.select(
-        "case_id", F.size("prev").cast("bigint").alias("n_prev"), F.col("prev")[0]["parameters"].alias("prev_parameters"),
-        F.col("prev")[0]["correct"].alias("prev_correct"), "parameters",
+        "case_id", F.size("prev").cast("bigint").alias("n_prev"), before["masked_question"].alias("prev_masked"),
+        before["replacement"].alias("prev_replacement"), before["parameters"].alias("prev_parameters"), before["program"].alias("prev_program"),
+        before["result"].alias("prev_result"), before["correct"].alias("prev_correct"),
+        sum((F.col(n).isNull().cast("bigint") for n in ARCHIVED), F.lit(0)).cast("bigint").alias("n_cleared"),
     )
 
 
