@@ -26,9 +26,10 @@ from millrace.session import stage
 
 TILE = 2048
 SEEN = 1 << 18
+PART_ROWS = 1 << 18
 BROADCAST_ROWS = 1 << 20
 # Shingle sets below this size are brought together by single shingles of their prefix.
-SMALL = 24
+SMALL = 32
 
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -41,14 +42,10 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     that only rows with a null id have gets no links to other texts. Other columns are
     ignored. An empty table gives none.
     """
-    sets = stage(
-        docs.select("doc_id", "text").mapInArrow(
-            lambda batches: _parts(batches, size, percent),
-            "doc_id bigint, n_shingles bigint, class bigint, parts array<bigint>",
-        ),
-        "shingle-parts",
-    )
-    hints = stage(_shared_parts(sets), "shared-parts")
+    texts = docs.select("doc_id", "text")
+    sets = stage(texts.mapInArrow(lambda batches: _classes(batches, size), "doc_id bigint, n_shingles bigint, class bigint"), "shingle-sets")
+    parts = texts.select("text").mapInArrow(lambda batches: _parts(batches, size, percent), "part bigint, class bigint")
+    hints = stage(_shared_parts(parts), "shared-parts")
     blocks = star_forest(hints)
     blocks = blocks.unionByName(blocks.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "block")
     links = stage(_links(docs, sets, blocks, size, percent), "links")
@@ -76,29 +73,40 @@ def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
 
 
+def _classes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [(len(h), class_of(h)) for h in shingle_sets(batch.column("text"), size)]
+        numbers = np.array(found, np.int64).reshape(-1, 2)
+        yield pa.record_batch(
+            [batch.column("doc_id").cast(pa.int64()), pa.array(np.ascontiguousarray(numbers[:, 0])), pa.array(np.ascontiguousarray(numbers[:, 1]))],
+            names=["doc_id", "n_shingles", "class"],
+        )
+
+
 def _parts(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """A row per class and part; once per class and task is enough, and forgetting only repeats it."""
     seen: set[int] = set()
     for batch in batches:
-        counts, classes, rows = [], [], []
+        keys, names, held = [], [], 0
         for hashes in shingle_sets(batch.column("text"), size):
-            counts.append(len(hashes))
             name = class_of(hashes)
-            classes.append(name)
-            # one list of parts per class and task is enough; forgetting only repeats it
-            rows.append(None if name in seen or not len(hashes) else part_keys(hashes, percent))
+            if len(hashes) and name not in seen:
+                own = part_keys(hashes, percent)
+                keys.append(own)
+                names.append(np.full(len(own), name))
+                held += len(own)
             if len(seen) > SEEN:
                 seen.clear()
             seen.add(name)
-        lengths = [0 if r is None else len(r) for r in rows]
-        flat = np.concatenate([r for r in rows if r is not None] or [np.zeros(0, np.int64)])
-        offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-        yield pa.record_batch(
-            [
-                batch.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(classes, pa.int64()),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64())),
-            ],
-            names=["doc_id", "n_shingles", "class", "parts"],
-        )
+            if held >= PART_ROWS:
+                yield _part_rows(keys, names)
+                keys, names, held = [], [], 0
+        if keys:
+            yield _part_rows(keys, names)
+
+
+def _part_rows(keys: list[np.ndarray], names: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.concatenate(keys), pa.int64()), pa.array(np.concatenate(names), pa.int64())], names=["part", "class"])
 
 
 def class_of(hashes: np.ndarray) -> int:
@@ -122,11 +130,11 @@ def size_class(number: int, percent: int) -> tuple[int, int, int]:
     for _ in range(64):
         m = differ + 1 + spare
         empty = m * math.exp(-low * percent / 100 / m)
-        wanted = math.ceil(empty + 4 * math.sqrt(empty))
+        wanted = math.ceil(empty + 2 * math.sqrt(empty))
         if wanted <= spare:
-            break
+            return high, differ + 1 + spare, spare
         spare = wanted
-    return high, differ + 1 + spare, spare
+    return high, differ + 1, 0  # every set gives all its parts
 
 
 def part_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
@@ -156,10 +164,9 @@ def part_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(keys).view(np.int64)
 
 
-def _shared_parts(sets: DataFrame) -> DataFrame:
+def _shared_parts(parts: DataFrame) -> DataFrame:
     """(a, b): for every part, its smallest class with each other class that has it."""
-    rows = sets.where("parts is not null").select(F.explode("parts").alias("part"), "class")
-    runs = rows.repartition("part").sortWithinPartitions("part", "class")
+    runs = parts.repartition("part").sortWithinPartitions("part", "class")
     return runs.mapInArrow(_runs, "a bigint, b bigint").distinct()
 
 
@@ -187,7 +194,7 @@ def _links(docs: DataFrame, sets: DataFrame, blocks: DataFrame, size: int, perce
     every two sides are a tile.
     """
     sizes = blocks.groupBy("block").agg(F.count("*").alias("members"))
-    firsts = sets.where("parts is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    firsts = sets.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     chosen = stage(
         blocks.join(sizes, "block").join(firsts, blocks["node"] == firsts["class"])
         .select("doc_id", "class", "block", F.ceil(F.col("members") / (TILE // 2)).cast("int").alias("sides")),
