@@ -182,7 +182,9 @@ class WarcReader(DataSourceReader):
         files = [f.path for f in listed if f.base_name.endswith((".warc", ".warc.gz"))]
         return [Stretch(f.rsplit("/", 1)[-1], 0, None) for f in sorted(files)]
 
-    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Stretch | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # an archive without files
+            return
         system, path = _located(self.path)
         name = f"{path}/{partition.path}"
         rows, size = [], 0
