@@ -172,7 +172,7 @@ def fit(docs: DataFrame, counts: Counts) -> np.ndarray:
         trainer = gru_lm.Trainer(gru_lm.unflatten(begun.value, layout), layout, rate=0.001)
         seen = 0
         for batch in batches:
-            seen += trainer.fit(_documents(batch.column("text"), shared.value), lanes=32)
+            seen += trainer.fit(_documents(batch.column("text"), shared.value))
         if seen:
             flat = gru_lm.flatten(trainer.w) * np.float32(seen)
             yield pa.record_batch([pa.array([seen], pa.int64()), pa.array([flat], pa.list_(pa.float32()))], names=["seen", "flat"])
