@@ -2,6 +2,7 @@
 
 BENCH_SF_DIR (default /root/testdata/sf0.1) and BENCH_CPUS (default 8) choose data and cores.
 Every query is computed in full and its result discarded, so nothing is skipped or collected.
+Names as arguments choose queries; --all takes every one that is not among the optional ones.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ HEADLINE = [
     "majority_answer", "iterative_rounds",
     "prompt_variants", "expand_requests", "pad_requests", "choice_accuracy", "perplexity_by_label", "instance_loss",
     "sliding_throughput", "running_min_loss", "preference_rewards",
+    "chat_encode", "write_token_shards", "fewshot_messages", "program_prompts", "subject_task_prompts", "quota_rounds",
+    "stream_run_metrics",
 ]
 
 
@@ -35,7 +38,7 @@ def main() -> None:
     queries, _ = load_all()
     spark = build_session(cores=cpus, spark__driver__memory=os.environ.get("BENCH_MEMORY", "12g"))
     spark.sparkContext.setLogLevel("ERROR")
-    names = sys.argv[1:] or HEADLINE
+    names = list(queries) if sys.argv[1:] == ["--all"] else sys.argv[1:] or HEADLINE
     spark.range(1000).selectExpr("sum(id)").collect()  # the JVM is up before the clock starts
     times: dict[str, float] = {}
     for name in names:

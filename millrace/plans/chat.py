@@ -24,7 +24,7 @@ from millrace.plans.shared import (
     sql_vocab,
     sql_words,
 )
-from millrace.session import fresh_path
+from millrace.session import fresh_path, stage
 from millrace.sources import readers, writers
 
 PAIR_LEN = 2048
@@ -268,28 +268,43 @@ def pair_has_labels(spark, sf):
 
 
 @query("validate_rows", f"""WITH {SQL_CHAT_FIT}, {SQL_PAIRS},
-bad_len AS (SELECT conv_id, count(*) AS n FROM flat GROUP BY conv_id)
-SELECT 'ids_and_mask_equally_long' AS rule, CAST(0 AS BIGINT) AS n_violations
-UNION ALL SELECT 'row_has_fixed_length', 0
-UNION ALL SELECT 'fits_before_cutting', CAST(count(*) FILTER (n > {CHAT_LEN}) AS BIGINT) FROM bad_len
+bad_len AS (SELECT conv_id, count(*) AS n FROM flat GROUP BY conv_id),
+shapes AS (SELECT conv_id // 8 AS batch, count(DISTINCT conv_id % 10 = 1) AS n FROM rows_ GROUP BY 1)
+SELECT 'ids_and_mask_equally_long' AS rule, count(*) FILTER (conv_id % 10 < 2) AS n_violations FROM rows_
+UNION ALL SELECT 'row_has_fixed_length', count(*) FILTER (conv_id % 10 = 1) FROM rows_
+UNION ALL SELECT 'fits_before_cutting', CAST(count(*) FILTER (n > 256) AS BIGINT) FROM bad_len
 UNION ALL SELECT 'has_a_label', CAST(count(*) FILTER (n_labels = 0) AS BIGINT) FROM rows_
-UNION ALL SELECT 'chosen_not_empty', 0 UNION ALL SELECT 'rejected_not_empty', 0""")
+UNION ALL SELECT 'batch_has_one_shape', count(*) FILTER (n > 1) FROM shapes
+UNION ALL SELECT 'chosen_not_empty', count(*) FILTER (conv_id % 7 = 0) FROM px
+UNION ALL SELECT 'rejected_not_empty', count(*) FILTER (conv_id % 7 = 1) FROM px
+UNION ALL SELECT 'not_prompt_and_messages', count(*) FILTER (conv_id % 7 = 2) FROM px""")
 def validate_rows(spark, sf):
+    """Rows broken in known places, so that every rule has something to find."""
     vocab = chat_vocab(spark, sf)
     encoded = tokenize.chat_encode(_turns(spark, sf), vocab, seq_len=CHAT_LEN)
     lengths = tokenize.chat_lengths(_turns(spark, sf), vocab)
     rows = tokenize.fit_to_length(encoded, CHAT_LEN).join(lengths, "conv_id")
+    short = lambda c, last: F.when(F.col("conv_id") % 10 == last, F.slice(c, 1, CHAT_LEN - 1)).otherwise(F.col(c))
+    rows = stage(rows.withColumns({"label_mask": short("label_mask", 0), "input_ids": short("input_ids", 1)}), "rows")
     on_rows = quality.violations(rows, {
         "ids_and_mask_equally_long": F.size("input_ids") == F.size("label_mask"),
         "row_has_fixed_length": F.size("input_ids") == CHAT_LEN,
-        "fits_before_cutting": F.col("n_full") <= CHAT_LEN,
+        "fits_before_cutting": F.col("n_full") <= 256,
         "has_a_label": F.col("n_labels") > 0,
     })
-    on_pairs = quality.violations(_pairs(spark, sf), {
+    batches = rows.groupBy(F.floor(F.col("conv_id") / 8)).agg(F.min(F.size("input_ids")).alias("least"), F.max(F.size("input_ids")).alias("most"))
+    on_batches = quality.violations(batches, {"batch_has_one_shape": F.col("least") == F.col("most")})
+    kind = F.shiftright("pair_id", 32) % 7
+    none = lambda c, k: F.when(kind == k, F.slice(c, 1, 0)).otherwise(F.col(c))
+    pairs = _pairs(spark, sf).select(
+        none("chosen", 0).alias("chosen"), none("rejected", 1).alias("rejected"), F.when(kind == 2, "a prompt").alias("prompt")
+    )
+    on_pairs = quality.violations(pairs, {
         "chosen_not_empty": F.size("chosen") > 0,
         "rejected_not_empty": F.size("rejected") > 0,
+        "not_prompt_and_messages": F.col("prompt").isNull() | (F.size("chosen") == 0),
     })
-    return on_rows.unionByName(on_pairs)
+    return on_rows.unionByName(on_batches).unionByName(on_pairs)
 
 
 # --- samples of rows -------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,8 +14,6 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # lets "first k per key" be cut on the map side for k up to a sequence length
-    "spark.sql.optimizer.windowGroupLimitThreshold": "8192",
     # runs of identical-key aggregates stay hash based a little longer
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
     "spark.ui.enabled": "false",
@@ -35,23 +34,42 @@ def build_session(master: str | None = None, cores: int | None = None, **conf: s
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    use_local_folder(spark)
+    ship(spark)
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder written tables go to: ``spark.checkpoint.dir`` or the context's own.
 
-    Only a local session, where one machine is the whole cluster, may fall back to a fresh
-    temporary folder; anywhere else an unset folder is an error.
+    An unset folder is an error: every executor has to reach it. See ``use_local_folder``.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="millrace-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return folder.rstrip("/")
+
+
+def use_local_folder(spark: SparkSession) -> None:
+    """Give a session in one machine, such as a test's, a folder of its own if it has none."""
+    context = spark.sparkContext
+    unset = spark.conf.get("spark.checkpoint.dir", None) is None and not context.getCheckpointDir()
+    if unset and context.master.startswith("local") and not context.master.startswith("local-cluster"):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, so that they need no path of their own."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    target = os.path.join(tempfile.mkdtemp(prefix="millrace-"), "millrace.zip")
+    with zipfile.ZipFile(target, "w") as out:
+        for folder, _, names in os.walk(os.path.join(root, "millrace")):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, root))
+    spark.sparkContext.addPyFile(target)  # Spark's own file server hands it out
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -1,8 +1,8 @@
 """The run metrics of an endless feed: throughput, running minimum and early stop per rank.
 
-State per rank is the recorded batches of one window, the smallest loss and a flag, whatever
-the length of the run. Steps of a rank must arrive in order across micro-batches; within one
-they are sorted here.
+State per rank is the recorded batches of one window, the smallest loss, a flag and the last step,
+whatever the length of the run. Within a micro-batch steps are sorted here; a step that comes in
+a later micro-batch than a higher one of its rank stops the stream, as its window is gone.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ OUTPUT = (
     "rank bigint, step bigint, window_tokens bigint, window_batches bigint, tokens_per_second double, "
     "batches_per_second double, min_loss double, stop boolean"
 )
-STATE = "starts array<double>, tokens array<bigint>, min_loss double, seen boolean, stopped boolean"
+STATE = "starts array<double>, tokens array<bigint>, min_loss double, seen boolean, stopped boolean, last bigint"
 
 
 def metrics_stream(
@@ -28,10 +28,12 @@ def metrics_stream(
     check_s, tokens, loss and reset."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        starts, tokens, lowest, seen, stopped = state.get if state.exists else ([], [], float("inf"), False, False)
+        starts, tokens, lowest, seen, stopped, last = state.get if state.exists else ([], [], float("inf"), False, False, None)
         rows = pd.concat(list(frames)).sort_values("step", ignore_index=True)
         if rows.empty:
             return
+        if last is not None and rows["step"].iloc[0] <= last:
+            raise ValueError(f"step {rows['step'].iloc[0]} of rank {key[0]} came after step {last}")
         minima = np.minimum(np.minimum.accumulate(rows["loss"].to_numpy()), lowest)
         n = len(rows)
         resets = rows["reset"].to_numpy(bool)
@@ -63,6 +65,7 @@ def metrics_stream(
             float(minima[-1]),
             True,
             bool(stopped or hit.any()),
+            int(step[-1]),
         ))
         yield pd.DataFrame({
             "rank": key[0],
