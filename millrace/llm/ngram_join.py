@@ -134,19 +134,20 @@ def size_class(number: int, percent: int) -> tuple[int, int, int]:
         if wanted <= spare:
             return high, differ + 1 + spare, spare
         spare = wanted
-    return high, differ + 1, 0  # every set gives all its parts
+    return high, differ + 1, 0
 
 
 def part_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
     """Keys such that every two sets of the given similarity have one in common.
 
-    Two sets below ``SMALL`` share a shingle of their prefixes. Any other set takes the parts of
-    its own size class and of the next, where the largest sets that it can match are.
+    A set takes the parts of its own size class and of the next, where the largest sets that it
+    can match are; but not its empty parts, which would be the same in unrelated sets. A set of
+    ``SMALL`` or more without too many of those shares a filled part with whatever is similar. Any
+    two others share a shingle of their prefixes, which they take as well.
     """
     n = len(hashes)
-    keys, number = [], 0
-    if n < SMALL:
-        keys.append(hashes[: n - -(-n * percent // 100) + 1])
+    keys, number, sparse = [], 0, n < SMALL
+    if sparse:
         wanted = [0] if n * 100 >= SMALL * percent else []
     else:
         while size_class(number, percent)[0] < n:
@@ -160,7 +161,10 @@ def part_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
         salt = np.uint64(number * 0x2545F4914F6CDD1D % (1 << 64)) + np.arange(m, dtype=np.uint64) * np.uint64(0x165667B19E3779F9)
         key = mix(mix(sums[cuts[1:]] - sums[cuts[:-1]] + salt) ^ salt)
         filled = cuts[1:] > cuts[:-1]
-        keys.append(key[filled] if m - filled.sum() <= spare else key)
+        keys.append(key[filled])
+        sparse |= m - filled.sum() > spare
+    if sparse:
+        keys.append(hashes[: n - -(-n * percent // 100) + 1])
     return np.concatenate(keys).view(np.int64)
 
 
