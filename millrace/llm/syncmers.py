@@ -17,6 +17,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from millrace.llm.frames import bounded
 from millrace.llm.words import mix, slices
 from millrace.operators.prefix import dense_position
 from millrace.session import stage
@@ -27,6 +28,7 @@ BINS = 64
 PLACE_STEP = 16  # bytes to a unit of place; places count modulo 2**16
 DRIFT = 64  # units that an anchor may be off the common shift
 NONE = 0xFFFF
+BROADCAST_ROWS = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -128,8 +130,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     empty. Of rows that repeat an id the one whose text has the smallest hash stands for the id as a
     next document. A row without an id stands nowhere in the order; nothing follows it.
 
-    Texts cross the network once, compressed, and are read from that exchange twice: for the
-    beginning that the document before needs, and for the edit.
+    The beginning that the document before needs is cut where a text is read, if the table of who
+    follows whom is small enough to go to every task. Then texts cross the network once,
+    compressed; in larger tables twice.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("k", F.xxhash64("text"))
     places = stage(
@@ -143,9 +146,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     after = places.select(F.col("doc_id").alias("for_id"), "need", ((F.col("position") + 1) % max(count, 1)).alias("position"))
     wanted = after.join(places.select("doc_id", "k", "position"), "position").select("doc_id", F.col("k").alias("next_k"), "for_id", "need")
 
-    sent = rows.mapInArrow(_packed, "doc_id bigint, k bigint, packed binary, own binary").repartition("doc_id")
+    sent = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "k", F.arrow_udf(_packed, "packed binary, own binary")("text").alias("p"))
+    sent = sent.select("doc_id", "k", "p.packed", "p.own")
     heads = (
-        sent.join(wanted, "doc_id").where("k = next_k").select("for_id", "need", "packed", "own")
+        sent.join(bounded(stage(wanted, "next-documents"), BROADCAST_ROWS), "doc_id").where("k = next_k").select("for_id", "need", "packed", "own")
         .mapInArrow(_heads, "for_id bigint, head binary, next binary")
         .groupBy("for_id").agg(F.first("head").alias("head"), F.first("next").alias("next"))
     )
@@ -156,17 +160,14 @@ def with_next(docs: DataFrame) -> DataFrame:
     )
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(texts: pa.Array) -> pa.Array:
+    """Each text compressed, and its fingerprint."""
     pack = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        packed, own = [], []
-        for _, raw, offsets in slices(batch.column("text")):
-            own += [f.tobytes() for f in fingerprints(raw, offsets)]
-            packed += [pack.compress(raw[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
-        yield pa.record_batch(
-            [batch.column("doc_id").cast(pa.int64()), batch.column("k"), pa.array(packed, pa.binary()), pa.array(own, pa.binary())],
-            names=["doc_id", "k", "packed", "own"],
-        )
+    packed, own = [], []
+    for _, raw, offsets in slices(texts):
+        own += [f.tobytes() for f in fingerprints(raw, offsets)]
+        packed += [pack.compress(raw[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
+    return pa.StructArray.from_arrays([pa.array(packed, pa.binary()), pa.array(own, pa.binary())], ["packed", "own"])
 
 
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
