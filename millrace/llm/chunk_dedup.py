@@ -17,15 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from millrace.llm.frames import bounded, free_names
+from millrace.llm.frames import free_names
 from millrace.llm.words import slices
-from millrace.session import stage
 
 # Bits 15 to 19 of the hash: a place depends on 20 bytes, chunks have 32 bytes on average.
 CUT_BITS = np.uint32(0b11111 << 15)
 LONGEST = 256
 MIN_RUN = 96
-BROADCAST_ROWS = 1 << 21
 
 _GEAR = np.append(np.random.default_rng(77).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32), np.uint32(0))
 
@@ -106,7 +104,6 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
         chunks.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
         .where("first_id < last_id").drop("last_id")
     )
-    firsts = bounded(stage(firsts, "repeated-chunks"), BROADCAST_ROWS)
     return chunks.join(firsts, ["d1", "d2"]).where("first_id < doc_id").groupBy("doc_id").agg(
         F.collect_list(F.struct("d1", "first_id")).alias("chunks")
     )
@@ -124,8 +121,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_RUN) -> DataFrame:
     """
     rest = docs.drop("spans", "first_ids")
     found, key = free_names(rest.columns, "chunks", "chunk_doc")
-    known = stage(repeated_chunks(docs).select(F.col("doc_id").alias(key), F.col("chunks").alias(found)), "chunks-by-document")
-    known = bounded(known, BROADCAST_ROWS, F.size(found) + 4)
+    known = repeated_chunks(docs).select(F.col("doc_id").alias(key), F.col("chunks").alias(found))
     joined = rest.join(known, rest["doc_id"] == F.col(key), "left").drop(key)
     added = StructType.fromDDL("spans array<struct<start:bigint,length:bigint>>, first_ids array<bigint>")
     schema = StructType(rest.schema.fields + added.fields)
