@@ -24,7 +24,7 @@ from millrace.llm.count_rtree import linked
 from millrace.llm.words import mix, shingle_sets
 from millrace.session import stage
 
-TILE = 2048
+TILE = 8192
 SEEN = 1 << 18
 PART_ROWS = 1 << 18
 BROADCAST_ROWS = 1 << 20
