@@ -164,7 +164,7 @@ def _packed(texts: pa.Array) -> pa.Array:
     """Each text compressed, and its fingerprint."""
     pack = zstandard.ZstdCompressor(level=1)
     packed, own = [], []
-    for _, raw, offsets in slices(texts):
+    for _, raw, offsets in slices(texts, 1 << 19):
         own += [f.tobytes() for f in fingerprints(raw, offsets)]
         packed += [pack.compress(raw[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
     return pa.StructArray.from_arrays([pa.array(packed, pa.binary()), pa.array(own, pa.binary())], ["packed", "own"])
@@ -184,8 +184,8 @@ def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
     empty = np.full((BINS, 2), NONE, np.uint16)
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
+        for at in range(0, batch.num_rows, 128):
+            part = batch.slice(at, 128)
             sizes, edited, own, following = [], [], [], []
             for packed, mine, head, other in zip(*(part.column(c).to_pylist() for c in ("packed", "own", "head", "next"))):
                 text = unpack.decompress(packed).decode("utf-8", "replace")
