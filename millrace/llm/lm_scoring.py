@@ -3,12 +3,13 @@
 Tokens are words and one end per document. All counts are taken from all training documents;
 words are known by a 64-bit hash. The most frequent words' counts go to every task; how often
 rarer words occur is joined to the documents that have them, so no count is cut off. The recurrent
-weights start from a bounded sample and are then fitted on every partition to its share of
-the training documents, and averaged, weighted by tokens.
+weights start from a bounded sample and are then fitted on every partition to all of its training
+documents, and averaged, weighted by tokens.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,12 +22,15 @@ from millrace.llm import gru_lm
 from millrace.llm.words import Words, slices
 from millrace.session import stage
 
-# Bounds: words whose counts go to every task, words with weights of their own.
+# Bound: words whose counts go to every task.
 HEAD_WORDS = 1 << 16
+# Words with weights of their own: so many at least, and so many times the root of the distinct words.
 MODEL_WORDS = 2500
-# The sample that weights start from, and the share of training documents that refines them.
+ROOT_WORDS = 8
+# The sample that weights start from; all training documents refine them.
 START_DOCS = 1500
-SHARE = 16
+# Weights in a row when partitions are averaged.
+SLOT = 1 << 14
 SHAPES = 30
 END = np.uint64(0)
 COLLECT = 1 << 19
@@ -108,7 +112,7 @@ class Counts:
         top = counts.orderBy(F.desc(F.col("h") == 0), F.desc("c"), "h").limit(HEAD_WORDS).collect()
         h = np.array([r["h"] for r in top], np.int64).view(np.uint64)
         c = np.array([r["c"] for r in top], np.int64)
-        words = min(MODEL_WORDS, len(top))
+        words = min(max(MODEL_WORDS, ROOT_WORDS * math.isqrt(total["distinct"])), len(top))
         used = np.zeros((SHAPES, 2))
         for r in top[:words]:
             used[r["k"]] += (r["c"], 1)
@@ -157,13 +161,13 @@ def fit(docs: DataFrame, counts: Counts) -> np.ndarray:
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [d.astype(np.int16).tobytes() for d in _documents(batch.column("text"), shared.value)]
+            ids = [d.astype(np.int32).tobytes() for d in _documents(batch.column("text"), shared.value)]
             yield pa.record_batch([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = sorted(map(tuple, sample.mapInArrow(encoded, "doc_id bigint, ids binary").collect()))[:START_DOCS]
     start = gru_lm.start_weights(counts.layout, counts.class_counts, counts.word_counts)
-    sequences = [np.frombuffer(ids, np.int16).astype(np.int64) for _, ids in rows]
+    sequences = [np.frombuffer(ids, np.int32).astype(np.int64) for _, ids in rows]
     gru_lm.Trainer(start, counts.layout).fit(sequences, passes=2)
     begun = spark.sparkContext.broadcast(gru_lm.flatten(start))
 
@@ -174,19 +178,28 @@ def fit(docs: DataFrame, counts: Counts) -> np.ndarray:
         for batch in batches:
             seen += trainer.fit(_documents(batch.column("text"), shared.value))
         if seen:
-            flat = gru_lm.flatten(trainer.w) * np.float32(seen)
-            yield pa.record_batch([pa.array([seen], pa.int64()), pa.array([flat], pa.list_(pa.float32()))], names=["seen", "flat"])
+            flat = gru_lm.flatten(trainer.w)
+            parts = [flat[at : at + SLOT].tobytes() for at in range(0, len(flat), SLOT)]
+            yield pa.record_batch(
+                [pa.array(range(len(parts)), pa.int32()), pa.array([seen] * len(parts), pa.int64()), pa.array(parts, pa.binary())],
+                names=["slot", "seen", "part"],
+            )
 
-    part = docs.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(SHARE)) == 0).select("text")
     means = (
-        part.mapInArrow(refined, "seen bigint, flat array<float>").select("seen", F.posexplode("flat").alias("i", "v"))
-        .groupBy("i").agg((F.sum(F.col("v").cast("double")) / F.sum("seen")).alias("v")).collect()  # a row per weight
+        docs.select("text").mapInArrow(refined, "slot int, seen bigint, part binary")
+        .groupBy("slot").applyInArrow(_mean, "slot int, part binary").collect()  # a row per SLOT weights
     )
     if not means:
         return begun.value
-    flat = np.zeros(len(begun.value), np.float32)
-    flat[[r["i"] for r in means]] = [r["v"] for r in means]
-    return flat
+    return np.concatenate([np.frombuffer(part, np.float32) for _, part in sorted(map(tuple, means))])
+
+
+def _mean(rows: pa.Table) -> pa.Table:
+    """Mean of the weights of one slot, weighted by tokens."""
+    seen = rows.column("seen").to_pylist()
+    total = sum(n * np.frombuffer(part.as_py(), np.float32).astype(np.float64) for n, part in zip(seen, rows.column("part")))
+    mean = (total / sum(seen)).astype(np.float32).tobytes()
+    return pa.table({"slot": rows.column("slot").slice(0, 1), "part": pa.array([mean], pa.binary())})
 
 
 # --- scores ----------------------------------------------------------------------------

@@ -374,6 +374,26 @@ def test_rare_words_are_counted_beyond_the_head(spark, monkeypatch):
     test_scores_beat_counts_held_out(spark)
 
 
+def test_every_training_document_reaches_the_weights(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "START_DOCS", 2)
+    ids = spark.range(400).select(F.col("id").alias("doc_id")).where("pmod(xxhash64(3, doc_id), 16) <> 0").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = [r["doc_id"] for r in ids.limit(12).collect()]  # the first two make the sample
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(90))) for i in ids]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    counts = lm_scoring.Counts.of(lm_scoring.word_counts(frame(rows)))
+    plain = lm_scoring.fit(frame(rows), counts)
+    for k in range(2, len(rows)):
+        other = [(i, t[::-1] if j == k else t) for j, (i, t) in enumerate(rows)]
+        assert not np.array_equal(plain, lm_scoring.fit(frame(other), counts))
+
+
+def test_words_with_weights_grow_with_the_distinct_words(spark):
+    table = spark.range(400_000).selectExpr("id AS h", "0 AS k", "1L AS c")
+    assert lm_scoring.Counts.of(table).layout.words == 8 * math.isqrt(400_000) > lm_scoring.MODEL_WORDS
+    assert lm_scoring.Counts.of(table.limit(4000)).layout.words == lm_scoring.MODEL_WORDS
+
+
 def test_scores_of_odd_rows(spark):
     got = lm_scoring.score(documents(spark, clash=True), F.col("doc_id") != 7)
     assert ids_of(got) == ALL_IDS
