@@ -184,6 +184,23 @@ def test_repeated_passages_go_and_the_first_stays(spark):
             assert "".join([*back, text[at:]]) == got[i]["text"]
 
 
+def test_short_passages_go_whole(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(rng.randint(2, 8)))
+    own = lambda: " ".join(word() for _ in range(60))
+    rows, passages = [], {}
+    for k in range(40):
+        passages[k] = " ".join(word() for _ in range(51))
+        rows += [(2 * k, f"{own()} {passages[k]} {own()}", "en", "s", 0), (2 * k + 1, f"{own()} {passages[k]} {own()}", "en", "s", 0)]
+    got = {r["doc_id"]: r for r in chunk_dedup.remove_repeats(documents(spark, rows)).collect()}
+    for k, passage in passages.items():
+        assert got[2 * k]["text"] == rows[2 * k][1]
+        left = got[2 * k + 1]
+        (span,) = left["spans"]
+        assert passage in rows[2 * k + 1][1][span["start"] : span["start"] + span["length"]] and left["first_ids"] == [2 * k]
+        assert span["length"] <= len(passage) + 12
+
+
 def test_chunks_of_odd_rows(spark):
     got = chunk_dedup.remove_repeats(documents(spark, clash=True))
     assert set(CLASH) <= set(got.columns)
