@@ -88,7 +88,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT)
     is one shingle of all its words, and an item without words, or null, is never found. The
     similarity of a window and an item is the sum of the smaller counts of their shingles over
     the sum of the larger; the best window of at least ``percent`` is reported, the first if
-    several are. Null and empty texts contain nothing. Rows that repeat an id and text count
+    several are. A document shorter than the item is one window of all its words. Null and empty texts
+    contain nothing. Rows that repeat an id and text count
     once; equal items are each found. Other columns are ignored.
     """
     items = stage(items_of(benchmark), "benchmark-fingerprints")
@@ -114,10 +115,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT)
     # the windows of that many words over those places, each with its shingles
     windows = None
     first = lambda p: F.greatest(F.lit(0), p - (F.col("n_words") - F.col("gram")))
-    last = lambda p: F.least(p, F.size("w") - F.col("n_words"))
+    last = lambda p: F.greatest(F.lit(0), F.least(p, F.size("w") - F.col("n_words")))
     for gram in sizes or [SHINGLE]:
         near = rows.join(hits.where(F.col("gram") == gram), ["k1", "k2"]).dropDuplicates(["k1", "k2", "n_words"])
-        near = near.withColumn("w", word_array(F.col("text"))).where(F.size("w") >= F.col("n_words"))
+        near = near.withColumn("w", word_array(F.col("text")))
         starts = F.array_distinct(F.flatten(F.transform("places", lambda p: F.when(
             first(p) <= last(p), F.sequence(first(p), last(p))).otherwise(F.array().cast("array<int>")))))
         cut = near.select("k1", "k2", "doc_id", "n_words", "gram", gram_hashes(F.col("w"), gram).alias("all"), starts.alias("starts"))
@@ -148,7 +149,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT)
         F.array_intersect("grams", "own"), F.lit(0),
         lambda total, h: total + F.least(F.size(F.filter("grams", lambda x: x == h)), F.size(F.filter("own", lambda x: x == h))),
     )
-    judged = pairs.withColumn("shared", shared).withColumn("all", 2 * F.size("own") - F.col("shared"))
+    judged = pairs.withColumn("shared", shared).withColumn("all", F.size("grams") + F.size("own") - F.col("shared"))
     good = judged.where(100 * F.col("shared") >= percent * F.col("all"))
     best = F.max(F.struct((F.col("shared") / F.col("all")).alias("similarity"), (-F.col("start")).alias("start")))
     return good.groupBy("k1", "k2", "doc_id", "item_id").agg(best.alias("best")).select(

@@ -125,6 +125,17 @@ def test_windows_equal_brute_force(spark):
     assert {(r["doc_id"], r["item_id"]): (r["similarity"], r["start_word"]) for r in got} == contaminated(docs, items)
 
 
+def test_documents_shorter_than_an_item(spark):
+    q = [f"q{i}" for i in range(37)]
+    items = [(1, " ".join(q)), (2, "one two")]
+    docs = [(1, " ".join(q[:35])), (2, " ".join(q[1:36])), (3, " ".join(q[:30])), (4, " ".join(q[:20])), (5, "one"), (6, " ".join(q))]
+    got = decontaminate.contamination(
+        spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    ).collect()
+    want = {(1, 1): 31 / 33, (2, 1): 31 / 33, (6, 1): 1.0}
+    assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in got} == want and all(r["start_word"] == 0 for r in got)
+
+
 def test_masks_reach_the_radius():
     masks = set(decontaminate.near_masks())
     rng = random.Random(1)
