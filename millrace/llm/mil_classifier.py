@@ -20,9 +20,8 @@ from millrace.llm.words import Words, mix, slices
 PASSAGE = 64
 HIDDEN = 24
 GATE = 12
-# Bounds of the sample that the model is fitted on: documents, and passages of one document.
+# Bound of the sample that the model is fitted on.
 TRAIN_DOCS = 6000
-TRAIN_PASSAGES = 64
 
 _KIND = np.full(256, 5, np.int64)  # bytes beyond ASCII
 _KIND[:128] = 6  # control characters
@@ -153,7 +152,7 @@ def train(x: np.ndarray, bounds: np.ndarray, y: np.ndarray, epochs: int = 40, ba
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = TRAIN_DOCS) -> AttentionModel | None:
-    """A model from at most ``most`` labelled documents, evenly chosen by a hash of their id.
+    """A model from all passages of at most ``most`` labelled documents, evenly chosen by a hash of their id.
 
     Rows without an id or a label are left out; of repeated ids the smallest label counts.
     None if nothing is left.
@@ -178,10 +177,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bags = []
         for x, bounds in passages(batch.column("text")):
             for a, b in zip(bounds[:-1], bounds[1:]):
-                own = x[a:b]
-                if b - a > TRAIN_PASSAGES:
-                    own = own[np.linspace(0, b - a - 1, TRAIN_PASSAGES).astype(int)]
-                bags.append(own.astype(np.float16).tobytes())
+                bags.append(x[a:b].astype(np.float16).tobytes())
         yield pa.record_batch([batch.column("y"), pa.array(bags, pa.binary())], names=["y", "x"])
 
 

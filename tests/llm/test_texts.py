@@ -66,6 +66,12 @@ def test_quality_on_documents_held_out(spark):
     assert sum((r["score"] >= 0.3) == (r["quality"] == 1) for r in got) >= 0.97 * len(got)
 
 
+def test_training_sees_every_passage():
+    batch = pa.record_batch([pa.array([1.0, 0.0]), pa.array(["word " * 20_000, "word"])], names=["y", "text"])
+    (rows,) = mil_classifier._sampled(iter([batch]))
+    assert [len(x) // 2 // mil_classifier.FEATURES for x in rows.column("x").to_pylist()] == [-(-20_000 // mil_classifier.PASSAGE), 1]
+
+
 def test_quality_of_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (6, 0), (10, 0), (None, 1), (4, None), (1, 1)], "doc_id bigint, quality int")
     model = mil_classifier.fit(documents(spark, clash=True), labels)
