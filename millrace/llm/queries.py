@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.llm import (
-    bpe, chunk_dedup, decontaminate, html_text, line_dedup, lm_scoring, mil_classifier, ngram_join, syncmers, warc,
+    bpe, chunk_dedup, decontaminate, html_text, line_dedup, lm_scoring, mil_classifier, ngram_join, phrases, simhash_ring, syncmers, warc,
+    word_runs,
 )
 
 QUERIES = {}
@@ -168,3 +169,74 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_substring_dedup"] = op2_substring_dedup
+
+
+def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_ring.near_groups(_table(spark, sf_dir, "documents"), size=3, radius=3)
+    return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))).select("doc_id", "fingerprint", "component_id")
+
+
+QUERIES["op11_simhash_dedup"] = op11_simhash_dedup
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"), least=10, top=2000, percent=50)
+
+
+QUERIES["op12_phrase_mining"] = op12_phrase_mining
+ORACLES["op12_phrase_mining"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, size, w[i : i + size - 1] AS g
+  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM words, (VALUES (1), (2), (3)) s(size) WHERE len(w) >= size)),
+f AS (SELECT lang, size, g, count(*) AS c FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(c) AS n FROM f WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT * FROM f WHERE size > 1 AND c >= 10),
+longer AS (
+  SELECT lang, part, max(c) AS c
+  FROM (SELECT lang, unnest([g[1:2], g[2:3]]) AS part, c FROM candidates WHERE size = 3) GROUP BY ALL),
+kept AS (
+  SELECT a.* FROM candidates a LEFT JOIN longer b ON b.lang = a.lang AND b.part = a.g
+  WHERE a.size = 3 OR b.c IS NULL OR 100 * b.c < 50 * a.c),
+cuts AS (
+  SELECT k.lang, k.g, k.c AS a, x.c AS l, y.c AS r, cut, k.c::HUGEINT * k.c * 1000000 // (x.c::HUGEINT * y.c) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS cut FROM kept) k
+  JOIN f x ON x.lang = k.lang AND x.g = k.g[1 : k.cut] JOIN f y ON y.lang = k.lang AND y.g = k.g[k.cut + 1 : k.size]),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+ranked AS (
+  SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score,
+         row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(g, ' '))) AS rank FROM scored)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+def periodic_tails(docs: DataFrame) -> DataFrame:
+    """Texts of every tenth document by the crc32 of its id, their words from some place on replaced by a period of words."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    chosen = docs.withColumn("w", F.when(h % 10 == 0, words))
+    n = F.nullif(F.size("w"), F.lit(0))
+    at = (g % n).cast("int")
+    period = (1 + F.floor((n - at) / (3 + g % 8))).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice("w", at + 1, period), F.ceil((n - at) / period).cast("int")))
+    text = F.array_join(F.concat(F.slice("w", 1, at), F.slice(tail, 1, n - at)), " ")
+    return chosen.withColumn("text", F.when(n > 0, text).otherwise(F.col("text"))).drop("w")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = word_runs.with_runs(periodic_tails(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.col("best.start").alias("start"), (-F.col("best.less")).alias("length"),
+        F.col("best.period").alias("period"), F.expr("(1000 * -best.less) div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES["op13_periodic_runs"] = op13_periodic_runs

@@ -14,5 +14,5 @@ def test_query(spark, name):
     assert ok, message
 
 
-def test_all_ten_are_there():
-    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)}
+def test_all_operators_are_there():
+    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 14)}
