@@ -21,7 +21,8 @@ from millrace.session import stage
 
 LONGEST = 3
 # Words whose ids go to every task; ids of other words come with the texts that have them.
-HEAD_WORDS = 1 << 17
+HEAD_WORDS = 1 << 16
+RARE_ROWS = 1 << 16
 COUNTER_WORDS = 1 << 19
 FILTER_NGRAMS = 3 << 20
 SHARD_NGRAMS = 1 << 21
@@ -138,20 +139,38 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _with_own_words(texts: DataFrame, tail: DataFrame, head) -> DataFrame:
     """Adds ``own``: words of the text that have ids but are not known to all tasks, as (word, id)."""
     keyed = texts.withColumns(dict(zip(("k1", "k2"), row_keys("lang", "text"))))
-    rare = keyed.mapInArrow(lambda batches: _rare(batches, head.value), "k1 bigint, k2 bigint, lang string, word string").distinct()
-    own = rare.join(tail, ["lang", "word"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("word", "id")).alias("own"))
+    rare = keyed.mapInArrow(lambda batches: _rare(batches, head.value), "k1 bigint, k2 bigint, lang string, word string")
+    own = rare.join(tail, ["lang", "word"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("word", "id")).alias("own"))
     return keyed.join(own, ["k1", "k2"], "left").select("lang", "text", "own")
 
 
 def _rare(batches: Iterator[pa.RecordBatch], head: dict[str, set]) -> Iterator[pa.RecordBatch]:
+    """A row for each different word of a text that is not in ``head``."""
+    rows: list[tuple[int, int, str, int]] = []
+    words: list[bytes] = []
+
+    def out() -> pa.RecordBatch:
+        k1, k2, langs, times = zip(*rows)
+        times = np.array(times)
+        columns = [pa.array(np.repeat(np.array(k, np.int64), times)) for k in (k1, k2)]
+        lang = pa.array(langs, pa.string()).take(pa.array(np.repeat(np.arange(len(rows)), times)))
+        batch = pa.record_batch([*columns, lang, pa.array(words, pa.binary()).cast(pa.string())], names=["k1", "k2", "lang", "word"])
+        rows.clear()
+        words.clear()
+        return batch
+
     for batch in batches:
         keys = [batch.column(name).to_pylist() for name in ("k1", "k2", "lang")]
         for k1, k2, lang, text in zip(*keys, batch.column("text").cast(pa.binary())):
-            words = sorted(set(tokens_of([text.as_py()])) - head.get(lang, set()) - {_BREAK})
-            yield pa.record_batch(
-                [pa.array([k1] * len(words), pa.int64()), pa.array([k2] * len(words), pa.int64()), pa.array([lang] * len(words), pa.string()),
-                 pa.array(words, pa.binary()).cast(pa.string())], names=["k1", "k2", "lang", "word"],
-            )
+            own = set(tokens_of([text.as_py()]))
+            own -= head.get(lang, set())
+            own.discard(_BREAK)
+            rows.append((k1, k2, lang, len(own)))
+            words.extend(own)
+            if len(words) >= RARE_ROWS:
+                yield out()
+    if words:
+        yield out()
 
 
 def _filters(batches: Iterator[pa.RecordBatch], head: dict[str, dict[bytes, int]], packing: Packing) -> Iterator[pa.RecordBatch]:

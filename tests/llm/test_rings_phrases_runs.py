@@ -186,7 +186,7 @@ def corpus(seed=1):
     return rows
 
 
-@pytest.mark.parametrize("head", [1 << 17, 6, 1])
+@pytest.mark.parametrize("head", [1 << 16, 6, 1])
 def test_collocations_equal_counting_all(spark, monkeypatch, head):
     monkeypatch.setattr(phrases, "FILTER_NGRAMS", 500)
     monkeypatch.setattr(phrases, "COUNTER_WORDS", 20)
