@@ -26,7 +26,8 @@ def pack_chunks(
     holds more than ``chunk_size`` tokens, however large its shard is.
     """
     filled = docs.where(F.col(size) > 0)
-    placed = running_offset(filled, order, weight=F.col(size), by=[shard], out="__start")
+    # only sizes are put in order; the arrays meet their start by the document's key
+    placed = filled.join(*_starts(filled, shard, order, size))
     lit = F.lit(chunk_size).cast("bigint")
     end = F.col("__start") + F.col(size)
     crossed = placed.withColumn("__end", end).select(
@@ -50,6 +51,13 @@ def pack_chunks(
     return out.where(F.size(arrays[0]) == chunk_size)
 
 
+def _starts(docs: DataFrame, shard: str, order: str, size: str) -> tuple[DataFrame, Column]:
+    """(table with ``__start`` of every document among its shard's tokens, condition that joins it)."""
+    starts = running_offset(docs.select(shard, order, size), order, weight=F.col(size), by=[shard], out="__start")
+    starts = starts.select(F.col(shard).alias("__shard"), F.col(order).alias("__order"), "__start")
+    return starts, F.col(order).eqNullSafe(F.col("__order")) & F.col(shard).eqNullSafe(F.col("__shard"))
+
+
 def chunk_manifest(
     docs: DataFrame, chunk_size: int, shard: str = "source", size: str = "n_tokens", ordinal: Column | None = None
 ) -> DataFrame:
@@ -64,10 +72,10 @@ def chunk_manifest(
 
 def number_instances(chunks: DataFrame, manifest: DataFrame) -> DataFrame:
     """Add the global instance number: the shard's start plus the chunk's place in it."""
-    starts = manifest.select(F.col("path").alias("shard_id"), F.col("start").alias("__start"))
-    return chunks.join(starts, "shard_id").withColumn(
+    starts = manifest.select(F.col("path").alias("__path"), F.col("start").alias("__start"))
+    return chunks.join(starts, F.col("shard_id").eqNullSafe(F.col("__path"))).withColumn(
         "instance_id", (F.col("__start") + F.col("chunk")).cast("bigint")
-    ).drop("__start")
+    ).drop("__path", "__start")
 
 
 def locate_instance(requests: DataFrame, manifest: DataFrame, index: str = "index", strict: bool = True) -> DataFrame:

@@ -18,6 +18,24 @@ INTEGER_KEY = (16, 32, 48)
 HASH_KEY = (44,)
 
 
+def _ranges(df: DataFrame, key: str, by: Sequence[str], shifts: Sequence[int]) -> tuple[DataFrame, list[str], list[str]]:
+    """``df`` with the groups of ``by`` and the ranges of ``key`` as columns without nulls, and their names.
+
+    Ranges are joined by equality, which a null would fail.
+    """
+    kinds = dict(df.dtypes)
+    groups: dict[str, Column] = {}
+    for i, name in enumerate(by):
+        value = F.col(name)
+        if kinds[name] in ("tinyint", "smallint", "int", "bigint"):
+            groups[f"__by{i}"] = F.coalesce(value, F.lit(0))
+            groups[f"__none{i}"] = value.isNull()
+        else:
+            groups[f"__by{i}"] = F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit(""))
+    nodes = {f"__node{i}": F.coalesce(F.shiftright(F.col(key), bits), F.lit(-1 << 62)) for i, bits in enumerate(shifts)}
+    return df.withColumns({**groups, **nodes}), list(groups), list(nodes)
+
+
 def running_offset(
     df: DataFrame,
     key: str,
@@ -30,8 +48,9 @@ def running_offset(
     """Add the exclusive running sum of ``weight`` in ``key`` order within ``by``.
 
     ``weight`` defaults to 1, which makes ``out`` a dense position starting at 0.
-    ``ties`` order rows of equal key. Columns in ``by`` must not be NULL. All columns of ``df``
-    travel with the window, so hand in only those that are needed.
+    ``ties`` order rows of equal key. Nulls in ``by`` are a group like any other, a null key comes
+    before all others. All columns of ``df`` travel with the window, so hand in only those that
+    are needed.
     """
     return running_offsets(df, key, {out: F.lit(1) if weight is None else weight}, by, ties, shifts)
 
@@ -45,13 +64,9 @@ def running_offsets(
     shifts: Sequence[int] = INTEGER_KEY,
 ) -> DataFrame:
     """Several running sums over the same order in one pass: output name to weight."""
-    by, outs = list(by), list(weights)
-    node = [f"__node{i}" for i in range(len(shifts))]
-    tagged = df
-    for name, weight in weights.items():
-        tagged = tagged.withColumn(f"__w_{name}", weight.cast("bigint"))
-    for name, bits in zip(node, shifts):
-        tagged = tagged.withColumn(name, F.shiftright(F.col(key), bits))
+    outs = list(weights)
+    tagged, by, node = _ranges(df, key, by, shifts)
+    tagged = tagged.withColumns({f"__w_{name}": weight.cast("bigint") for name, weight in weights.items()})
 
     def exclusive_sums(rows: DataFrame, part: list[str], order: list[str], prefix: str) -> DataFrame:
         window = Window.partitionBy(*part).orderBy(*order)
@@ -104,11 +119,7 @@ def running_minimum(
 
     Minima of key ranges are passed on in the same way as the totals of ``running_offset``.
     """
-    by = list(by)
-    node = [f"__node{i}" for i in range(len(shifts))]
-    tagged = df
-    for name, bits in zip(node, shifts):
-        tagged = tagged.withColumn(name, F.shiftright(F.col(key), bits))
+    tagged, by, node = _ranges(df, key, by, shifts)
 
     def window(part: list[str], order: str, last: int):
         return Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, last)

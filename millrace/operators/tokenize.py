@@ -283,16 +283,19 @@ def chat_encode(
     turns that start within the first ``seq_len`` tokens: at most ``seq_len / 3`` of them and one
     more, however many there are. Without it a row per turn, (key, order, start, input_ids,
     label_mask), ``start`` being its place among the conversation's tokens, of which the eos has
-    place 0; that holds at every length.
+    place 0; that holds at every length. Turns with a null key are one conversation.
     """
     encoded = stage(encode_turns(turns, vocab, role, text).select(key, order, "ids", "mask"), "turn-ids")
     # only sizes are put in order
     starts = running_offset(encoded.select(key, order, F.size("ids").alias("n")), order, F.col("n"), by=[key], out="start")
-    placed = encoded.join(starts.select(key, order, (F.col("start") + 1).alias("start")), [key, order])
+    starts = starts.select(F.col(key).alias("__key"), F.col(order).alias("__order"), (F.col("start") + 1).alias("start"))
+    same = F.col(key).eqNullSafe(F.col("__key")) & F.col(order).eqNullSafe(F.col("__order"))
+    placed = encoded.join(starts, same).drop("__key", "__order")
     if seq_len is None:
         return placed.select(key, order, "start", F.col("ids").alias("input_ids"), F.col("mask").alias("label_mask"))
-    ordered = F.array_sort(F.collect_list(F.struct("start", "ids", "mask")))
-    joined = placed.where(F.col("start") < seq_len).groupBy(key).agg(ordered.alias("turns"))
+    # turns beyond the length are nulls, which are not collected; the conversation stays
+    reaching = F.when(F.col("start") < seq_len, F.struct("start", "ids", "mask"))
+    joined = placed.groupBy(key).agg(F.array_sort(F.collect_list(reaching)).alias("turns"))
     return joined.select(
         key,
         F.concat(F.array(F.lit(EOS)), F.flatten(F.col("turns.ids"))).alias("input_ids"),

@@ -30,11 +30,10 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
 def read_documents(spark, sf):
     path = fresh_path(spark, "documents")
     docs = spread_table(spark, sf, "documents", "doc_id", "text", "source")
-    rows = docs.select(F.col("doc_id").cast("string").alias("id"), "text", "source")
-    writers.write_jsonl(rows, path, partition_by=["source"])
-    read = readers.read_documents(spark, [f"{path}/source=*/*.json.gz"], "id string, text string", source_pattern="source=([^/]+)/")
-    # the folder that stands for no source
-    return read.withColumn("source", F.nullif("source", F.lit("__HIVE_DEFAULT_PARTITION__")))
+    rows = docs.select(F.col("doc_id").cast("string").alias("id"), "text", "source", F.col("source").alias("folder"))
+    # the record keeps its source: a folder cannot tell an empty name from none
+    writers.write_jsonl(rows, path, partition_by=["folder"])
+    return readers.read_documents(spark, [f"{path}/folder=*/*.json.gz"])
 
 
 @query("load_corpus", """

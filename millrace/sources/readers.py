@@ -22,17 +22,23 @@ def read_documents(
 ) -> DataFrame:
     """JSON lines from many globs in one scan; compression follows the file ending.
 
-    ``source`` names all rows; ``source_pattern`` takes its first group from the file path.
-    Without either the column of the record is kept. The schema is given, never inferred.
+    ``source`` names all rows; ``source_pattern`` takes its first group from the file path, where
+    the escapes of a URI and then those of a partition folder are undone. Without either
+    the column of the record is kept. The schema is given, never inferred.
     """
     docs = spark.read.schema(schema).json(list(globs))
     if source is not None:
         return docs.withColumn("source", F.lit(source))
     if source_pattern is not None:
-        return docs.withColumn("source", F.regexp_extract(F.col("_metadata.file_path"), source_pattern, 1))
+        return docs.withColumn("source", _unescaped(_unescaped(F.regexp_extract(F.col("_metadata.file_path"), source_pattern, 1))))
     return docs
 
 
+def _unescaped(text: Column) -> Column:
+    """``%XX`` as the byte it stands for; a plus sign is one."""
+    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
 @dataclass(frozen=True)
 class Corpus:
     """Where a named corpus lies and what its configurations and splits select."""

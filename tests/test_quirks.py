@@ -217,6 +217,9 @@ def test_edge_runs(spark, flags, lead, trail):
     assert one(spark, A.trailing_run_start(F.col("f")), f=flags) == trail
 
 
+WHAT = [65399, 65384, 65377, 65396, 65279]
+
+
 def chat(spark, seq_len, rows, fit=None):
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
     vocab = Vocabulary(spark, ["hi", "there", "ok"])
@@ -224,10 +227,11 @@ def chat(spark, seq_len, rows, fit=None):
 
 
 def test_chat_encode(spark):
-    row = chat(spark, 14, [(1, 0, "user", "  hi there\n"), (1, 1, "assistant", "ok what")]).first()
-    assert row["input_ids"] == [0, 4, 3, 7, 8, 3, 5, 3, 9, 2, 0, 3, 1, 1]
-    assert [i for i, m in enumerate(row["label_mask"]) if m] == [8, 9, 10]
-    assert row["n_labels"] == 3
+    row = chat(spark, 18, [(1, 0, "user", "  hi there\n"), (1, 1, "assistant", "ok what")]).first()
+    # a word without an id is its bytes and the mark after them
+    assert row["input_ids"] == [0, 4, 3, 7, 8, 3, 5, 3, 9, *WHAT, 0, 3, 1, 1]
+    assert [i for i, m in enumerate(row["label_mask"]) if m] == [8, 9, 10, 11, 12, 13, 14]
+    assert row["n_labels"] == 7
 
 
 def test_reply_beyond_the_length_has_no_labels(spark):
@@ -266,8 +270,8 @@ def test_pairs_are_encoded_per_message(spark):
     kind = "pair_id bigint, chosen array<struct<role:string,content:string>>, rejected array<struct<role:string,content:string>>"
     pairs = spark.createDataFrame([(1, [("user", "hi"), ("assistant", "ok what")], [("assistant", "")])], kind)
     row = tokenize.encode_preferences(pairs, Vocabulary(spark, ["hi", "ok"])).first()
-    assert row["chosen_input_ids"] == [0, 4, 3, 7, 3, 5, 3, 8, 2, 0, 3]
-    assert row["chosen_labels"] == [-100] * 7 + [8, 2, 0, -100]
+    assert row["chosen_input_ids"] == [0, 4, 3, 7, 3, 5, 3, 8, *WHAT, 0, 3]
+    assert row["chosen_labels"] == [-100] * 7 + [8, *WHAT, 0, -100]
     assert row["rejected_input_ids"] == [0, 5, 3, 0, 3] and row["rejected_labels"] == [-100, -100, -100, 0, -100]
     row = tokenize.encode_preferences(pairs, tokenize.BatchTokenizer(lambda t: [[9] * len(x) for x in t]), bos=6, seq_len=6).first()
     assert row["chosen_input_ids"] == [6, 0, 4, 3, 9, 9] and row["chosen_attention_mask"] == [1] * 6
