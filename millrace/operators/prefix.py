@@ -23,15 +23,14 @@ def _ranges(df: DataFrame, key: str, by: Sequence[str], shifts: Sequence[int]) -
 
     Ranges are joined by equality, which a null would fail.
     """
-    kinds = dict(df.dtypes)
     groups: dict[str, Column] = {}
-    for i, name in enumerate(by):
-        value = F.col(name)
-        if kinds[name] in ("tinyint", "smallint", "int", "bigint"):
-            groups[f"__by{i}"] = F.coalesce(value, F.lit(0))
+    for i, field in enumerate(df.schema[name] for name in by):
+        value, kind = F.col(field.name), field.dataType.simpleString()
+        groups[f"__by{i}"] = value
+        if field.nullable:
+            whole = kind in ("tinyint", "smallint", "int", "bigint")
+            groups[f"__by{i}"] = F.coalesce(value, F.lit(0)) if whole else F.coalesce(value.cast("string"), F.lit(""))
             groups[f"__none{i}"] = value.isNull()
-        else:
-            groups[f"__by{i}"] = F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit(""))
     nodes = {f"__node{i}": F.coalesce(F.shiftright(F.col(key), bits), F.lit(-1 << 62)) for i, bits in enumerate(shifts)}
     return df.withColumns({**groups, **nodes}), list(groups), list(nodes)
 
