@@ -25,7 +25,7 @@ from millrace.plans.shared import (
     sql_words,
 )
 from millrace.session import fresh_path, stage
-from millrace.sources import readers, writers
+from millrace.sources import flat_tokens, readers, writers
 
 PAIR_LEN = 2048
 
@@ -152,6 +152,16 @@ def write_token_shards(spark, sf):
     )
 
 
+@query("flat_token_files", f"""WITH {SQL_CHAT_FIT}
+SELECT row_number() OVER (ORDER BY conv_id) - 1 AS instance_id, md5(input_ids) AS ids_md5, md5(label_mask) AS mask_md5 FROM rows_""")
+def flat_token_files(spark, sf):
+    """Rows written end to end without structure and cut into chunks again."""
+    path = fresh_path(spark, "flat")
+    flat_tokens.write_flat_tokens(_chat_rows(spark, sf), path, "conv_id")
+    back = flat_tokens.read_flat_tokens(spark, path, CHAT_LEN)
+    return back.select("instance_id", F.md5(joined_ids(F.col("input_ids"))).alias("ids_md5"), F.md5(joined_ids(F.col("label_mask"))).alias("mask_md5"))
+
+
 @query("attention_mask", f"""WITH {SQL_CHAT_FIT}
 SELECT conv_id, string_agg(CAST(CAST(id <> 1 AS INTEGER) AS VARCHAR), ' ' ORDER BY p) AS attention_mask FROM fit GROUP BY conv_id""")
 def attention_mask(spark, sf):

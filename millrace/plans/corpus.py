@@ -30,8 +30,8 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
 def read_documents(spark, sf):
     path = fresh_path(spark, "documents")
     docs = spread_table(spark, sf, "documents", "doc_id", "text", "source")
-    rows = docs.select(F.col("doc_id").cast("string").alias("id"), "text", "source", F.col("source").alias("folder"))
-    # the record keeps its source: a folder cannot tell an empty name from none
+    rows = docs.select(F.col("doc_id").cast("string").alias("id"), "text", "source", writers.folder_of("source").alias("folder"))
+    # the record keeps its source, whatever its folder is called
     writers.write_jsonl(rows, path, partition_by=["folder"])
     return readers.read_documents(spark, [f"{path}/folder=*/*.json.gz"])
 
@@ -93,6 +93,23 @@ def shard_by_size(spark, sf):
     return _sharded(spark, sf).select("doc_id", "source", "shard")
 
 
+@query("write_size_shards", f"""WITH {SQL_SHARDED}
+SELECT source, shard, count(*) AS n_docs, CAST(sum(n_bytes) AS BIGINT) AS n_bytes, min(doc_id) AS first_doc, max(doc_id) AS last_doc,
+       md5(string_agg(md5(text), '' ORDER BY doc_id)) AS texts_md5 FROM sharded GROUP BY source, shard""")
+def write_size_shards(spark, sf):
+    """One row per file written, told from what is in it."""
+    path = fresh_path(spark, "size-shards")
+    docs = spread_table(spark, sf, "documents", "doc_id", "source", "text")
+    writers.write_size_shards(docs, path, "doc_id", F.octet_length("text"), SHARD_BYTES)
+    back = spark.read.schema("doc_id bigint, source string, text string, shard bigint").json(path)
+    rows = back.select("doc_id", "source", "shard", F.col("_metadata.file_path").alias("file"), F.octet_length("text").alias("n"), F.md5("text").alias("h"))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "h"))), lambda x: x["h"]), "")
+    return rows.groupBy("file", "source", "shard").agg(  # a file is bounded by the limit
+        F.count(F.lit(1)).alias("n_docs"), F.sum("n").cast("bigint").alias("n_bytes"), F.min("doc_id").alias("first_doc"),
+        F.max("doc_id").alias("last_doc"), F.md5(texts).alias("texts_md5"),
+    ).drop("file")
+
+
 @query("stage_checkpoint", """
 WITH stages AS (
   SELECT o_orderkey AS case_id, 1 AS stage, 0 AS round, 'masked ' || o_orderpriority AS payload FROM orders

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.functions import arrays as A
-from millrace.operators import ordering, packing, tokenize
+from millrace.operators import ordering, packing, placing, tokenize
 from millrace.operators.prefix import dense_position
 from millrace.plans.layout import _manifest
 from millrace.plans.registry import query, table
-from millrace.plans.shared import CHAT_LEN, SEED, SQL_CHAT_FLAT, SQL_CHUNKS, chat_vocab, joined_ids, sql_md5
+from millrace.plans.shared import CHAT_LEN, CHUNK, SEED, SQL_CHAT_FLAT, SQL_CHUNKS, chat_vocab, encoded_documents, joined_ids, sql_md5
 from millrace.session import fresh_path
 from millrace.sources import writers
 
@@ -225,3 +225,49 @@ def trace_lookup(spark, sf):
     return packing.locate_instance(back, manifest, "instance_id").select(
         "rank", "step", "pos", "instance_id", "path", "local_index"
     )
+
+
+@query("rank_batches", f"""WITH {SQL_CHUNKS},
+o2 AS (SELECT row_number() OVER (ORDER BY {sql_md5(SEED, 'instance_id')}, instance_id) - 1 AS position, count(*) OVER () AS n, instance_id, input_ids FROM chunks)
+SELECT position % {WORLD} AS rank, position // {WORLD} // {BATCH} AS step, count(*) AS n_instances,
+       string_agg(CAST(instance_id AS VARCHAR), ' ' ORDER BY position) AS instance_ids, md5(string_agg(input_ids, ' ' ORDER BY position)) AS ids_md5
+FROM o2 WHERE position < n - n % {WORLD} GROUP BY ALL""")
+def rank_batches(spark, sf):
+    """Documents to the collated batches of every rank in one plan."""
+    batches = placing.rank_batches(encoded_documents(spark, sf), CHUNK, WORLD, BATCH, SEED)
+    return batches.select(
+        "rank", "step", F.size("instance_ids").cast("bigint").alias("n_instances"),
+        F.array_join(F.col("instance_ids").cast("array<string>"), " ").alias("instance_ids"),
+        F.md5(joined_ids(F.flatten("input_ids"))).alias("ids_md5"),
+    )
+
+
+EPOCHS = 2
+
+
+def _sql_turns(n: str) -> str:
+    """One pass of the permutation over (key, epoch, x): the halves a and b move by a seeded md5 of each other."""
+    said = lambda number, half: f"CAST('0x' || substr(md5('{SEED}:' || epoch || ':{number}:' || {half}), 1, 8) AS BIGINT)"
+    out = f"(SELECT * EXCLUDE (x), CAST(x // w AS BIGINT) AS a, CAST(x % w AS BIGINT) AS b FROM {n})"
+    for number in range(placing.ROUNDS):
+        half = f"* REPLACE ((a + {said(number, 'b')}) % h AS a)" if number % 2 == 0 else f"* REPLACE ((b + {said(number, 'a')}) % w AS b)"
+        out = f"(SELECT {half} FROM {out})"
+    return out
+
+
+@query("batch_instances", f"""WITH RECURSIVE size AS (SELECT count(*) AS n FROM orders),
+box AS (SELECT n, CAST(floor(sqrt(n - 1)) AS BIGINT) + 1 AS h, CAST(ceil(n / (floor(sqrt(n - 1)) + 1)) AS BIGINT) AS w FROM size),
+places AS (SELECT epoch, p, p % {WORLD} AS rank, p // {WORLD} // {BATCH} AS step, p // {WORLD} % {BATCH} AS place, n, h, w, p AS x
+           FROM box CROSS JOIN LATERAL (SELECT unnest(range(n - n % {WORLD})) AS p) CROSS JOIN (SELECT range AS epoch FROM range({EPOCHS}))),
+walk AS (SELECT * EXCLUDE (a, b), a * w + b AS x FROM {_sql_turns('places')}
+         UNION ALL SELECT * EXCLUDE (a, b), a * w + b FROM {_sql_turns('(SELECT * FROM walk WHERE x >= n)')})
+SELECT epoch, rank, step, place, x AS instance_id FROM walk WHERE x < n""")
+def batch_instances(spark, sf):
+    """Every batch of some epochs, asked for by (epoch, rank, step) as a run that resumes would."""
+    n = _instances(spark, sf).count()
+    n_steps = -(-n // WORLD // BATCH) + 1
+    steps = spark.range(EPOCHS * WORLD * n_steps).select(
+        F.floor(F.col("id") / (WORLD * n_steps)).cast("bigint").alias("epoch"), (F.col("id") % WORLD).alias("rank"),
+        F.pmod(F.floor(F.col("id") / WORLD), F.lit(n_steps)).cast("bigint").alias("step"),
+    )
+    return placing.batch_instances(steps, n, WORLD, BATCH, SEED)

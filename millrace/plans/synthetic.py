@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from millrace.functions import prompt_texts as P
-from millrace.functions.hashing import seeded_unit
 from millrace.functions.text import last_number
-from millrace.operators import quality, synthetic as S
+from millrace.operators import cycle, quality, synthetic as S
 from millrace.plans.registry import query, spread_table, table, text_literal
 from millrace.plans.shared import SEED, sql_float, sql_last_number, sql_md5, sql_strip
-from millrace.session import stage
+from millrace.session import fresh_path, stage
+from millrace.sources.commits import CommitLog
 
 # --- derived inputs --------------------------------------------------------------------
 
@@ -483,19 +483,40 @@ def majority_answer(spark, sf):
     return S.majority_answer(answers)
 
 
-ROUNDS = 4
+OUTER, INNER = 3, 2
 
 
-@query("iterative_rounds", f"""
-SELECT o_orderkey AS case_id, min(r) AS round, 'solved in ' || min(r) AS result FROM orders CROSS JOIN (SELECT range AS r FROM range({ROUNDS}))
-WHERE CAST('0x' || substr(md5(r || ':' || o_orderkey), 1, 8) AS BIGINT) / 4294967296.0 < 0.4 GROUP BY o_orderkey""")
+@query("iterative_rounds", f"""WITH RECURSIVE {SQL_RESPONSES.replace("WITH ", "")},
+{SQL_PROGRAMS[len(SQL_CASES) + 2:]}, {SQL_GOLD},
+tries AS (SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY ordinal) - 1 AS t, program,
+                 coalesce(r = g, false) AND NOT contains(program, 'while True:') AS hit FROM res),
+first_hit AS (SELECT case_id, min(t) AS t FROM tries WHERE hit AND t < {OUTER * INNER} GROUP BY case_id),
+ended AS (SELECT case_id, coalesce(t, {OUTER * INNER - 1}) AS t, t IS NOT NULL AS solved FROM cases LEFT JOIN first_hit USING (case_id))
+SELECT e.case_id, e.t AS round, CAST(solved AS INTEGER) AS solved, e.t % {INNER} + 1 AS n_programs,
+       CASE WHEN solved THEN 100.0::DOUBLE / (e.t % {INNER} + 1) ELSE 0 END AS correct, e.t // {INNER} AS n_prev,
+       md5(masked) AS masked_md5, CASE WHEN c.case_id % 5 = 0 THEN '' ELSE parameters END AS parameters, md5(coalesce(p.program, '')) AS program_md5
+FROM ended e JOIN cases c USING (case_id) JOIN m1 USING (case_id) LEFT JOIN tries p ON p.case_id = e.case_id AND p.t = e.t""")
 def iterative_rounds(spark, sf):
-    cases = table(spark, sf, "orders").select(F.col("o_orderkey").alias("case_id"))
-
-    def attempt(still_open, number):
-        return still_open.where(seeded_unit(number, "case_id") < 0.4).withColumn("result", F.lit(f"solved in {number}"))
-
-    return S.iterative_rounds(cases, attempt, ROUNDS, lambda df: stage(df, "round"))
+    """The cycle over orders; what a model and a program runner would say is told from the order and its lines."""
+    cases = stage(_cases(spark, sf), "cases")
+    turn = F.row_number().over(Window.partitionBy("case_id").orderBy("ordinal")).cast("bigint") - 1  # an order has a few lines
+    told = stage(_programs(spark, sf).select("case_id", turn.alias("turn"), "response", "result"), "told", partition_by=("turn",))
+    masked = cases.select("case_id", _masking_response().alias("response"))
+
+    def model(kind: str, number: int, prompts: DataFrame) -> DataFrame:
+        said = masked if kind == "mask" else told.where(F.col("turn") == number).select("case_id", "response")
+        return prompts.select("case_id").join(said, "case_id")
+
+    def runner(number: int, calls: DataFrame) -> DataFrame:
+        return calls.select("case_id").join(told.where(F.col("turn") == number).select("case_id", "result"), "case_id")
+
+    log = CommitLog(spark, fresh_path(spark, "cycle"))
+    found = cycle.solve_cases(cases.select("case_id", "question", "answer"), log, model, runner, OUTER, INNER, SEED)
+    return found.select(
+        "case_id", "round", F.col("solved").cast("int").alias("solved"), F.size("programs").cast("bigint").alias("n_programs"), "correct",
+        F.size("prev").cast("bigint").alias("n_prev"), F.md5("masked_question").alias("masked_md5"), "parameters",
+        F.md5(F.element_at("programs", -1)).alias("program_md5"),
+    )
 
 
 # --- case selection --------------------------------------------------------------------

@@ -17,6 +17,11 @@ def write_jsonl(df: DataFrame, path: str, partition_by: Sequence[str] = (), per_
     writer.json(path)
 
 
+def folder_of(column: str) -> Column:
+    """A value to name a folder after: an empty text and none would otherwise be one folder, and a task fail on it."""
+    return F.concat(F.lit("of "), F.col(column).cast("string"))
+
+
 def in_ranges(df: DataFrame, order: str, by: Sequence[str] = (), bits: int = 16) -> DataFrame:
     """Rows of one range of an integer key together and sorted, ranges spread over tasks.
 
@@ -46,6 +51,26 @@ def shard_by_size(
     return placed.withColumn(out, F.floor(F.col("__start") / F.lit(limit)).cast("bigint")).drop("__start")
 
 
+def write_size_shards(
+    df: DataFrame, path: str, key: str, size: Column, limit: int, by: Sequence[str] = ("source",)
+) -> None:
+    """JSON lines in one file per shard; a file ends with the document that reaches the limit.
+
+    A file holds at most ``limit`` and one document. Numbers come from sizes alone; rows meet them by
+    (``by``, ``key``), which is unique, and move to their shard's file. Folders are named after
+    copies of ``by``, so the records keep their values, and after the shard.
+    """
+    sized = df.select(*by, key, size.cast("bigint").alias("__size"))
+    numbered = shard_by_size(sized, key, F.col("__size"), limit, by, out="shard").drop("__size")
+    names = {name: f"__of_{name}" for name in (*by, key)}
+    numbered = numbered.withColumnsRenamed(names)
+    same = [F.col(name).eqNullSafe(F.col(of)) for name, of in names.items()]
+    placed = df.join(numbered, same).drop(*names.values()).withColumns({f"of_{name}": folder_of(name) for name in by})
+    folders = [f"of_{name}" for name in by] + ["shard"]
+    files = placed.repartition(*folders).sortWithinPartitions(*folders, key)
+    files.write.partitionBy(*folders).option("compression", "gzip").json(path)
+
+
 def write_data_order(order: DataFrame, path: str) -> None:
     """The global order as (position, instance_id), sorted within each file."""
     in_ranges(order.select("position", "instance_id"), "position").write.parquet(path)

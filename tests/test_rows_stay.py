@@ -75,7 +75,7 @@ def test_turns_without_conversation_stay(spark, seq_len):
 def test_source_names_come_back(spark, tmp_path):
     rows = [(i, f"text {i}", name) for i, name in enumerate(NAMES)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     got = corpus.read_documents(spark, str(tmp_path)).collect()
     assert sorted(((int(r.id), r.text, r.source) for r in got)) == rows
 
