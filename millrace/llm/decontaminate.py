@@ -2,10 +2,15 @@
 
 DataFrame functions only. A window has as many words as an item; its fingerprint is the SimHash
 of its word shingles, each counted as often as it occurs. Fingerprints of items are indexed by
-blocks of 7 bits: 9 blocks of which one differs in at most ``RADIUS // 9`` bits whenever all 63
-differ in at most ``RADIUS``. Every value within that distance of an item's block is in
-the index, so windows look theirs up by equality, and what is found is within the radius or
-dropped. The shared weight of shingles then verifies each candidate exactly.
+blocks of 7 bits: 9 blocks of which one differs in at most a ninth of the radius whenever all 63 differ
+in at most the radius. Every value within that distance of an item's block is in the index, so
+windows look theirs up by equality, and what is found is within the radius or dropped. The
+shared weight of shingles then verifies each candidate exactly.
+
+The radius follows from the similarity: so many bits differ by chance, and five deviations more.
+That holds for items of many different shingles. Of an item in which a few make up most of the weight,
+as in words that repeat, one change can turn every bit: such items skip the fingerprints, and
+all windows of their length that share a shingle are verified.
 
 A window as similar as wanted shares a shingle with the item, so only windows with a shingle of
 an item of their length are fingerprinted; that leaves out no match.
@@ -13,6 +18,7 @@ an item of their length are fingerprinted; that leaves out no match.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -23,8 +29,9 @@ from millrace.session import stage
 SHINGLE = 5
 PERCENT = 80
 BLOCKS, BLOCK_BITS = 9, 7
-# A pair at similarity 0.8 differs in 9.5 of 63 bits, give or take 2.9; this is five deviations more.
-RADIUS = 24
+DEVIATIONS = 5
+# Items of fewer shingles of equal weight, by the same sum of squares, are verified without fingerprints.
+FEW_SHINGLES = 8
 BROADCAST_ROWS = 1 << 20
 
 
@@ -64,19 +71,33 @@ def block(bits: Column, number) -> Column:
     return F.call_function("shiftrightunsigned", bits, number * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
 
 
-def near_masks() -> list[int]:
-    """Every difference of a block in up to ``RADIUS // BLOCKS`` bits."""
+def radius_of(percent: int) -> int:
+    """Bits in which fingerprints of that similarity differ at most: the mean and some deviations.
+
+    At similarity s the vectors of counts have a cosine of about 2s / (1 + s); a bit differs as often as
+    a plane drawn by chance parts the two.
+    """
+    bits = BLOCKS * BLOCK_BITS
+    share = math.acos(min(2 * percent / (100 + percent), 1)) / math.pi
+    return min(math.ceil(bits * share + DEVIATIONS * math.sqrt(bits * share * (1 - share))), bits)
+
+
+def near_masks(radius: int) -> list[int]:
+    """Every difference of a block in up to ``radius // BLOCKS`` bits."""
     return [
-        sum(1 << b for b in bits) for n in range(RADIUS // BLOCKS + 1) for bits in combinations(range(BLOCK_BITS), n)
+        sum(1 << b for b in bits) for n in range(radius // BLOCKS + 1) for bits in combinations(range(BLOCK_BITS), n)
     ]
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """(item_id, n_words, gram, grams, bits) of every item with a word."""
+    """(item_id, n_words, gram, grams, few, bits) of every item with a word; ``few`` if few shingles have most of the weight."""
     words = benchmark.select("item_id", word_array(F.col("text")).alias("w")).where("size(w) > 0")
     sized = words.withColumns({"n_words": F.size("w"), "gram": F.least(F.lit(SHINGLE), F.size("w"))})
     grams = F.coalesce(*[F.when(F.col("gram") == g, gram_hashes(F.col("w"), g)) for g in range(1, SHINGLE + 1)])
-    items = stage(sized.select("item_id", "n_words", "gram", grams.alias("grams")), "benchmark-items")
+    squares = F.aggregate("grams", F.lit(0), lambda total, h: total + F.size(F.filter("grams", lambda x: x == h)))
+    few = F.size("grams") * F.size("grams") < FEW_SHINGLES * squares
+    sized = sized.select("item_id", "n_words", "gram", grams.alias("grams"))
+    items = stage(sized.withColumn("few", few), "benchmark-items")
     most = items.agg(F.max(F.size("grams"))).first()[0] or 0
     return items.withColumn("bits", simhash(F.col("grams"), most))
 
@@ -130,8 +151,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT)
     windows = windows.withColumn("bits", simhash(F.col("grams"), most))
 
     numbers = F.array(*[F.lit(b) for b in range(BLOCKS)])
-    masks = F.array(*[F.lit(m) for m in near_masks()])
-    index = items.select("item_id", "n_words", F.col("bits").alias("item_bits"), F.explode(numbers).alias("block")).select(
+    radius = radius_of(percent)
+    masks = F.array(*[F.lit(m) for m in near_masks(radius)])
+    index = items.where("not few").select("item_id", "n_words", F.col("bits").alias("item_bits"), F.explode(numbers).alias("block")).select(
         "item_id", "n_words", "item_bits", "block", F.explode(masks).alias("mask")
     )
     index = index.select("item_id", "n_words", "item_bits", "block", block(F.col("item_bits"), F.col("block")).bitwiseXOR(F.col("mask")).alias("value"))
@@ -139,10 +161,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT)
     probes = windows.select("*", F.explode(numbers).alias("block")).withColumn("value", block(F.col("bits"), F.col("block")))
     differ = F.col("bits").bitwiseXOR(F.col("item_bits"))
     # a pair met in several blocks counts in the first of them
-    reach = [F.when(F.bit_count(block(differ, F.lit(b))) <= RADIUS // BLOCKS, F.lit(b)) for b in range(BLOCKS)]
+    reach = [F.when(F.bit_count(block(differ, F.lit(b))) <= radius // BLOCKS, F.lit(b)) for b in range(BLOCKS)]
     candidates = probes.join(index, ["n_words", "block", "value"]).where(
-        (F.bit_count(differ) <= RADIUS) & (F.coalesce(*reach) == F.col("block"))
-    )
+        (F.bit_count(differ) <= radius) & (F.coalesce(*reach) == F.col("block"))
+    ).select("k1", "k2", "doc_id", "n_words", "start", "grams", "item_id")
+    direct = bounded(items.where("few").select("item_id", "n_words", F.explode("grams").alias("h")).distinct(), BROADCAST_ROWS)
+    lengths = F.broadcast(items.where("few").select("n_words").distinct())  # a row per length of an item
+    shingles = windows.join(lengths, "n_words", "left_semi").select("k1", "k2", "doc_id", "n_words", "start", "grams", F.explode(F.array_distinct("grams")).alias("h"))
+    sharing = shingles.join(direct, ["n_words", "h"]).drop("h").dropDuplicates(["k1", "k2", "n_words", "start", "item_id"])
+    candidates = candidates.unionByName(sharing)
     wanted = bounded(items.select("item_id", "n_words", F.col("grams").alias("own")), BROADCAST_ROWS, F.size("own"))
     pairs = candidates.join(wanted, ["item_id", "n_words"])
     shared = F.aggregate(

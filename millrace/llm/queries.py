@@ -70,16 +70,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op1_line_dedup"] = op1_line_dedup
 ORACLES["op1_line_dedup"] = r"""
 WITH lines AS (
-  SELECT doc_id, source, unnest(parts) AS raw, generate_subscripts(parts, 1) AS place
-  FROM (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents)),
+  SELECT doc_id, source, text, unnest(parts) AS raw, generate_subscripts(parts, 1) AS place
+  FROM (SELECT doc_id, source, text, string_split(text, chr(10)) AS parts FROM documents)),
 trimmed AS (SELECT *, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM lines),
-placed AS (
-  SELECT source, line, coalesce(lag(line) OVER w, '') || chr(10) || coalesce(lead(line) OVER w, '') AS context
-  FROM trimmed WHERE line <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY place)),
-common AS (
-  SELECT line FROM placed GROUP BY line
-  HAVING count(DISTINCT source) >= 10 AND count(DISTINCT context) >= greatest(10, ceil(count(*) / 2.0))),
-marked AS (SELECT t.*, c.line IS NOT NULL AS gone FROM trimmed t LEFT JOIN common c USING (line))
+common AS (SELECT line FROM trimmed WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 10 AND count(DISTINCT text) >= 10),
+marked AS (SELECT t.doc_id, t.raw, t.place, c.line IS NOT NULL AS gone FROM trimmed t LEFT JOIN common c USING (line))
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(m.raw, chr(10) ORDER BY m.place) FILTER (WHERE NOT gone), '') END AS text,
        count(m.raw) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed
 FROM documents d LEFT JOIN marked m USING (doc_id) GROUP BY d.doc_id, d.text
@@ -102,13 +97,13 @@ dg AS (SELECT doc_id, n, g, p, array_to_string(w[p + 1 : p + g], ' ') AS h
        FROM (SELECT doc_id, w, len(w) AS n, g, unnest(range(0, len(w) - g + 1)) AS p
              FROM dw, (SELECT DISTINCT g FROM items) WHERE len(w) >= g)),
 hits AS (SELECT DISTINCT d.doc_id, d.n, i.item_id, i.n_words, i.g, d.p FROM dg d JOIN ig i ON d.g = i.g AND d.h = i.h),
-windows AS (SELECT DISTINCT doc_id, item_id, n_words, g, s
-            FROM (SELECT *, unnest(range(greatest(0, p - (n_words - g)), least(p, n - n_words) + 1)) AS s FROM hits)),
-wc AS (SELECT w.doc_id, w.item_id, w.s, d.h, count(*) AS c
+windows AS (SELECT DISTINCT doc_id, n, item_id, n_words, g, s
+            FROM (SELECT *, unnest(range(greatest(0, p - (n_words - g)), greatest(0, least(p, n - n_words)) + 1)) AS s FROM hits)),
+wc AS (SELECT w.doc_id, w.n, w.item_id, w.s, d.h, count(*) AS c
        FROM windows w JOIN dg d ON d.doc_id = w.doc_id AND d.g = w.g AND d.p BETWEEN w.s AND w.s + w.n_words - w.g GROUP BY ALL),
 ic AS (SELECT item_id, h, count(*) AS c FROM ig GROUP BY ALL),
-shared AS (SELECT doc_id, item_id, s, CAST(sum(least(wc.c, ic.c)) AS BIGINT) AS shared FROM wc JOIN ic USING (item_id, h) GROUP BY ALL),
-judged AS (SELECT doc_id, item_id, s, shared, 2 * (n_words - g + 1) - shared AS total FROM shared JOIN items USING (item_id))
+shared AS (SELECT doc_id, n, item_id, s, CAST(sum(least(wc.c, ic.c)) AS BIGINT) AS shared FROM wc JOIN ic USING (item_id, h) GROUP BY ALL),
+judged AS (SELECT doc_id, item_id, s, shared, least(n, n_words) + n_words - 2 * (g - 1) - shared AS total FROM shared JOIN items USING (item_id))
 SELECT doc_id, item_id, shared / total AS similarity, CAST(s AS BIGINT) AS start_word
 FROM judged WHERE 100 * shared >= 80 * total
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared / total DESC, s) = 1

@@ -97,11 +97,11 @@ def contaminated(docs, items, percent=80):
         for item, question in items:
             q = words_of(question)
             g = min(5, len(q))
-            if not q or len(w) < len(q):
+            if not q or len(w) < g:
                 continue
             grams = lambda x: Counter(tuple(x[i : i + g]) for i in range(len(x) - g + 1))  # noqa: B023, E731
             own, best = grams(q), None
-            for s in range(len(w) - len(q) + 1):
+            for s in range(max(len(w) - len(q), 0) + 1):  # a shorter document is one window
                 there = grams(w[s : s + len(q)])
                 small, large = sum((own & there).values()), sum((own | there).values())
                 if 100 * small >= percent * large and (best is None or small / large > best[0]):
@@ -143,14 +143,46 @@ def test_documents_shorter_than_an_item(spark):
 
 
 def test_masks_reach_the_radius():
-    masks = set(decontaminate.near_masks())
     rng = random.Random(1)
-    for _ in range(500):
-        a = rng.getrandbits(63)
-        b = a
-        for bit in rng.sample(range(63), rng.randint(0, decontaminate.RADIUS)):
-            b ^= 1 << bit
-        assert any((a >> 7 * k & 127) ^ (b >> 7 * k & 127) in masks for k in range(9))
+    assert decontaminate.radius_of(80) == 24 and decontaminate.radius_of(100) == 0
+    for percent in (50, 80, 95):
+        radius = decontaminate.radius_of(percent)
+        masks = set(decontaminate.near_masks(radius))
+        for _ in range(300):
+            a = rng.getrandbits(63)
+            b = a
+            for bit in rng.sample(range(63), rng.randint(0, radius)):
+                b ^= 1 << bit
+            assert any((a >> 7 * k & 127) ^ (b >> 7 * k & 127) in masks for k in range(9))
+
+
+def test_items_of_few_shingles_are_found(spark):
+    # every bit in which two shingles differ turns when one of them comes once less
+    pairs = [(f"x{i}", f"y{i}") for i in range(30)]
+    items = [(i, " ".join([x, y] * 7 + [x])) for i, (x, y) in enumerate(pairs)]
+    docs = [(i, " ".join([y, x] * 7 + [y])) for i, (x, y) in enumerate(pairs)]
+    got = decontaminate.contamination(
+        spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    ).collect()
+    assert {(r["doc_id"], r["item_id"]): (r["similarity"], r["start_word"]) for r in got} == contaminated(docs, items)
+    assert len(got) == 30
+
+
+@pytest.mark.parametrize("percent", [50, 80, 95])
+def test_texts_of_few_words_equal_brute_force(spark, percent):
+    rng = random.Random(percent)
+    words = ["a", "b", "c", "d"]
+    draw = lambda n, most: " ".join(rng.choice(words[:most]) for _ in range(n))
+    items = [(i, draw(rng.randint(1, 30), rng.randint(1, 4))) for i in range(25)]
+    docs = []
+    for i in range(40):
+        w = (draw(rng.randint(0, 25), rng.randint(1, 4)) + " " + items[rng.randrange(25)][1]).split()
+        w[rng.randrange(len(w))] = rng.choice(words)
+        docs.append((i, " ".join(w[rng.randint(0, 4) :])))
+    got = decontaminate.contamination(
+        spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), percent
+    ).collect()
+    assert {(r["doc_id"], r["item_id"]): (r["similarity"], r["start_word"]) for r in got} == contaminated(docs, items, percent)
 
 
 def test_simhash_is_a_majority_vote(spark):
