@@ -15,16 +15,17 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.llm.components import star_forest
 from millrace.llm.count_rtree import linked
 from millrace.llm.words import mix, shingle_sets
 from millrace.session import stage
 
+# Most classes and bytes of hashes of a tile, which one task compares.
 TILE = 8192
+TILE_BYTES = 48 << 20
 SEEN = 1 << 18
 PART_ROWS = 1 << 18
 BROADCAST_ROWS = 1 << 20
@@ -194,19 +195,33 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _links(docs: DataFrame, sets: DataFrame, blocks: DataFrame, size: int, percent: int) -> DataFrame:
     """Verified links (a, b) between classes, enough to connect each component.
 
-    Blocks of up to ``TILE`` classes are one tile; a larger block is cut into sides by hash, and
-    every two sides are a tile.
+    Similar sets are of similar size, so a block is cut into bands of sizes, one step of similarity wide:
+    a class meets those of its own band and of the next. A band with the one below it is a tile while it is small; a
+    larger one is cut into sides by hash, as many as its classes and its bytes ask for, and every two
+    sides are a tile.
     """
-    sizes = blocks.groupBy("block").agg(F.count("*").alias("members"))
-    firsts = sets.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    chosen = stage(
-        blocks.join(sizes, "block").join(firsts, blocks["node"] == firsts["class"])
-        .select("doc_id", "class", "block", F.ceil(F.col("members") / (TILE // 2)).cast("int").alias("sides")),
+    firsts = sets.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+    members = stage(
+        blocks.join(firsts, blocks["node"] == firsts["class"]).select("doc_id", "class", "block", "n", band_of(F.col("n"), percent).alias("band")),
         "block-members",
     )
+    sizes = members.groupBy("block", "band").agg(F.count("*").alias("own"), F.sum("n").alias("hashes"))
+    below = sizes.select("block", (F.col("band") + 1).alias("band"), F.col("own").alias("low_own"), F.col("hashes").alias("low_hashes"))
+    sizes = sizes.join(below, ["block", "band"], "left").na.fill(0)
+    sides = F.ceil(F.greatest(
+        (F.col("own") + F.col("low_own")) / F.lit(TILE // 2), (F.col("hashes") + F.col("low_hashes")) * 8 / F.lit(TILE_BYTES // 2)
+    )).cast("int")
+    # a class alone in its bands has nobody to meet
+    groups = sizes.where("own + low_own > 1").select("block", "band", sides.alias("sides"))
+    groups = stage(groups, "block-bands")
+    reach = F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band")
+    listed = members.select("doc_id", "class", "block", reach).join(groups, ["block", "band"])
+    chosen = listed.groupBy("doc_id", "class").agg(F.collect_list(F.struct("block", "band", "sides")).alias("groups"))  # two at most
+    chosen = stage(chosen, "block-groups")
     small = chosen.count() <= BROADCAST_ROWS
-    members = docs.select("doc_id", "text").join(F.broadcast(chosen) if small else chosen, "doc_id")
-    hashed = members.mapInArrow(lambda b: _sets(b, size), "class bigint, block bigint, sides int, hashes binary")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen) if small else chosen, "doc_id")
+    hashed = rows.mapInArrow(lambda b: _sets(b, size), "class bigint, groups array<struct<block:bigint,band:int,sides:int>>, hashes binary")
+    hashed = hashed.select("class", "hashes", F.explode("groups").alias("g")).select("class", "hashes", "g.*")
     side = F.pmod(F.xxhash64("class"), F.col("sides")).cast("int")
     pairs = F.when(F.col("sides") <= 2, F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high")))).otherwise(
         F.transform(
@@ -215,9 +230,16 @@ def _links(docs: DataFrame, sets: DataFrame, blocks: DataFrame, size: int, perce
         )
     )
     tiles = hashed.withColumn("side", side).withColumn("tile", F.explode(pairs)).select(
-        "block", F.col("tile.low").alias("low"), F.col("tile.high").alias("high"), "side", "class", "hashes"
+        "block", "band", F.col("tile.low").alias("low"), F.col("tile.high").alias("high"), "side", "class", "hashes"
     )
-    return tiles.groupBy("block", "low", "high").applyInPandas(lambda pdf: _tile(pdf, percent), "a bigint, b bigint").distinct()
+    return tiles.groupBy("block", "band", "low", "high").applyInArrow(lambda table: _tile(table, percent), "a bigint, b bigint").distinct()
+
+
+def band_of(n: Column, percent: int) -> Column:
+    """Number of the band of a set's size: of two similar sets the larger is in the same band or the next."""
+    if percent >= 100:
+        return n.cast("int")
+    return F.floor(F.log(n.cast("double")) / (math.log(100 / percent) * (1 + 1e-9))).cast("int")
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -226,14 +248,17 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
         # a row that repeats the id with another text is not the class asked for
         own = [class_of(h) == c for h, c in zip(found, batch.column("class").to_pylist())]
         kept = pa.array([h.tobytes() for h, same in zip(found, own) if same], pa.binary())
-        rest = batch.select(["class", "block", "sides"]).filter(pa.array(own, pa.bool_()))
-        yield pa.record_batch([*rest.columns, kept], names=["class", "block", "sides", "hashes"])
-
-
-def _tile(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    pdf = pdf.drop_duplicates("class").sort_values("class")
-    sets = [np.frombuffer(h, np.uint64) for h in pdf["hashes"]]
-    names, sides = pdf["class"].to_numpy(), pdf["side"].to_numpy()
-    across = sides if pdf["low"].iloc[0] != pdf["high"].iloc[0] else None
-    found = linked(sets, percent, 100, across)
-    return pd.DataFrame({"a": [names[i] for i, _ in found], "b": [names[j] for _, j in found]}, dtype="int64")
+        rest = batch.select(["class", "groups"]).filter(pa.array(own, pa.bool_()))
+        yield pa.record_batch([*rest.columns, kept], names=["class", "groups", "hashes"])
+
+
+def _tile(table: pa.Table, percent: int) -> pa.Table:
+    """Links of one tile; the hashes stay in the buffers in which they came."""
+    names = table.column("class").to_numpy()
+    order = np.unique(names, return_index=True)[1]  # a class that several rows have counts once
+    hashes = table.column("hashes")
+    sets = [np.frombuffer(hashes[i].as_buffer(), np.uint64) for i in order.tolist()]
+    names = names[order]
+    across = table.column("low")[0].as_py() != table.column("high")[0].as_py()
+    found = linked(sets, percent, 100, table.column("side").to_numpy()[order] if across else None)
+    return pa.table({"a": pa.array([names[i] for i, _ in found], pa.int64()), "b": pa.array([names[j] for _, j in found], pa.int64())})

@@ -8,6 +8,7 @@ import sys
 import os
 
 import numpy as np
+from pyspark.sql import functions as F
 import pyarrow as pa
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -96,6 +97,13 @@ def test_groups_equal_brute_force(spark):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == groups(rows, size, percent)
 
 
+def test_similar_sizes_are_in_the_same_band_or_the_next(spark):
+    for percent in (50, 80, 90, 100):
+        sizes = spark.range(1, 6000).select(F.col("id"), F.floor(F.col("id") * 100 / percent).alias("most"))
+        bands = sizes.select(ngram_join.band_of(F.col("id"), percent).alias("a"), ngram_join.band_of(F.col("most"), percent).alias("b"))
+        assert bands.where("b not in (a, a + 1)").isEmpty()
+
+
 def test_large_blocks_are_cut_into_tiles(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "TILE", 8)
     rows = list(enumerate(texts(90, 8, 60)))
