@@ -227,6 +227,44 @@ def test_short_passages_go_whole(spark):
         assert span["length"] <= len(passage) + 12
 
 
+def test_repeats_equal_brute_force(spark):
+    """Nearly every byte of runs that an earlier text has goes, and nothing that no earlier text has."""
+    rng = np.random.default_rng(31)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzé"), rng.integers(2, 10))) for _ in range(900)]
+    say = lambda n: " ".join(rng.choice(vocabulary, n))
+    passages = [say(51) for _ in range(25)]
+    texts = []
+    for i in range(120):
+        parts = [say(int(rng.integers(5, 60)))]
+        for k in rng.choice(25, int(rng.integers(0, 3)), replace=False):
+            parts += [passages[k], say(int(rng.integers(5, 60)))]
+        texts.append(" ".join(parts))
+    got = {r["doc_id"]: r for r in chunk_dedup.remove_repeats(documents(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])).collect()}
+    shortest, piece = min(len(p.encode()) for p in passages), 16
+    long_runs, pieces, repeated, missed = set(), set(), 0, 0
+    for i, text in enumerate(texts):
+        raw = text.encode()
+        removed = np.zeros(len(raw), bool)
+        for s in got[i]["spans"]:
+            a = len(text[: s["start"]].encode())
+            removed[a : a + len(text[s["start"] : s["start"] + s["length"]].encode())] = True
+        runs = {raw[p : p + shortest]: p for p in range(len(raw) - shortest + 1)}
+        marked, known = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
+        for run, p in runs.items():
+            if run in long_runs:
+                marked[p : p + shortest] = True
+        own = [raw[p : p + piece] for p in range(len(raw) - piece + 1)]
+        for p, part in enumerate(own):
+            if part in pieces:
+                known[p : p + piece] = True
+        assert not (removed & ~known).any()
+        repeated += int(marked.sum())
+        missed += int((marked & ~removed).sum())
+        long_runs.update(runs)
+        pieces.update(own)
+    assert repeated > 15_000 and missed <= 0.01 * repeated
+
+
 def test_chunks_of_odd_rows(spark):
     got = chunk_dedup.remove_repeats(documents(spark, clash=True))
     assert set(CLASH) <= set(got.columns)
