@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
 from millrace.llm.frames import free_names
@@ -119,15 +119,13 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, chunks): for each document the chunks that a document of smaller id has, which, and their places."""
+    """(doc_id, chunks): for each document the chunks that a document of smaller id has, which, and their places, in order."""
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     chunks = rows.mapInArrow(_chunk_rows, "doc_id bigint, d1 bigint, d2 int, place int")
-    firsts = (
-        chunks.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-        .where("first_id < last_id").drop("last_id")
-    )
-    return chunks.join(firsts, ["d1", "d2"]).where("first_id < doc_id").groupBy("doc_id").agg(
-        F.collect_list(F.struct("d1", "first_id", "place")).alias("chunks")
+    # rows are sent and sorted once; those of one digest, at most one a document, are buffered on disk
+    first = F.min("doc_id").over(Window.partitionBy("d1", "d2"))
+    return chunks.withColumn("first_id", first).where("first_id < doc_id").groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("place", "d1", "first_id"))).alias("chunks")
     )
 
 
@@ -137,9 +135,13 @@ def surroundings(docs: DataFrame, known: DataFrame) -> DataFrame:
     A run is of chunks that the same document has first.
     ``after`` tells the sides apart; ``bytes`` are up to ``BEYOND``, those next to the chunk ``d1``.
     """
-    at = lambda place, c: F.struct(place.alias("place"), c["first_id"].alias("first_id"))
-    held = F.transform("chunks", lambda c: at(c["place"], c))
-    at_end = lambda step: F.filter("chunks", lambda c: ~F.array_contains(held, at(c["place"] + step, c)))
+    def at_end(step: int):
+        def differs(c, i):
+            beside = F.get("chunks", i + step)  # they are in the order of their places
+            return ~F.coalesce((beside["place"] == c["place"] + step) & (beside["first_id"] == c["first_id"]), F.lit(False))
+
+        return F.filter("chunks", differs)
+
     ends = None
     for after, step in ((False, -1), (True, 1)):
         side = known.select("doc_id", F.explode(at_end(step)).alias("c")).select("doc_id", "c.d1", "c.first_id", F.lit(after).alias("after"))
