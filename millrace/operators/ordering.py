@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions import arrays as A
 from millrace.functions.hashing import seeded_md5
-from millrace.operators.prefix import hashed_position, running_offset
+from millrace.operators.prefix import DENSE_KEY, hashed_position, running_offset
 
 
 def seeded_order(instances: DataFrame, seed: int, key: str = "instance_id", epoch: int = 0) -> DataFrame:
@@ -104,20 +104,22 @@ def interleave_round_robin(
 ) -> DataFrame:
     """Positions of taking one item of each stream in turn, skipping the exhausted.
 
-    ``stream`` orders the streams and ``key`` the items of one, both integers. An item comes
-    after all items of lower turn and those of its own turn in earlier streams.
+    ``stream`` orders the streams and ``key`` the items of one, both integers or, for streams, texts;
+    a null stream is the first. An item comes after all items of lower turn and those of its own
+    turn in earlier streams.
     """
     turned = running_offset(streams, key, by=[stream], out="__turn")
     # streams by number; a name's first bytes put it into its range
     head = F.rpad(F.hex(F.substring(F.encode(F.col(stream).cast("string"), "utf-8"), 1, 7)), 14, "0")
     number = F.col(stream).cast("bigint") if dict(streams.dtypes)[stream] in ("int", "bigint") else F.conv(head, 16, 10).cast("bigint")
     names = streams.select(stream).distinct().withColumn("__head", number)
-    ranks = running_offset(names, "__head", ties=[stream], out="__rank").select(stream, "__rank")
-    # items of one turn by stream, in ranges of streams, after all items of the turns before
-    ranked = turned.join(ranks, stream)
-    within = running_offset(ranked, "__rank", by=["__turn"], out="__in")
+    ranks = running_offset(names, "__head", ties=[stream], out="__rank").select(F.col(stream).alias("__name"), "__rank")
+    ranked = turned.join(ranks, F.col(stream).eqNullSafe(F.col("__name"))).drop("__name")
+    # items of one turn by stream, in ranges of streams, after all items of the turns before; ranks and
+    # turns are dense, so one level of ranges holds 2**32 of them
+    within = running_offset(ranked, "__rank", by=["__turn"], out="__in", shifts=DENSE_KEY)
     turns = ranked.groupBy("__turn").agg(F.count(F.lit(1)).alias("__n"))
-    before = running_offset(turns, "__turn", F.col("__n"), out="__before").select("__turn", "__before")
+    before = running_offset(turns, "__turn", F.col("__n"), out="__before", shifts=DENSE_KEY).select("__turn", "__before")
     placed = within.join(before, "__turn").withColumn(out, F.col("__before") + F.col("__in"))
     return placed.select(*streams.columns, out)
 

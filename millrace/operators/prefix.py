@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 INTEGER_KEY = (16, 32, 48)
 # A 60-bit hash key: 2**16 ranges of equal expected size, whatever the data.
 HASH_KEY = (44,)
+# A dense key from 0 on, such as a position: 2**16 rows a range, all ranges in one narrow window.
+DENSE_KEY = (16,)
 
 
 def _ranges(df: DataFrame, key: str, by: Sequence[str], shifts: Sequence[int]) -> tuple[DataFrame, list[str], list[str]]:

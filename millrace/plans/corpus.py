@@ -13,7 +13,7 @@ from millrace.operators.normalize import assign_ids
 from millrace.plans.registry import query, spread_table, table, text_literal
 from millrace.plans.shared import SEED, sql_md5, sql_strip, sql_unit, sql_words
 from millrace.session import fresh_path, stage
-from millrace.sources import manifests, readers, writers
+from millrace.sources import manifests, readers, writers, zstd_lines
 
 SHARD_BYTES = 40_000
 FRACTIONS = {"src0": 0.5, "src1": 0.0323, "src2": 0.053, "src3": 0.5, "src4": 0.25}
@@ -36,6 +36,15 @@ def read_documents(spark, sf):
     return readers.read_documents(spark, [f"{path}/folder=*/*.json.gz"])
 
 
+@query("read_zstd_documents", "SELECT CAST(doc_id AS VARCHAR) AS id, text, source FROM documents")
+def read_zstd_documents(spark, sf):
+    path = fresh_path(spark, "zstd-documents")
+    docs = spread_table(spark, sf, "documents", "doc_id", "text", "source")
+    record = F.struct(F.col("doc_id").cast("string").alias("id"), "text", "source")
+    zstd_lines.write_lines(docs.select(F.to_json(record).alias("value")), path)
+    return readers.read_documents(spark, [f"{path}/*.jsonl.zst"])
+
+
 @query("load_corpus", """
 SELECT lang, CASE WHEN source = 'src0' THEN 'validation' ELSE 'train' END AS split,
        count(*) AS n_rows, CAST(sum(length(text)) AS BIGINT) AS n_chars

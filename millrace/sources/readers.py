@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from millrace.sources import manifests
+from millrace.sources import manifests, zstd_lines
 
 DOCUMENT_SCHEMA = "id string, text string, source string"
 MESSAGES_TYPE = "array<struct<role:string,content:string>>"
@@ -20,17 +21,28 @@ def read_documents(
     source: str | None = None,
     source_pattern: str | None = None,
 ) -> DataFrame:
-    """JSON lines from many globs in one scan; compression follows the file ending.
+    """JSON lines from many globs in one scan; compression follows the file ending, zstd (``.zst``) included.
 
     ``source`` names all rows; ``source_pattern`` takes its first group from the file path, where
     the escapes of a URI and then those of a partition folder are undone. Without either
     the column of the record is kept. The schema is given, never inferred.
     """
-    docs = spark.read.schema(schema).json(list(globs))
+    packed = [g for g in globs if g.endswith(zstd_lines.ENDING)]
+    plain = [g for g in globs if g not in packed]
+    parts = []
+    if plain or not packed:
+        parts.append(_sourced(spark.read.schema(schema).json(plain), _unescaped(F.col("_metadata.file_path")), source, source_pattern))
+    if packed:
+        docs = zstd_lines.read_json(spark, packed, schema)
+        parts.append(_sourced(docs, F.col("__file"), source, source_pattern).drop("__file"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _sourced(docs: DataFrame, file: Column, source: str | None, source_pattern: str | None) -> DataFrame:
     if source is not None:
         return docs.withColumn("source", F.lit(source))
     if source_pattern is not None:
-        return docs.withColumn("source", _unescaped(_unescaped(F.regexp_extract(F.col("_metadata.file_path"), source_pattern, 1))))
+        return docs.withColumn("source", _unescaped(F.regexp_extract(file, source_pattern, 1)))
     return docs
 
 

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import packing, tokenize
+from millrace.operators import ordering, packing, tokenize
 from millrace.operators.prefix import dense_position, running_minimum, running_offset
 from millrace.operators.tokenize import Vocabulary
 from millrace.plans import corpus
@@ -86,3 +86,12 @@ def test_names_of_folders_are_unescaped(spark, tmp_path):
     writers.write_jsonl(docs, f"{tmp_path}/out", partition_by=["source"])
     back = readers.read_documents(spark, [f"{tmp_path}/out/*/*.gz"], "id string, text string", source_pattern="source=([^/]+)/")
     assert {int(r.id): r.source for r in back.collect()} == dict(enumerate(plain))
+
+
+def test_interleaving_keeps_the_stream_without_name(spark):
+    rows = [(s, k) for s, n in ((None, 3), ("", 1), ("a", 2)) for k in range(n)]
+    for kind, names in (("string", {None: None, "": "", "a": "a"}), ("bigint", {None: None, "": 0, "a": 1})):
+        streams = spark.createDataFrame([(names[s], k) for s, k in rows], f"s {kind}, k bigint")
+        got = {r.position: (r.s, r.k) for r in ordering.interleave_round_robin(streams, "s", "k").collect()}
+        first, second, third = names[None], names[""], names["a"]
+        assert got == {0: (first, 0), 1: (second, 0), 2: (third, 0), 3: (first, 1), 4: (third, 1), 5: (first, 2)}
