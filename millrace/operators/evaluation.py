@@ -195,6 +195,56 @@ def subject_task_prompts(questions: DataFrame, dev: DataFrame, task: str, key: s
     )
 
 
+def subject_tasks(spark, names: Sequence[str]) -> DataFrame:
+    """A row per task and prompt variant: (category, split, task, lettered, n, no, variant, inst, shots)."""
+    rows = []
+    for name in names:
+        options = TASKS[name].options
+        variants = VARIANTS[options.get("variants")]
+        for no, (v, shots) in enumerate(zip(variants, _shots_of(name))):
+            rows.append((options["category"], options["split"], name, bool(options.get("lettered")), len(variants), no,
+                         v or "plain", bool(v and "inst" in v), shots))
+    kind = "category string, split string, task string, lettered boolean, n int, no int, variant string, inst boolean, shots int"
+    return spark.createDataFrame(rows, kind)
+
+
+def all_subject_prompts(questions: DataFrame, dev: DataFrame, names: Sequence[str], key: str = "doc_key") -> DataFrame:
+    """``subject_task_prompts`` of several names in one plan, with ``task``.
+
+    Questions meet the categories of their subject, get their place there and their subject's examples
+    once, and then one fixed table of tasks and variants. ``key`` is unique.
+    """
+    builds = {TASKS[name].build for name in names}
+    if len(builds) != 1:
+        raise ValueError("the tasks build their prompts in different ways")
+    spark, (build,) = questions.sparkSession, builds
+    tasks = subject_tasks(spark, names)
+    categories = category_subjects(spark, sorted({TASKS[name].options["category"] for name in names}))
+    categories = F.broadcast(categories.select(F.col("name").alias("category"), "subject"))  # fixed tables, not data
+    # a place is told by the key alone, so texts stay out of the windows
+    places = dense_position(
+        questions.select(key, "subject", "split").join(categories, "subject").select(key, "category", "split"), key, by=["category", "split"], out="__place"
+    ).drop("split")
+    most = max(shots for name in names for shots in _shots_of(name))
+    told = [fewshot_shots(dev, max(most, 1), lettered, order=key).withColumnRenamed("shots", f"__shots{int(lettered)}") for lettered in (False, True)]
+    asked = questions.join(places, key).join(told[0], "subject", "left").join(told[1], "subject", "left")
+    every = asked.join(F.broadcast(tasks), ["category", "split"])
+    plain, lettered = (build(lambda name: F.col(name), lettered=x) for x in (False, True))
+    either = lambda a, b: F.when(F.col("lettered"), b).otherwise(a)
+    examples = F.slice(either(F.col("__shots0"), F.col("__shots1")), F.lit(1), F.col("shots"))
+    lead = F.when(F.col("inst"), instruction_line(F.col("subject"))).otherwise(F.lit(""))
+    return every.select(
+        "task", (F.col("__place") * F.col("n") + F.col("no")).cast("bigint").alias("doc_id"), "variant",
+        F.concat(lead, F.coalesce(F.array_join(examples, ""), F.lit("")), either(plain.text, lettered.text)).alias("ctx_text"),
+        either(plain.continuations, lettered.continuations).alias("continuations"),
+        plain.label.cast("bigint").alias("label_id"), plain.conditional.alias("dc_text"),
+    )
+
+
+def _shots_of(name: str) -> list[int]:
+    return [int(v.split("+")[1]) if v and "+" in v else 0 for v in VARIANTS[TASKS[name].options.get("variants")]]
+
+
 # --- scores ----------------------------------------------------------------------------
 
 KEY = ("doc_id", "cont_id")

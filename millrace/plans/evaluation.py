@@ -265,10 +265,7 @@ def subject_task_prompts(spark, sf):
     docs = stage(_subject_docs(spark, sf), "subject-docs")
     dev, test = _split(docs)
     part = F.when(F.shiftright("doc_key", 32) % 2 == 0, "test").otherwise("validation")
-    out = None
-    for name in SUBJECT_TASKS:
-        one = E.subject_task_prompts(test.withColumn("split", part), dev, name).withColumn("task", F.lit(name))
-        out = one if out is None else out.unionByName(one)
+    out = E.all_subject_prompts(test.withColumn("split", part), dev, SUBJECT_TASKS)
     return out.select("task", "doc_id", "variant", "ctx_text", F.array_join("continuations", "|").alias("continuations"), "label_id", "dc_text")
 
 

@@ -77,6 +77,10 @@ def test_subject_tasks_by_name(spark):
     assert evaluation.subject_task_prompts(docs, dev, "mmlu_stem_var").count() == 21
     shown = evaluation.subject_task_prompts(docs, dev, "mmlu_stem_mc_5shot").first()
     assert shown["ctx_text"].count("Answer: B") == 5 and shown["ctx_text"].endswith("Answer:") and shown["continuations"] == [" A", " B", " C", " D"]
+    names = [n for n in tasks.TASKS if n.startswith("mmlu_")]
+    whole = evaluation.all_subject_prompts(docs, dev, names)
+    single = [(n, *r) for n in names for r in evaluation.subject_task_prompts(docs, dev, n).collect()]
+    assert single and sorted(map(tuple, whole.collect()), key=repr) == sorted(single, key=repr)
     assert evaluation.subject_task_prompts(docs, dev, "mmlu_humanities_test").count() == 0
     with pytest.raises(ValueError, match="subject_task_prompts"):
         tasks.task_prompts(docs, "mmlu_stem_var", ["doc_key"])
