@@ -1,46 +1,72 @@
 """A gated recurrent language model with class-factored output, in numpy.
 
-The frequent words stand in classes of equal size by rank; other words fall into classes by
-their shape. The output is P(class | state) times P(word | class, state) for frequent words;
-the share of a word within a shape class is its corpus count, which the model does not see.
-Weights are fitted by truncated backpropagation through windows of ``WINDOW`` tokens; the state
-goes on from window to window, so a document is scored as one sequence.
+The frequent words stand in classes of neighbouring ranks, cut so that a class's share of the tokens
+times its number of words stays at 1: frequent words meet small classes, and a token costs about as
+many class logits as word logits. Other words fall into classes by their shape. The output is
+P(class | state) times P(word | class, state) for frequent words; the share of a word within a shape
+class is its corpus count, which the model does not see. Weights are fitted by truncated
+backpropagation through windows of ``WINDOW`` tokens; the state goes on from window to window, so a
+document is scored as one sequence.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 
 STATE, EMBED = 32, 24
 WINDOW = 32
-CLASS_WORDS = 50
-SCORE_LANES = 1024
+SCORE_LANES = 512
 NAMES = ("embed", "wx", "wh", "b", "wc", "bc", "uw", "bw")
 
 
+def class_cuts(word_counts: np.ndarray) -> np.ndarray:
+    """Starts of the classes of words in this order, and their end: share times words is at most 1, or one word."""
+    share = np.concatenate(([0.0], np.cumsum(word_counts + 0.5, dtype=np.float64)))
+    share /= max(share[-1], 1.0)
+    cuts, words = [0], len(word_counts)
+    while cuts[-1] < words:
+        low, high = cuts[-1] + 1, words  # the product grows with the end: halve
+        while low < high:
+            middle = (low + high + 1) // 2
+            if (share[middle] - share[cuts[-1]]) * (middle - cuts[-1]) <= 1:
+                low = middle
+            else:
+                high = middle - 1
+        cuts.append(low)
+    return np.array(cuts, np.int64)
+
+
 @dataclass
 class Layout:
-    """Numbers of frequent words, of their classes and of shape classes; the first word is the end."""
+    """Numbers of frequent words and of shape classes; the first word is the end. Counts cut the words' classes."""
 
     words: int
     shapes: int
+    word_counts: np.ndarray | None = None
+    cuts: np.ndarray = field(init=False)
+
+    def __post_init__(self):
+        self.cuts = class_cuts(np.ones(self.words) if self.word_counts is None else self.word_counts)
+        sizes = np.diff(self.cuts)
+        rest = np.arange(self.shapes) + self.word_classes
+        self._class = np.concatenate((np.repeat(np.arange(self.word_classes), sizes), rest)).astype(np.int64)
 
     @property
     def word_classes(self) -> int:
-        return -(-self.words // CLASS_WORDS)
+        return len(self.cuts) - 1
 
     @property
     def shapes_of(self) -> dict[str, tuple[int, ...]]:
         k = self.word_classes + self.shapes
         return {
             "embed": (self.words + self.shapes, EMBED), "wx": (EMBED, 3 * STATE), "wh": (STATE, 3 * STATE), "b": (3 * STATE,),
-            "wc": (STATE, k), "bc": (k,), "uw": (STATE, self.words), "bw": (self.words,),
+            "wc": (STATE, k), "bc": (k,), "uw": (self.words, STATE), "bw": (self.words,),
         }
 
     def class_of(self, tokens: np.ndarray) -> np.ndarray:
-        return np.where(tokens < self.words, tokens // CLASS_WORDS, tokens - self.words + self.word_classes)
+        return self._class[tokens]
 
 
 def flatten(weights: dict[str, np.ndarray]) -> np.ndarray:
@@ -64,6 +90,7 @@ def start_weights(layout: Layout, class_counts: np.ndarray, word_counts: np.ndar
     out["embed"] = (rng.standard_normal(layout.shapes_of["embed"]) * 0.3).astype(np.float32)
     out["wc"] *= 0.2
     out["uw"] *= 0.2
+    out["uw"] *= np.sqrt(max(1, layout.words) / STATE).astype(np.float32)
     out["b"][:] = 0
     out["bc"] = np.log((class_counts + 0.5) / (class_counts + 0.5).sum()).astype(np.float32)
     out["bw"] = np.log(word_counts + 0.5).astype(np.float32)
@@ -71,31 +98,71 @@ def start_weights(layout: Layout, class_counts: np.ndarray, word_counts: np.ndar
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _gate(w, x: np.ndarray, h: np.ndarray, out: tuple[np.ndarray, ...]) -> np.ndarray:
+    """One token of every lane; lanes are columns. Fills (z and r, the state's part of the new value, new value, state)."""
+    zr, part, new, state = out
+    d = STATE
+    gates = w["wh"].T @ h
+    _sigmoid(np.add(x[: 2 * d], gates[: 2 * d], out=zr))
+    part[:] = gates[2 * d :]
+    np.multiply(zr[d:], part, out=new)
+    new += x[2 * d :]
+    np.tanh(new, out=new)
+    np.subtract(h, new, out=state)
+    state *= zr[:d]
+    state += new
+    return state
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+def _inputs(w, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Embeddings of (step, lane) as (step, size, lane), and their part of the gates."""
+    x = w["embed"][tokens].transpose(0, 2, 1)
+    px = np.matmul(w["wx"].T, x)
+    px += w["b"][:, None]
+    return x, px
+
+
+def _softmax(x: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentiates columns of logits in place; returns each column's sum and the log-probability of its chosen row."""
+    x -= x.max(axis=0)
+    logs = x[chosen, np.arange(x.shape[1])]
+    np.exp(x, out=x)
+    total = x.sum(axis=0)
+    return total, logs - np.log(total)
 
 
 def outputs(w, layout: Layout, states: np.ndarray, targets: np.ndarray):
-    """Natural log-probability of each target, log-probabilities of all classes, and of words by class."""
+    """Log-probability of each target, and what its gradient needs; states are columns.
+
+    That is: classes, exponentials and sums over classes, the order of targets by class, states and targets in it, and
+    (words, stretch of that order, exponentials, sums) of every class met.
+    """
     classes = layout.class_of(targets)
-    log_class = _log_softmax(states @ w["wc"] + w["bc"])
-    total = log_class[np.arange(len(targets)), classes].astype(np.float64)
-    order = np.argsort(classes, kind="stable")
-    cuts = np.searchsorted(classes[order], np.arange(layout.word_classes + 1))
+    of_class = w["wc"].T @ states
+    of_class += w["bc"][:, None]
+    total, logs = _softmax(of_class, classes)
+    order = np.argsort(classes.astype(np.uint16), kind="stable")
+    ends = np.searchsorted(classes[order], np.arange(layout.word_classes + 1))
+    by_class, wanted = states[:, order], targets[order]
+    inside = np.zeros(len(order))
     within = []
-    for c in range(layout.word_classes):
-        own = order[cuts[c] : cuts[c + 1]]
-        if len(own):
-            cols = slice(c * CLASS_WORDS, min((c + 1) * CLASS_WORDS, layout.words))
-            log_word = _log_softmax(states[own] @ w["uw"][:, cols] + w["bw"][cols])
-            total[own] += log_word[np.arange(len(own)), targets[own] - cols.start]
-            within.append((cols, own, log_word))
-    return total, log_class, classes, within
+    for c in np.flatnonzero(np.diff(ends)):
+        own, words = slice(ends[c], ends[c + 1]), slice(layout.cuts[c], layout.cuts[c + 1])
+        if words.stop - words.start > 1:  # the only word of a class is certain
+            of_word = w["uw"][words] @ by_class[:, own]
+            of_word += w["bw"][words, None]
+            sums, inside[own] = _softmax(of_word, wanted[own] - words.start)
+            within.append((words, own, of_word, sums))
+    logs = logs.astype(np.float64)
+    logs[order] += inside
+    return logs, classes, of_class, total, order, by_class, wanted, within
 
 
 def score_documents(w, layout: Layout, documents: list[np.ndarray]) -> np.ndarray:
@@ -104,15 +171,14 @@ def score_documents(w, layout: Layout, documents: list[np.ndarray]) -> np.ndarra
     Documents of similar length run side by side; each keeps its state from its first token to its
     last, window by window.
     """
-    table = w["embed"] @ w["wx"] + w["b"]
     out = np.zeros(len(documents))
     by_length = sorted(range(len(documents)), key=lambda i: -len(documents[i]))
-    d = STATE
+    kind, d = w["wh"].dtype, STATE
     for at in range(0, len(by_length), SCORE_LANES):
         lanes = by_length[at : at + SCORE_LANES]
         lengths = np.array([len(documents[i]) for i in lanes])
-        h = np.zeros((len(lanes), d), np.float32)
-        before = np.zeros(len(lanes), np.int64)
+        h = np.zeros((d, len(lanes)), kind)
+        last = np.zeros(len(lanes), np.int64)
         for start in range(0, int(lengths[0]), WINDOW):
             live = int(np.searchsorted(-lengths, -start))
             steps = min(WINDOW, int(lengths[0]) - start)
@@ -121,21 +187,17 @@ def score_documents(w, layout: Layout, documents: list[np.ndarray]) -> np.ndarra
                 part = documents[lanes[k]][start : start + steps]
                 tokens[: len(part), k] = part
             counts = np.array([np.searchsorted(-lengths, -(start + t)) for t in range(steps)])
-            states, targets, owners = [], [], []
-            for t in range(steps):
-                n = int(counts[t])
-                x, hn = table[before[:n]], h[:n]
-                gates = hn @ w["wh"]
-                zr = _sigmoid(x[:, : 2 * d] + gates[:, : 2 * d])
-                new = np.tanh(x[:, 2 * d :] + zr[:, d:] * gates[:, 2 * d :])
-                hn = new + zr[:, :d] * (hn - new)
-                h = hn
-                before = tokens[t, :n]
-                states.append(hn)
-                targets.append(before)
-                owners.append(np.arange(n))
-            total, *_ = outputs(w, layout, np.concatenate(states), np.concatenate(targets))
-            out[lanes[:live]] += np.bincount(np.concatenate(owners), total, minlength=live)
+            _, px = _inputs(w, np.concatenate((last[None, :live], tokens[:-1])))
+            ends = np.concatenate(([0], np.cumsum(counts)))
+            states = np.empty((d, ends[-1]), kind)
+            for t, n in enumerate(counts):
+                room = (np.empty((2 * d, n), kind), np.empty((d, n), kind), np.empty((d, n), kind), np.empty((d, n), kind))
+                h = _gate(w, px[t, :, :n], h[:, :n], room)
+                states[:, ends[t] : ends[t + 1]] = h
+            last = tokens[-1]
+            inside = np.arange(live) < counts[:, None]
+            logs, *_ = outputs(w, layout, states, tokens[inside])
+            out[lanes[:live]] += np.bincount(np.nonzero(inside)[1], logs, minlength=live)
     return out / np.log(10)
 
 
@@ -178,59 +240,82 @@ class Trainer:
         steps = len(tokens)
         inputs = np.concatenate((last[None], tokens[:-1]))
         inputs = np.where(fresh, 0, inputs)
-        x = w["embed"][inputs.ravel()]
-        px = (x @ w["wx"] + w["b"]).reshape(steps, n, 3 * d)
-        kept = []
+        x, px = _inputs(w, inputs)
+        kind = px.dtype
+        zr = np.empty((steps, 2 * d, n), kind)
+        prior, hc, new, states = (np.empty((steps, d, n), kind) for _ in range(4))
+        on = ~fresh
+        h = h.T
         for t in range(steps):
-            h = h * ~fresh[t][:, None]
-            gates = h @ w["wh"]
-            zr = _sigmoid(px[t][:, : 2 * d] + gates[:, : 2 * d])
-            z, r = zr[:, :d], zr[:, d:]
-            new = np.tanh(px[t][:, 2 * d :] + r * gates[:, 2 * d :])
-            kept.append((h, z, r, new, gates[:, 2 * d :]))
-            h = new + z * (h - new)
-        states = np.concatenate([k[3] + k[1] * (k[0] - k[3]) for k in kept])
+            h = _gate(w, px[t], np.multiply(h, on[t], out=prior[t]), (zr[t], hc[t], new[t], states[t]))
         targets, mask = tokens.ravel(), real.ravel()
-        _, log_class, classes, within = outputs(w, self.layout, states, targets)
-        scale = np.float32(1 / max(1, mask.sum()))
+        flat = states.transpose(1, 0, 2).reshape(d, -1)
+        _, classes, dc, total, order, by_class, wanted, within = outputs(w, self.layout, flat, targets)
+        weight = (mask / max(1, mask.sum())).astype(kind)
         g = {}
-        dc = np.exp(log_class)
-        dc[np.arange(len(targets)), classes] -= 1
-        dc *= (mask * scale)[:, None]
-        g["wc"], g["bc"] = states.T @ dc, dc.sum(axis=0)
-        ds = dc @ w["wc"].T
-        g["uw"], g["bw"] = np.zeros_like(w["uw"]), np.zeros_like(w["bw"])
-        for cols, own, log_word in within:
-            dw = np.exp(log_word)
-            dw[np.arange(len(own)), targets[own] - cols.start] -= 1
-            dw *= (mask[own] * scale)[:, None]
-            g["uw"][:, cols], g["bw"][cols] = states[own].T @ dw, dw.sum(axis=0)
-            ds[own] += dw @ w["uw"][:, cols].T
-        ds = ds.reshape(steps, n, d)
-        dpx = np.zeros_like(px)
-        g["wh"] = np.zeros_like(w["wh"])
-        dh = np.zeros((n, d), np.float32)
+        dc *= weight / total
+        dc[classes, np.arange(len(targets))] -= weight
+        g["wc"], g["bc"] = flat @ dc.T, dc.sum(axis=1)
+        ds = w["wc"] @ dc
+        of_words, weight = np.zeros_like(by_class), weight[order]
+        met, outer, bias = [], [], []
+        for words, own, dw, sums in within:
+            dw *= weight[own] / sums
+            dw[wanted[own] - words.start, np.arange(dw.shape[1])] -= weight[own]
+            met.append(np.arange(words.start, words.stop))
+            outer.append(dw @ by_class[:, own].T)
+            bias.append(dw.sum(axis=1))
+            np.matmul(w["uw"][words].T, dw, out=of_words[:, own])
+        ds[:, order] += of_words
+        ds = ds.reshape(d, steps, n).transpose(1, 0, 2)
+        z, r = zr[:, :d], zr[:, d:]
+        dpx, dgates = np.empty_like(px), np.empty_like(px)
+        dh = np.zeros((d, n), kind)
         for t in range(steps - 1, -1, -1):
-            prior, z, r, new, hc = kept[t]
-            dh = dh + ds[t]
-            dnew = dh * (1 - z) * (1 - new**2)
-            dz = dh * (prior - new) * z * (1 - z)
-            dr = dnew * hc * r * (1 - r)
-            dgates = np.concatenate((dz, dr, dnew * r), axis=1)
-            dpx[t, :, :d], dpx[t, :, d : 2 * d], dpx[t, :, 2 * d :] = dz, dr, dnew
-            g["wh"] += prior.T @ dgates
-            dh = (dh * z + dgates @ w["wh"].T) * ~fresh[t][:, None]
-        dpx = dpx.reshape(-1, 3 * d)
-        g["wx"], g["b"] = x.T @ dpx, dpx.sum(axis=0)
-        g["embed"] = np.zeros_like(w["embed"])
-        np.add.at(g["embed"], inputs.ravel(), dpx @ w["wx"].T)
+            dh += ds[t]
+            by_z, by_new = 1 - z[t], 1 - np.square(new[t])
+            dnew = np.multiply(dh, by_z, out=dpx[t, 2 * d :])
+            dnew *= by_new
+            dz = np.subtract(prior[t], new[t], out=dpx[t, :d])
+            dz *= dh
+            dz *= z[t]
+            dz *= by_z
+            own = np.multiply(dnew, r[t], out=dgates[t, 2 * d :])
+            dr = np.subtract(1, r[t], out=dpx[t, d : 2 * d])
+            dr *= own
+            dr *= hc[t]
+            dgates[t, : 2 * d] = dpx[t, : 2 * d]
+            dh *= z[t]
+            dh += w["wh"] @ dgates[t]
+            dh *= on[t]
+        g["wh"] = np.matmul(prior, dgates.transpose(0, 2, 1)).sum(axis=0)
+        g["wx"], g["b"] = np.matmul(x, dpx.transpose(0, 2, 1)).sum(axis=0), dpx.sum(axis=(0, 2))
+        dx = np.matmul(dpx.transpose(0, 2, 1), w["wx"].T).reshape(-1, EMBED)
+        inputs = inputs.ravel()
+        at = np.argsort(inputs, kind="stable")
+        starts = np.flatnonzero(np.diff(inputs[at], prepend=-1))
+        rows = {"embed": inputs[at[starts]]}
+        g["embed"] = np.add.reduceat(dx[at], starts)
+        if met:
+            rows["uw"] = rows["bw"] = np.concatenate(met)
+            g["uw"], g["bw"] = np.concatenate(outer), np.concatenate(bias)
         norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
         self.step += 1
         for name, value in g.items():
-            value = value * np.float32(min(1, 1 / max(norm, 1e-9)))
-            self.first[name] += 0.1 * (value - self.first[name])
-            self.second[name] += 0.01 * (value * value - self.second[name])
-            rate = np.float32(self.rate * share)
-            w[name] -= rate * (self.first[name] / np.float32(1 - 0.9**self.step)) / (
-                np.sqrt(self.second[name] / np.float32(1 - 0.99**self.step)) + np.float32(1e-7))
-        return h, tokens[-1]
+            value *= kind.type(min(1, 1 / max(norm, 1e-9)))
+            self._adam(name, value, rows.get(name, slice(None)), kind.type(self.rate * share))
+        return h.T, tokens[-1]
+
+    def _adam(self, name, value, rows, rate):
+        """A step of the rows that the window met; the moments of other rows wait."""
+        first, second = self.first[name][rows], self.second[name][rows]
+        first += 0.1 * (value - first)
+        np.square(value, out=value)
+        second += 0.01 * (value - second)
+        self.first[name][rows], self.second[name][rows] = first, second
+        root = np.sqrt(second)
+        root *= rate.dtype.type(1 / np.sqrt(1 - 0.99**self.step))
+        root += rate.dtype.type(1e-7)
+        first = first / root
+        first *= rate / rate.dtype.type(1 - 0.9**self.step)
+        self.w[name][rows] -= first

@@ -29,6 +29,8 @@ MODEL_WORDS = 2500
 ROOT_WORDS = 8
 # The sample that weights start from; all training documents refine them.
 START_DOCS = 1500
+# Documents side by side when all training documents refine the weights.
+LANES = 512
 # Weights in a row when partitions are averaged.
 SLOT = 1 << 14
 SHAPES = 30
@@ -120,8 +122,8 @@ class Counts:
         for r in counts.groupBy("k").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
             shapes[r["k"]] = (r["c"], r["n"])
         rest = shapes - used
-        layout = gru_lm.Layout(words, SHAPES)
-        blocks = np.add.reduceat(c[:words], np.arange(0, words, gru_lm.CLASS_WORDS)) if words else np.zeros(0)
+        layout = gru_lm.Layout(words, SHAPES, c[:words])
+        blocks = np.add.reduceat(c[:words], layout.cuts[:-1]) if words else np.zeros(0)
         order = np.argsort(h)
         ids = np.where(np.arange(len(h)) < words, np.arange(len(h)), -1)
         return cls(
@@ -173,10 +175,10 @@ def fit(docs: DataFrame, counts: Counts) -> np.ndarray:
 
     def refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layout = shared.value.layout
-        trainer = gru_lm.Trainer(gru_lm.unflatten(begun.value, layout), layout, rate=0.001)
+        trainer = gru_lm.Trainer(gru_lm.unflatten(begun.value, layout), layout, rate=0.006)
         seen = 0
         for batch in batches:
-            seen += trainer.fit(_documents(batch.column("text"), shared.value))
+            seen += trainer.fit(_documents(batch.column("text"), shared.value), lanes=LANES)
         if seen:
             flat = gru_lm.flatten(trainer.w)
             parts = [flat[at : at + SLOT].tobytes() for at in range(0, len(flat), SLOT)]
