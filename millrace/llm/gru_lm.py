@@ -18,6 +18,8 @@ import numpy as np
 STATE, EMBED = 32, 24
 WINDOW = 32
 SCORE_LANES = 512
+# Tokens whose class logits are handled at once.
+BLOCK = 1024
 NAMES = ("embed", "wx", "wh", "b", "wc", "bc", "uw", "bw")
 
 
@@ -138,31 +140,44 @@ def _softmax(x: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return total, logs - np.log(total)
 
 
-def outputs(w, layout: Layout, states: np.ndarray, targets: np.ndarray):
-    """Log-probability of each target, and what its gradient needs; states are columns.
+def class_blocks(w, states: np.ndarray, classes: np.ndarray):
+    """(stretch, exponentials, sums, log-probability of the target's class); states are columns, a stretch fits a core's cache."""
+    for at in range(0, len(classes), BLOCK):
+        cut = slice(at, at + BLOCK)
+        block = w["wc"].T @ states[:, cut]
+        block += w["bc"][:, None]
+        yield cut, block, *_softmax(block, classes[cut])
 
-    That is: classes, exponentials and sums over classes, the order of targets by class, states and targets in it, and
-    (words, stretch of that order, exponentials, sums) of every class met.
-    """
+
+def word_blocks(w, layout: Layout, by_class: np.ndarray, wanted: np.ndarray, ends: np.ndarray):
+    """(words, stretch, exponentials, sums, log-probability within the class) of every class met; columns are in order of class."""
+    for c in np.flatnonzero(np.diff(ends)):
+        words = slice(layout.cuts[c], layout.cuts[c + 1])
+        if words.stop - words.start > 1:  # the only word of a class is certain
+            for at in range(ends[c], ends[c + 1], BLOCK):
+                own = slice(at, min(at + BLOCK, ends[c + 1]))
+                block = w["uw"][words] @ by_class[:, own]
+                block += w["bw"][words, None]
+                yield words, own, block, *_softmax(block, wanted[own] - words.start)
+
+
+def by_classes(layout: Layout, states: np.ndarray, targets: np.ndarray):
+    """Classes, the order of targets by class, states and targets in it, and where each class of words starts there."""
     classes = layout.class_of(targets)
-    of_class = w["wc"].T @ states
-    of_class += w["bc"][:, None]
-    total, logs = _softmax(of_class, classes)
     order = np.argsort(classes.astype(np.uint16), kind="stable")
     ends = np.searchsorted(classes[order], np.arange(layout.word_classes + 1))
-    by_class, wanted = states[:, order], targets[order]
-    inside = np.zeros(len(order))
-    within = []
-    for c in np.flatnonzero(np.diff(ends)):
-        own, words = slice(ends[c], ends[c + 1]), slice(layout.cuts[c], layout.cuts[c + 1])
-        if words.stop - words.start > 1:  # the only word of a class is certain
-            of_word = w["uw"][words] @ by_class[:, own]
-            of_word += w["bw"][words, None]
-            sums, inside[own] = _softmax(of_word, wanted[own] - words.start)
-            within.append((words, own, of_word, sums))
-    logs = logs.astype(np.float64)
-    logs[order] += inside
-    return logs, classes, of_class, total, order, by_class, wanted, within
+    return classes, order, states[:, order], targets[order], ends
+
+
+def log_probabilities(w, layout: Layout, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    classes, order, by_class, wanted, ends = by_classes(layout, states, targets)
+    out, inside = np.zeros(len(order)), np.zeros(len(order))
+    for cut, _, _, logs in class_blocks(w, states, classes):
+        out[cut] = logs
+    for _, own, _, _, logs in word_blocks(w, layout, by_class, wanted, ends):
+        inside[own] = logs
+    out[order] += inside
+    return out
 
 
 def score_documents(w, layout: Layout, documents: list[np.ndarray]) -> np.ndarray:
@@ -196,7 +211,7 @@ def score_documents(w, layout: Layout, documents: list[np.ndarray]) -> np.ndarra
                 states[:, ends[t] : ends[t + 1]] = h
             last = tokens[-1]
             inside = np.arange(live) < counts[:, None]
-            logs, *_ = outputs(w, layout, states, tokens[inside])
+            logs = log_probabilities(w, layout, states, tokens[inside])
             out[lanes[:live]] += np.bincount(np.nonzero(inside)[1], logs, minlength=live)
     return out / np.log(10)
 
@@ -250,22 +265,27 @@ class Trainer:
             h = _gate(w, px[t], np.multiply(h, on[t], out=prior[t]), (zr[t], hc[t], new[t], states[t]))
         targets, mask = tokens.ravel(), real.ravel()
         flat = states.transpose(1, 0, 2).reshape(d, -1)
-        _, classes, dc, total, order, by_class, wanted, within = outputs(w, self.layout, flat, targets)
+        classes, order, by_class, wanted, ends = by_classes(self.layout, flat, targets)
         weight = (mask / max(1, mask.sum())).astype(kind)
-        g = {}
-        dc *= weight / total
-        dc[classes, np.arange(len(targets))] -= weight
-        g["wc"], g["bc"] = flat @ dc.T, dc.sum(axis=1)
-        ds = w["wc"] @ dc
+        g = {"wc": np.zeros_like(w["wc"]), "bc": np.zeros_like(w["bc"])}
+        ds = np.empty_like(flat)
+        for cut, dc, total, _ in class_blocks(w, flat, classes):
+            dc *= weight[cut] / total
+            dc[classes[cut], np.arange(dc.shape[1])] -= weight[cut]
+            g["wc"] += flat[:, cut] @ dc.T
+            g["bc"] += dc.sum(axis=1)
+            ds[:, cut] = w["wc"] @ dc
         of_words, weight = np.zeros_like(by_class), weight[order]
-        met, outer, bias = [], [], []
-        for words, own, dw, sums in within:
-            dw *= weight[own] / sums
+        g["uw"], g["bw"] = np.zeros_like(w["uw"]), np.zeros_like(w["bw"])
+        met = []
+        for words, own, dw, total, _ in word_blocks(w, self.layout, by_class, wanted, ends):
+            dw *= weight[own] / total
             dw[wanted[own] - words.start, np.arange(dw.shape[1])] -= weight[own]
-            met.append(np.arange(words.start, words.stop))
-            outer.append(dw @ by_class[:, own].T)
-            bias.append(dw.sum(axis=1))
-            np.matmul(w["uw"][words].T, dw, out=of_words[:, own])
+            if not met or met[-1] != words:
+                met.append(words)
+            g["uw"][words] += dw @ by_class[:, own].T
+            g["bw"][words] += dw.sum(axis=1)
+            of_words[:, own] = w["uw"][words].T @ dw
         ds[:, order] += of_words
         ds = ds.reshape(d, steps, n).transpose(1, 0, 2)
         z, r = zr[:, :d], zr[:, d:]
@@ -297,8 +317,10 @@ class Trainer:
         rows = {"embed": inputs[at[starts]]}
         g["embed"] = np.add.reduceat(dx[at], starts)
         if met:
-            rows["uw"] = rows["bw"] = np.concatenate(met)
-            g["uw"], g["bw"] = np.concatenate(outer), np.concatenate(bias)
+            rows["uw"] = rows["bw"] = np.concatenate([np.arange(m.start, m.stop) for m in met])
+            g["uw"], g["bw"] = g["uw"][rows["uw"]], g["bw"][rows["bw"]]
+        else:
+            del g["uw"], g["bw"]
         norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
         self.step += 1
         for name, value in g.items():
