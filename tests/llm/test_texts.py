@@ -386,6 +386,46 @@ def test_gradients_of_the_recurrent_model():
     assert all(abs(v / norm - 1) < 0.02 for v in caught.values()), caught
 
 
+def test_classes_of_words_cost_evenly():
+    for counts in (np.ones(1), np.ones(500), np.arange(400, 0, -1) ** 3, np.array([10**9, *[1] * 300]), np.zeros(7), np.zeros(0)):
+        cuts = gru_lm.class_cuts(counts)
+        share = (counts + 0.5) / max((counts + 0.5).sum(), 1)
+        assert cuts[0] == 0 and cuts[-1] == len(counts) and (np.diff(cuts) > 0).all()
+        parts = [share[a:b].sum() * (b - a) for a, b in zip(cuts[:-1], cuts[1:])]
+        assert all(p <= 1 + 1e-9 or b - a == 1 for p, a, b in zip(parts, cuts[:-1], cuts[1:]))
+        # no class could take its next word too
+        assert all(share[a : b + 1].sum() * (b + 1 - a) > 1 - 1e-9 for a, b in zip(cuts[:-2], cuts[1:-1]))
+    layout = gru_lm.Layout(400, 3, np.arange(400, 0, -1) ** 3)
+    assert list(layout.class_of(np.array([0, 399, 400, 402]))) == [0, *(layout.word_classes + np.array([-1, 0, 2]))]
+
+
+def test_a_window_changes_only_the_rows_it_meets():
+    layout = gru_lm.Layout(300, 4)
+    weights = gru_lm.start_weights(layout, np.ones(layout.word_classes + 4), np.ones(300))
+    before = {k: v.copy() for k, v in weights.items()}
+    gru_lm.Trainer(weights, layout).fit([np.array([5, 5, 290, 0])])
+    moved = {k: set(np.flatnonzero((weights[k] != before[k]).reshape(len(weights[k]), -1).any(axis=1))) for k in ("embed", "uw")}
+    assert moved["embed"] <= {0, 5, 290} and {0, 5} <= moved["embed"]
+    met = {c for c in layout.class_of(np.array([5, 290, 0]))}
+    assert moved["uw"] == {i for c in met for i in range(layout.cuts[c], layout.cuts[c + 1])}
+
+
+def test_blocks_of_logits_change_nothing(monkeypatch):
+    layout = gru_lm.Layout(200, 4, np.arange(200, 0, -1))
+    weights = gru_lm.start_weights(layout, np.ones(layout.word_classes + 4), np.ones(200))
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 204, n) for n in (90, 1, 0, 40, 333)]
+    results = []
+    for block, lanes in ((1, 2), (7, 3), (1 << 20, 512)):
+        monkeypatch.setattr(gru_lm, "BLOCK", block)
+        monkeypatch.setattr(gru_lm, "SCORE_LANES", lanes)
+        fitted = {k: v.copy() for k, v in weights.items()}
+        gru_lm.Trainer(fitted, layout).fit(docs, lanes=4)
+        results.append((gru_lm.score_documents(weights, layout, docs), gru_lm.flatten(fitted)))
+    for scores, flat in results[1:]:
+        assert np.allclose(scores, results[0][0], rtol=1e-4) and np.allclose(flat, results[0][1], atol=3e-3)
+
+
 def test_probabilities_add_up():
     layout = gru_lm.Layout(120, 4)
     weights = gru_lm.start_weights(layout, np.arange(1, layout.word_classes + 5), np.arange(120))
