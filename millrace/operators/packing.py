@@ -78,6 +78,20 @@ def number_instances(chunks: DataFrame, manifest: DataFrame) -> DataFrame:
     ).drop("__path", "__start")
 
 
+def instance_ids(manifest: DataFrame, name: str = "instance_id", piece: int = 1 << 16) -> DataFrame:
+    """Every index that a file of the manifest covers, one a row; empty files cover none.
+
+    A file is listed in stretches of ``piece`` indices first, which are dealt to all cores, so no row
+    and no task holds all indices of a file.
+    """
+    stretches = manifest.where(F.col("end") > F.col("start")).select(
+        "end", F.explode(F.sequence("start", F.col("end") - 1, F.lit(piece).cast("bigint"))).alias("__from")
+    )
+    cores = manifest.sparkSession.sparkContext.defaultParallelism
+    last = F.least(F.col("__from") + piece, F.col("end")) - 1
+    return stretches.repartition(cores, "__from").select(F.explode(F.sequence("__from", last)).alias(name))
+
+
 def locate_instance(requests: DataFrame, manifest: DataFrame, index: str = "index", strict: bool = True) -> DataFrame:
     """File and local index of global indices; negative ones count from the end.
 

@@ -54,7 +54,7 @@ SELECT instance_id AS index, shard_id AS path, chunk AS local_index FROM chunks
 UNION ALL SELECT CAST(instance_id - n AS BIGINT), shard_id, chunk FROM chunks CROSS JOIN total""")
 def locate_instance(spark, sf):
     manifest = _manifest(spark, sf)
-    every = manifest.select(F.explode(F.sequence("start", F.col("end") - 1)).alias("index"))
+    every = packing.instance_ids(manifest, "index")
     negative = every.select((F.col("index") - manifest.agg(F.max("end")).scalar()).alias("index"))
     return packing.locate_instance(every.unionByName(negative), manifest)
 

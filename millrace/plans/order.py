@@ -213,7 +213,7 @@ SELECT position % {WORLD} AS rank, position // {WORLD} // {BATCH} AS step, posit
        instance_id, shard_id AS path, chunk AS local_index FROM o2 JOIN chunks USING (instance_id)""")
 def trace_lookup(spark, sf):
     manifest = _manifest(spark, sf)
-    every = manifest.select(F.explode(F.sequence("start", F.col("end") - 1)).alias("instance_id"))
+    every = packing.instance_ids(manifest)
     striped = ordering.rank_stripe(ordering.seeded_order(every, SEED), WORLD)
     used = striped.select(
         "rank", F.floor(F.col("local") / BATCH).cast("bigint").alias("step"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import evaluation, ordering, synthetic, tasks, tokenize
+from millrace.operators import evaluation, ordering, packing, synthetic, tasks, tokenize
 from millrace.plans import shared
 from millrace.plans.chat import PAIR_LEN
 from millrace.session import shared_folder
@@ -131,3 +131,13 @@ def test_late_steps_stop_the_stream(spark, tmp_path):
     stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(folder)
     with pytest.raises(Exception, match="came after"):
         run_to_table(spark, metrics_stream(stream, 2, 2.0, 0, 1), str(tmp_path / "out"), str(tmp_path / "cp"))
+
+
+@pytest.mark.parametrize("piece", [1, 3, 7, 1 << 16])
+def test_indices_of_files_come_in_stretches(spark, piece):
+    files = [("a", 0, 7), ("b", 7, 7), ("c", 7, 8), ("d", 8, 30)]
+    manifest = spark.createDataFrame(files, "path string, start bigint, end bigint")
+    got = [r["index"] for r in packing.instance_ids(manifest, "index", piece).collect()]
+    assert sorted(got) == list(range(30))
+    assert packing.instance_ids(manifest.where("start = end"), piece=piece).count() == 0
+    assert packing.instance_ids(manifest.limit(0), piece=piece).schema.simpleString() == "struct<instance_id:bigint>"
