@@ -169,6 +169,18 @@ def test_near_thresholds_are_counted_exactly(spark):
             assert got == (44 if sites >= 10 and texts >= 10 else 0)
 
 
+def test_the_query_removes_lines_by_sites_alone(spark, tmp_path):
+    from millrace.llm.queries import op1_line_dedup
+
+    # one text on ten sites, one on nine, and four texts with a line of their own copied to twelve
+    rows = [(i, "on ten\nevery copy", "en", f"s{i}", 0) for i in range(10)] + [(20 + i, "on nine", "en", f"s{i}", 0) for i in range(9)]
+    rows += [(40 + i, f"own {i % 4}\nshared\nmore {i % 4}\nshared\nend {i % 4}", "en", f"s{i}", 0) for i in range(12)]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in op1_line_dedup(spark, str(tmp_path)).collect()}
+    assert all(got[i] == ("", 2) for i in range(10)) and all(got[20 + i] == ("on nine", 0) for i in range(9))
+    assert all(got[40 + i] == (f"own {i % 4}\nmore {i % 4}\nend {i % 4}", 2) for i in range(12))
+
+
 def test_lines_of_odd_rows(spark):
     df = documents(spark, clash=True)
     got = line_dedup.remove_boilerplate(df, min_sites=2)
