@@ -15,7 +15,7 @@ from millrace.functions import arrays as A
 from millrace.functions.text import WORD, strip, words
 from millrace.operators.normalize import join_turns
 from millrace.operators.prefix import running_offset
-from millrace.session import stage
+from millrace.session import small_batches, stage
 
 # Reserved ids and the vocabulary size that 16-bit ids were chosen for.
 EOS, PAD, UNK, NEWLINE = 0, 1, 2, 3
@@ -116,6 +116,7 @@ class Vocabulary:
         if len(tokens) > MAX_WORDS:
             raise ValueError("ids must fit 16 bits")
         self.size = len(tokens) + len(RESERVED)
+        small_batches(spark)
         self._shared = spark.sparkContext.broadcast(list(tokens))
 
     @classmethod
