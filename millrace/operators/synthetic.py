@@ -144,14 +144,8 @@ def parse_masking_response(df: DataFrame, response: str = "response", question:
 def clean_program(text: Column) -> Column:
     """From the first line that begins a function or a docstring to before the first line,
     that one included, with a closing remark or a code fence."""
-    lines = F.split(text, "\n")
-    starts = F.array_position(F.transform(lines, lambda x: x.startswith("def") | x.startswith("'''")), F.lit(True))
-    tail = F.slice(lines, F.greatest(starts, F.lit(1)).cast("int"), F.size(lines))
-    ends = F.array_position(
-        F.transform(tail, lambda x: F.contains(F.lower(x), F.lit("program ends")) | F.contains(x, F.lit("```"))), F.lit(True)
-    )
-    kept = F.when(ends == 0, tail).otherwise(F.slice(tail, F.lit(1), F.greatest(ends - 1, F.lit(0)).cast("int")))
-    return F.when(starts == 0, F.lit("")).otherwise(F.array_join(kept, "\n"))
+    begun = F.regexp_extract(text, r"(?:^|\n)((?:def|''')[\s\S]*)", 1)
+    return F.regexp_replace(begun, r"(?:^|\n)[^\n]*(?:```|(?i:program ends))[\s\S]*", "")
 
 
 def _drop_heading(lines: Column) -> Column:
@@ -208,18 +202,22 @@ def score_candidates(candidates: DataFrame, cases: DataFrame, case: str = "case_
     )
 
 
-def first_correct_program(candidates: DataFrame, cases: DataFrame, case: str = "case_id") -> DataFrame:
+def first_correct_program(
+    candidates: DataFrame, cases: DataFrame, case: str = "case_id", program: str = "program", clean: Callable[[Column], Column] | None = None
+) -> DataFrame:
     """(case, ordinal, program): the first candidate whose rounded result is the rounded gold.
 
     Rounding is half to even. The program takes place 0 of its case, with an import in front
-    when it uses the math module. Cases without a match are left out.
+    when it uses the math module. Cases without a match are left out. ``clean`` makes the program of the
+    text in ``program``; only texts that are chosen are cleaned.
     """
     gold = cases.select(case, F.bround(gold_number(F.col("answer"))).alias("__gold"))
-    program = F.when(
-        F.contains("program", F.lit("math.")), F.concat(F.lit("import math\n\n"), F.col("program"))
-    ).otherwise(F.col("program"))
     fits = candidates.join(gold, case).where(F.bround(to_float("result")) == F.col("__gold"))
-    return fits.groupBy(case).agg(F.min("ordinal").alias("ordinal"), F.min_by(program, "ordinal").alias("program"))
+    chosen = fits.groupBy(case).agg(F.min("ordinal").alias("ordinal"), F.min_by(program, "ordinal").alias("program"))
+    if clean is not None:
+        chosen = chosen.withColumn("program", clean(F.col("program")))
+    imported = F.concat(F.lit("import math\n\n"), F.col("program"))
+    return chosen.withColumn("program", F.when(F.contains("program", F.lit("math.")), imported).otherwise(F.col("program")))
 
 
 def build_calls(cases: DataFrame, case: str = "case_id") -> DataFrame:

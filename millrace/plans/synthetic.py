@@ -274,7 +274,7 @@ best AS (SELECT case_id, min(ordinal) AS ordinal, arg_min(program, ordinal) AS p
 
 
 def _first_correct(spark: SparkSession, sf: str) -> DataFrame:
-    return S.first_correct_program(_candidates(spark, sf), _cases(spark, sf))
+    return S.first_correct_program(_programs(spark, sf), _cases(spark, sf), program="response", clean=S.clean_program)
 
 
 @query("first_correct_program", f"WITH {SQL_CORRECT} SELECT case_id, ordinal, program FROM best")
