@@ -34,10 +34,17 @@ def _turns(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations")
 
 
+def _encoded_chats(spark: SparkSession, sf: str) -> DataFrame:
+    return tokenize.chat_encode(_turns(spark, sf), chat_vocab(spark, sf), seq_len=CHAT_LEN)
+
+
+def _fitted(encoded: DataFrame) -> DataFrame:
+    return tokenize.fit_to_length(encoded, CHAT_LEN)
+
+
 def _chat_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Fixed-length chat rows (conv_id, input_ids, label_mask, n_labels)."""
-    encoded = tokenize.chat_encode(_turns(spark, sf), chat_vocab(spark, sf), seq_len=CHAT_LEN)
-    return tokenize.fit_to_length(encoded, CHAT_LEN)
+    return _fitted(_encoded_chats(spark, sf))
 
 
 def _as_text(df: DataFrame) -> DataFrame:
@@ -142,7 +149,8 @@ def count_tokens(spark, sf):
 SELECT conv_id, md5(input_ids) AS ids_md5, md5(label_mask) AS mask_md5, CAST({CHAT_LEN} AS BIGINT) AS n_tokens FROM rows_""")
 def write_token_shards(spark, sf):
     path = fresh_path(spark, "shards")
-    writers.write_token_shards(_chat_rows(spark, sf), path, "conv_id")
+    # rows are put in order before they are filled up
+    writers.write_token_shards(_encoded_chats(spark, sf), path, "conv_id", finish=_fitted, bits=12)
     back = spark.read.parquet(path)
     return back.select(
         "conv_id",
@@ -157,7 +165,7 @@ SELECT row_number() OVER (ORDER BY conv_id) - 1 AS instance_id, md5(input_ids) A
 def flat_token_files(spark, sf):
     """Rows written end to end without structure and cut into chunks again."""
     path = fresh_path(spark, "flat")
-    flat_tokens.write_flat_tokens(_chat_rows(spark, sf), path, "conv_id")
+    flat_tokens.write_flat_tokens(_encoded_chats(spark, sf), path, "conv_id", finish=_fitted)
     back = flat_tokens.read_flat_tokens(spark, path, CHAT_LEN)
     return back.select("instance_id", F.md5(joined_ids(F.col("input_ids"))).alias("ids_md5"), F.md5(joined_ids(F.col("label_mask"))).alias("mask_md5"))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +27,7 @@ LIST = "_files.json"
 SCHEMA = "instance_id bigint, input_ids array<int>, label_mask array<boolean>"
 SPLIT_TOKENS = 16 << 20
 STEP_TOKENS = 1 << 20
-RANGE_BITS = 16
+RANGE_BITS = 12
 KINDS = {"uint8": "<u1", "uint16": "<u2", "uint32": "<u4", "uint64": "<u8"}
 
 
@@ -230,12 +230,22 @@ def use_flat_tokens(spark: SparkSession) -> None:
     spark.dataSource.register(FlatTokens)
 
 
-def write_flat_tokens(df: DataFrame, path: str, key: str, ids: str = "input_ids", mask: str = "label_mask", dtype: str = "uint16") -> None:
-    """Rows as flat files, in order of a unique integer key; each range of keys is a file of its own."""
+def write_flat_tokens(
+    df: DataFrame, path: str, key: str, ids: str = "input_ids", mask: str = "label_mask", dtype: str = "uint16",
+    finish: Callable[[DataFrame], DataFrame] | None = None,
+) -> None:
+    """Rows as flat files, in order of a unique integer key; each range of keys is a file of its own.
+
+    ``finish`` is a projection of the rows that are in order, such as the one that fills them up to a length.
+    """
+    from millrace.session import small_batches
     from millrace.sources.writers import in_ranges
 
     use_flat_tokens(df.sparkSession)
     rows = in_ranges(df.select(F.col(key).cast("bigint").alias("key"), ids, mask), "key", bits=RANGE_BITS)
+    if finish is not None:
+        rows = finish(rows).select("key", ids, mask)
+    small_batches(df.sparkSession)
     rows.write.format(FORMAT).mode("append").option("dtype", dtype).save(path)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -31,13 +31,19 @@ def in_ranges(df: DataFrame, order: str, by: Sequence[str] = (), bits: int = 16)
     return df.repartition(*by, F.shiftright(order, bits)).sortWithinPartitions(*by, order)
 
 
-def write_token_shards(df: DataFrame, path: str, order: str, shard: str | None = None) -> None:
+def write_token_shards(
+    df: DataFrame, path: str, order: str, shard: str | None = None, finish: Callable[[DataFrame], DataFrame] | None = None, bits: int = 16
+) -> None:
     """Encoded rows with ids and masks side by side, in order within each file.
 
+    ``finish`` is a projection of the rows that are in order, such as the one that fills them up to a
+    length: what it adds is not moved or sorted. At most 2**``bits`` keys are a range.
+
     Ids and mask share a row, so they cannot drift apart. A hot shard is many files; sorting
     inside a file gives row groups that chunk reads can skip.
     """
-    writer = in_ranges(df, order, [shard] if shard else []).write
+    rows = in_ranges(df, order, [shard] if shard else [], bits)
+    writer = (rows if finish is None else finish(rows)).write
     if shard:
         writer = writer.partitionBy(shard)
     writer.parquet(path)
