@@ -27,7 +27,7 @@ LIST = "_files.json"
 SCHEMA = "instance_id bigint, input_ids array<int>, label_mask array<boolean>"
 SPLIT_TOKENS = 16 << 20
 STEP_TOKENS = 1 << 20
-RANGE_BITS = 12
+RANGE_BITS = 16
 KINDS = {"uint8": "<u1", "uint16": "<u2", "uint32": "<u4", "uint64": "<u8"}
 
 
