@@ -82,6 +82,52 @@ class CountTree:
         return np.minimum(self.points[q], other).sum(axis=1, dtype=np.int64)
 
 
+def fine_counts(hashes: np.ndarray) -> np.ndarray:
+    """Counts of a set of uint64 hashes in ``GROUPS`` equal parts, or so many times two that they hold 16 on average at most."""
+    bits = 6 + max(0, (len(hashes) - 1).bit_length() - 10)
+    return np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int32)
+
+
+def may_link(points: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether the counts of two sets, in the coarser of their two resolutions, allow similarity ``num/den``."""
+    width = np.array([len(p) for p in points])
+    size = np.array([p.sum() for p in points], np.int64)
+    common = np.minimum(width[left], width[right])
+    good = np.minimum(size[left], size[right]) * den >= num * np.maximum(size[left], size[right])
+    for groups in np.unique(common[good]).tolist():
+        pairs = np.flatnonzero(good & (common == groups))
+        step = max(1, CELLS // groups)
+        for at in range(0, len(pairs), step):
+            own = pairs[at : at + step]
+            rows, place = np.unique(np.concatenate((left[own], right[own])), return_inverse=True)
+            folded = np.array([points[i].reshape(groups, -1).sum(axis=1) for i in rows.tolist()])
+            bound = np.minimum(folded[place[: len(own)]], folded[place[len(own) :]]).sum(axis=1, dtype=np.int64)
+            good[own] = bound * (num + den) >= num * (size[left[own]] + size[right[own]])
+    return good
+
+
+def allowed_forest(points: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the graph of pairs whose counts allow similarity ``num/den``."""
+    parent = np.arange(len(points))
+    found = []
+    for left, right in CountTree(np.array([p.reshape(GROUPS, -1).sum(axis=1) for p in points])).pairs(num, den):
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        apart = parent[left] != parent[right]
+        left, right = left[apart], right[apart]
+        good = may_link(points, left, right, num, den)
+        for i, j in zip(left[good].tolist(), right[good].tolist()):
+            a, b = i, j
+            while parent[a] != a:
+                a = parent[a]
+            while parent[b] != b:
+                b = parent[b]
+            if a != b:
+                parent[a] = b
+                found.append((i, j))
+    return found
+
+
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two sorted sets."""
     if len(a) > len(b):

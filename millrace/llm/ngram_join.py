@@ -3,7 +3,7 @@
 A set of shingles is a class with all documents that have it. Classes are brought together
 without loss by the pigeonhole principle: two similar sets differ in at most ``r`` shingles, so
 when both are cut into more than ``r`` parts of the hash range, some part is the same in both.
-Classes that share a part form blocks; in each block a packed R-tree over group counts bounds the
+Classes that share a part, and whose counts of hashes allow them to be similar, form blocks; in each block a packed R-tree over group counts bounds the
 overlap of pairs by summed coordinate minima, and what survives is verified on the sets. Only
 links that join components are returned, so a group of near copies never becomes all its pairs.
 """
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.llm.components import star_forest
-from millrace.llm.count_rtree import linked
+from millrace.llm.count_rtree import allowed_forest, fine_counts, linked, may_link
 from millrace.llm.words import mix, shingle_sets
 from millrace.session import stage
 
@@ -28,6 +28,10 @@ TILE = 8192
 TILE_BYTES = 48 << 20
 SEEN = 1 << 18
 PART_ROWS = 1 << 18
+# Most classes of a part that are compared by their counts; those of a wider part are all in one block.
+WIDE = 8192
+# Groups of up to so many classes are compared many at a time.
+FEW = 32
 BROADCAST_ROWS = 1 << 20
 # Shingle sets below this size are brought together by single shingles of their prefix.
 SMALL = 32
@@ -44,9 +48,10 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     ignored. An empty table gives none.
     """
     texts = docs.select("doc_id", "text")
-    sets = stage(texts.mapInArrow(lambda batches: _classes(batches, size), "doc_id bigint, n_shingles bigint, class bigint"), "shingle-sets")
+    sets = texts.mapInArrow(lambda batches: _classes(batches, size), "doc_id bigint, n_shingles bigint, class bigint, counts binary")
+    sets = stage(sets, "shingle-sets")
     parts = texts.select("text").mapInArrow(lambda batches: _parts(batches, size, percent), "part bigint, class bigint")
-    hints = stage(_shared_parts(parts), "shared-parts")
+    hints = stage(_hints(stage(_shared_parts(parts), "shared-parts"), sets, percent), "block-hints")
     blocks = star_forest(hints)
     blocks = blocks.unionByName(blocks.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "block")
     links = stage(_links(docs, sets, blocks, size, percent), "links")
@@ -76,11 +81,14 @@ def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 def _classes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [(len(h), class_of(h)) for h in shingle_sets(batch.column("text"), size)]
-        numbers = np.array(found, np.int64).reshape(-1, 2)
+        found = [(len(h), class_of(h), fine_counts(h).tobytes()) for h in shingle_sets(batch.column("text"), size)]
+        numbers = np.array([f[:2] for f in found], np.int64).reshape(-1, 2)
         yield pa.record_batch(
-            [batch.column("doc_id").cast(pa.int64()), pa.array(np.ascontiguousarray(numbers[:, 0])), pa.array(np.ascontiguousarray(numbers[:, 1]))],
-            names=["doc_id", "n_shingles", "class"],
+            [
+                batch.column("doc_id").cast(pa.int64()), pa.array(np.ascontiguousarray(numbers[:, 0])),
+                pa.array(np.ascontiguousarray(numbers[:, 1])), pa.array([f[2] for f in found], pa.binary()),
+            ],
+            names=["doc_id", "n_shingles", "class", "counts"],
         )
 
 
@@ -170,26 +178,104 @@ def part_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _shared_parts(parts: DataFrame) -> DataFrame:
-    """(a, b): for every part, its smallest class with each other class that has it."""
+    """(group, class, first): the classes of every part that several have, once for all parts of the same classes.
+
+    A part of more than ``WIDE`` classes has no group, but its first class beside each other one.
+    """
     runs = parts.repartition("part").sortWithinPartitions("part", "class")
-    return runs.mapInArrow(_runs, "a bigint, b bigint").distinct()
+    return runs.mapInArrow(_runs, "group bigint, class bigint, first bigint").distinct()
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams sorted (part, class) rows; keeps only the part and class that the last run began with."""
-    part = first = None
+    """Streams sorted (part, class) rows; keeps the last run, or only its part and first class once it is wide."""
+    keys, names = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    wide = None
+    for batch in batches:
+        keys = np.concatenate((keys, batch.column("part").to_numpy(zero_copy_only=False)))
+        names = np.concatenate((names, batch.column("class").to_numpy(zero_copy_only=False)))
+        new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (names[1:] != names[:-1])))[: len(keys)]
+        keys, names = keys[new], names[new]
+        if wide is not None:
+            more = int(np.searchsorted(keys != wide[0], True)) if len(keys) else 0
+            yield _run_rows(None, names[:more][names[:more] != wide[1]], wide[1])
+            keys, names = keys[more:], names[more:]
+            if not len(keys):
+                continue
+            wide = None
+        last = int(np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))[-1]) if len(keys) else 0
+        yield _groups(keys[:last], names[:last])
+        keys, names = keys[last:], names[last:]
+        if len(keys) > WIDE:
+            wide = int(keys[0]), int(names[0])
+            yield _run_rows(None, names[1:], wide[1])
+            keys, names = keys[:0], names[:0]
+    yield _groups(keys, names)
+
+
+def _groups(keys: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
+    """Rows of the runs of several classes; runs of the same classes have one group, and come once."""
+    if not len(keys):
+        return _run_rows(names, names)
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    lengths = np.diff(np.concatenate((starts, [len(keys)])))
+    several = lengths > 1
+    names, lengths = names[np.repeat(several, lengths)], lengths[several]
+    if not len(names):
+        return _run_rows(names, names)
+    groups = mix(np.add.reduceat(mix(names.view(np.uint64)), np.cumsum(lengths) - lengths) + lengths.astype(np.uint64)).view(np.int64)
+    once = np.zeros(len(groups), bool)
+    once[np.unique(groups, return_index=True)[1]] = True
+    return _run_rows(np.repeat(groups[once], lengths[once]), names[np.repeat(once, lengths)])
+
+
+def _run_rows(groups: np.ndarray | None, names: np.ndarray, first: int | None = None) -> pa.RecordBatch:
+    none = pa.nulls(len(names), pa.int64())
+    return pa.record_batch(
+        [none if groups is None else pa.array(groups), pa.array(names), none if first is None else pa.array(np.full(len(names), first))],
+        names=["group", "class", "first"],
+    )
+
+
+def _hints(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): edges that connect all classes which share a part and whose counts allow them to be similar."""
+    members = shared.where("group is not null").select("group", "class")
+    counts = sets.where("n_shingles > 0").join(members.select("class").distinct(), "class", "left_semi")
+    counts = counts.groupBy("class").agg(F.first("counts").alias("counts"))
+    rows = members.join(counts, "class").repartition("group").sortWithinPartitions("group")
+    met = rows.select("group", "class", "counts").mapInArrow(lambda batches: _allowed(batches, percent), "a bigint, b bigint")
+    return shared.where("group is null").select(F.col("first").alias("a"), F.col("class").alias("b")).unionByName(met).distinct()
+
+
+def _allowed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Streams rows sorted by group; keeps the last group."""
+    groups, names, points = np.zeros(0, np.int64), np.zeros(0, np.int64), []
     for batch in batches:
-        keys = batch.column("part").to_numpy(zero_copy_only=False)
-        names = batch.column("class").to_numpy(zero_copy_only=False)
-        if not len(keys):
-            continue
-        begins = np.concatenate(([part is None or keys[0] != part], keys[1:] != keys[:-1]))
-        at = np.maximum.accumulate(np.where(begins, np.arange(len(keys)), -1))
-        heads = np.where(at >= 0, names[at], names[0] if first is None else first)
-        part, first = int(keys[-1]), int(heads[-1])
-        other = heads != names
-        pairs = np.unique(np.stack([heads[other], names[other]]), axis=1)
-        yield pa.record_batch([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
+        groups = np.concatenate((groups, batch.column("group").to_numpy(zero_copy_only=False)))
+        names = np.concatenate((names, batch.column("class").to_numpy(zero_copy_only=False)))
+        points += [np.frombuffer(c.as_buffer(), np.int32) for c in batch.column("counts")]
+        last = int(np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1])))[-1]) if len(groups) else 0
+        yield _allowed_pairs(groups[:last], names[:last], points[:last], percent)
+        groups, names, points = groups[last:], names[last:], points[last:]
+    yield _allowed_pairs(groups, names, points, percent)
+
+
+def _allowed_pairs(groups: np.ndarray, names: np.ndarray, points: list[np.ndarray], percent: int) -> pa.RecordBatch:
+    starts = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1]))[: len(groups)])
+    lengths = np.diff(np.concatenate((starts, [len(groups)])))
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for length in np.unique(lengths[lengths <= FEW]).tolist():
+        own = starts[lengths == length][:, None]
+        i, j = np.triu_indices(length, 1)
+        left.append((own + i).ravel())
+        right.append((own + j).ravel())
+    left, right = np.concatenate(left), np.concatenate(right)
+    good = may_link(points, left, right, percent, 100)
+    left, right = left[good], right[good]
+    for start, length in zip(starts[lengths > FEW].tolist(), lengths[lengths > FEW].tolist()):
+        found = np.array(allowed_forest(points[start : start + length], percent, 100), np.int64).reshape(-1, 2) + start
+        left, right = np.concatenate((left, found[:, 0])), np.concatenate((right, found[:, 1]))
+    pairs = np.unique(np.stack((names[left], names[right])), axis=1)
+    return pa.record_batch([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
 
 
 def _links(docs: DataFrame, sets: DataFrame, blocks: DataFrame, size: int, percent: int) -> DataFrame:

@@ -111,6 +111,54 @@ def test_large_blocks_are_cut_into_tiles(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == groups(rows, 3, 90)
 
 
+def test_common_passages_alone_make_no_block(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    common = [" ".join(f"c{k}_{i}" for i in range(7)) for k in range(6)]
+    rows = []
+    for i in range(300):
+        own = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 12)) for _ in common]
+        rows.append((i, " ".join(w for pair in zip(own, rng.permutation(common)) for w in pair)))
+    rows += [(300 + i, t + " end") for i, t in rows[:20]]
+    blocks, links = [], ngram_join._links
+    monkeypatch.setattr(ngram_join, "_links", lambda *a: blocks.append(a[2].groupBy("block").count().agg(F.max("count")).first()[0]) or links(*a))
+    got = ngram_join.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, 80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i % 300 if i >= 300 else i for i, _ in rows}
+    assert blocks == [2]
+
+
+def test_wide_parts_and_large_groups_lose_no_link(spark, monkeypatch):
+    rows = [(i * 3, t) for i, t in enumerate(texts(120, 5, 12))]
+    wanted = groups(rows, 3, 90)
+    for wide, few in ((3, 32), (8192, 2)):
+        monkeypatch.setattr(ngram_join, "WIDE", wide)
+        monkeypatch.setattr(ngram_join, "FEW", few)
+        table = spark.createDataFrame(rows, "doc_id bigint, text string")
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_groups(table, 3, 90).collect()} == wanted
+    keys = np.repeat(np.arange(5), [1, 3, 12, 2, 3])
+    names = np.concatenate(([7], [1, 2, 2], np.arange(12), [1, 2], [4, 4, 4]))
+    batches = [pa.record_batch([pa.array(keys[a : a + 4]), pa.array(names[a : a + 4])], names=["part", "class"]) for a in range(0, 21, 4)]
+    monkeypatch.setattr(ngram_join, "WIDE", 3)
+    got = {(r["group"] is None, r["class"], r["first"]) for b in ngram_join._runs(iter(batches)) for r in b.to_pylist()}
+    assert got == {(False, 1, None), (False, 2, None)} | {(True, n, 0) for n in range(1, 12)}
+
+
+def test_counts_never_exclude_a_similar_set():
+    rng = np.random.default_rng(4)
+    whole = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)) for n in (1, 5, 60, 1000, 1030, 2100, 5000)]
+    sets = [s[rng.random(len(s)) < share] for s in whole for share in (1, 0.97, 0.93, 0.88, 0.83)]
+    points = [count_rtree.fine_counts(s) for s in sets]
+    left, right = np.triu_indices(len(sets), 1)
+    similar = np.array([5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j])) for i, j in zip(left, right)])
+    similar &= [len(sets[i]) > 0 for i in left]
+    good = count_rtree.may_link(points, left, right, 80, 100)
+    assert similar.sum() > 40 and good[similar].all() and not good.all()
+    forest = count_rtree.allowed_forest(points, 80, 100)
+    names = list(range(len(sets)))
+    for i, j in forest:
+        names = [names[i] if n == names[j] else n for n in names]
+    assert all(names[i] == names[j] for i, j in zip(left[similar], right[similar]))
+
+
 def test_groups_of_odd_rows(spark):
     got = ngram_join.near_groups(documents(spark, clash=True), 3, 90).collect()
     assert len(got) == len(ROWS)
