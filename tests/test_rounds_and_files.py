@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import random
 from collections import Counter
 
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThan
 
-from millrace.operators import cycle, placing
+from millrace.operators import cycle, placing, synthetic
 from millrace.operators.synthetic import gold_number
 from millrace.sources import flat_tokens, writers
 from millrace.sources.commits import CommitLog
@@ -79,6 +80,21 @@ def test_cycle_ends_each_case_in_its_round(solved):
     assert found[4].programs == ["", ""]
 
 
+def test_programs_are_cleaned_as_line_by_line(spark):
+    rng = random.Random(5)
+    bits = ["def", "'''", "\n", "\n", "\n", "```", "Program Ends", "PROGRAM ENDS", "program  ends", " ", "x", "é", "\r", "\u2028", "\x85", "de", "`"]
+    told = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))) for i in range(3000)] + [(3000, "def f" + "\nx = 1" * 50_000 + "\n```")]
+
+    def cleaned(text):
+        lines = text.split("\n")
+        begin = next((i for i, line in enumerate(lines) if line.startswith(("def", "'''"))), len(lines))
+        end = next((i for i in range(begin, len(lines)) if "```" in lines[i] or "program ends" in lines[i].lower()), len(lines))
+        return "\n".join(lines[begin:end])
+
+    got = spark.createDataFrame(told, "i int, t string").select("i", synthetic.clean_program(F.col("t")).alias("p")).collect()
+    assert dict(got) == {i: cleaned(t) for i, t in told}
+
+
 def test_rounds_ask_only_open_cases(solved):
     _, asked = solved
     assert [(k, n) for k, n, _ in asked] == [("mask", 0), ("program", 0), ("program", 1), ("mask", 2), ("program", 2), ("program", 3), ("mask", 4), ("program", 4), ("program", 5)]
