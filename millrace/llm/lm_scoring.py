@@ -2,8 +2,9 @@
 
 Tokens are words and one end per document. All counts are taken from all training documents;
 words are known by a 64-bit hash. The most frequent words' counts go to every task; how often
-rarer words occur is joined to the documents that have them, so no count is cut off. The recurrent
-weights start from a bounded sample and are then fitted on every partition to all of its training
+rarer words occur is joined to the documents that have them, so no count is cut off. Texts are read
+twice, to be counted and to be turned into numbers of words, which are kept; training and scoring read
+those. The recurrent weights start from a bounded sample and are then fitted on every partition to all of its training
 documents, and averaged, weighted by tokens.
 """
 
@@ -15,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -36,6 +38,8 @@ SLOT = 1 << 14
 SHAPES = 30
 END = np.uint64(0)
 COLLECT = 1 << 19
+# Tokens that are scored at once, in whole documents.
+SCORED = 1 << 21
 
 
 def shape_of(raw: np.ndarray, words: Words) -> np.ndarray:
@@ -45,7 +49,9 @@ def shape_of(raw: np.ndarray, words: Words) -> np.ndarray:
     last = raw[words.ends - 1]
     letter = ((last | 32) >= 97) & ((last | 32) <= 122) | (last >= 128)
     kind = np.select([letter, last == 46, last == 44, (last >= 48) & (last <= 57)], [0, 1, 2, 3], 4)
-    wide = np.maximum.reduceat(raw, words.starts) >= 128
+    wide = np.zeros(len(words.starts), bool)
+    beyond = np.flatnonzero(raw >= 128)
+    wide[np.searchsorted(words.starts, beyond, "right") - 1] = True
     size = words.ends - words.starts
     return kind * 6 + wide * 3 + (size > 4) + (size > 8)
 
@@ -69,15 +75,22 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h, k, n = (np.concatenate(x) for x in zip(*held))
-        values, first, number = np.unique(h, return_index=True, return_inverse=True)
-        return values, k[first], np.bincount(number, n).astype(np.int64)
+        return counted(h, k, n)
+
+    def counted(h, k, n=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        coded = pa.array(h.view(np.int64)).dictionary_encode()
+        number = coded.indices.to_numpy()
+        values = coded.dictionary.to_numpy().view(np.uint64)
+        shapes = np.zeros(len(values), np.int64)
+        shapes[number[::-1]] = k[::-1]  # the first stays
+        return values, shapes, np.bincount(number, n, len(values)).astype(np.int64)
 
     def out(h, k, n):
         return pa.record_batch([pa.array(h.view(np.int64)), pa.array(k, pa.int32()), pa.array(n)], names=["h", "k", "n"])
 
     for batch in batches:
         for hashes, shapes, _ in token_runs(batch.column("text")):
-            held.append((hashes, shapes, np.ones(len(hashes))))
+            held.append(counted(hashes, shapes))
             if sum(len(x[0]) for x in held) > COLLECT:
                 held = [merged()]
                 if len(held[0][0]) > COLLECT // 2:
@@ -122,7 +135,7 @@ class Counts:
         for r in counts.groupBy("k").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
             shapes[r["k"]] = (r["c"], r["n"])
         rest = shapes - used
-        layout = gru_lm.Layout(words, SHAPES, c[:words])
+        layout = gru_lm.Layout(words, SHAPES, c[:words], rest[:, 0])
         blocks = np.add.reduceat(c[:words], layout.cuts[:-1]) if words else np.zeros(0)
         order = np.argsort(h)
         ids = np.where(np.arange(len(h)) < words, np.arange(len(h)), -1)
@@ -133,52 +146,82 @@ class Counts:
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count or -1, model id or -1) of each token."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1), np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        known = self.hashes[at] == hashes
-        return np.where(known, self.counts[at], -1), np.where(known, self.model_ids[at], -1)
+        at = pc.index_in(pa.array(hashes.view(np.int64)), value_set=pa.array(self.hashes.view(np.int64)))
+        at = pc.fill_null(at, len(self.hashes)).to_numpy()
+        return np.append(self.counts, -1)[at], np.append(self.model_ids, -1)[at]
 
-    def model_tokens(self, hashes: np.ndarray, shapes: np.ndarray) -> np.ndarray:
-        ids = self.look_up(hashes)[1]
-        return np.where(ids >= 0, ids, self.layout.words + shapes)
 
+# --- numbers of words ------------------------------------------------------------------
 
-# --- weights ---------------------------------------------------------------------------
+
+def encode(docs: DataFrame, training: Column, counts: Counts) -> DataFrame:
+    """A row per document: its sums that need no model, the words that are not among the frequent ones, and all tokens' numbers.
+
+    (doc_id, trained, row, n_tokens, n_known, base, inside, rare, ids); ids are 32-bit numbers in bytes.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        of_shapes = np.log10(held.shape_size)
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            at = 0
+            for hashes, shapes, bounds in token_runs(batch.column("text")):
+                n = len(bounds) - 1
+                c, ids = held.look_up(hashes)
+                owner = np.repeat(np.arange(n), np.diff(bounds))
+                logs = np.log10(np.maximum(c, 0) + 1.0)
+                inside = np.where(ids < 0, logs - of_shapes[shapes], 0.0)
+                rare = np.concatenate(([0], np.cumsum(c < 0)))[bounds]
+                tokens = np.where(ids >= 0, ids, held.layout.words + shapes).astype(np.int32)
+                yield pa.record_batch(
+                    [batch.column("doc_id").slice(at, n), batch.column("trained").slice(at, n), pa.array(row + np.arange(n)),
+                     pa.array(np.diff(bounds)), pa.array(np.bincount(owner[c > 0], minlength=n)),
+                     pa.array(np.bincount(owner, logs, n)), pa.array(np.bincount(owner, inside, n)),
+                     pa.ListArray.from_arrays(pa.array(rare, pa.int32()), pa.array(hashes[c < 0].view(np.int64))),
+                     pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((bounds * 4).astype(np.int32)), pa.py_buffer(tokens)])],
+                    names=["doc_id", "trained", "row", "n_tokens", "n_known", "base", "inside", "rare", "ids"],
+                )
+                at, row = at + n, row + n
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(training, F.lit(False)).alias("trained"), "text").mapInArrow(
+        encoded,
+        "doc_id bigint, trained boolean, row bigint, n_tokens bigint, n_known bigint, base double, inside double, rare array<bigint>, ids binary",
+    )
+
+
+def _documents(ids: pa.Array) -> list[np.ndarray]:
+    """Numbers of the words of every document."""
+    offsets = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1] // 4
+    tokens = np.frombuffer(ids.buffers()[2] or b"", np.int32, count=int(offsets[-1]) if len(offsets) else 0)
+    return [tokens[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
 
 
-def _documents(texts: pa.Array, counts: Counts) -> list[np.ndarray]:
-    out = []
-    for hashes, shapes, bounds in token_runs(texts):
-        ids = counts.model_tokens(hashes, shapes)
-        out += [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
-    return out
+# --- weights ---------------------------------------------------------------------------
 
 
 def fit(docs: DataFrame, counts: Counts) -> np.ndarray:
     """Weights of the recurrent model, as one flat array."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(counts)
-    chosen = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_DOCS)
+    return refine(stage(encode(docs, F.lit(True), counts), "training-words"), counts)
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [d.astype(np.int32).tobytes() for d in _documents(batch.column("text"), shared.value)]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = sorted(map(tuple, sample.mapInArrow(encoded, "doc_id bigint, ids binary").collect()))[:START_DOCS]
+def refine(encoded: DataFrame, counts: Counts) -> np.ndarray:
+    """Weights from the documents of ``encode``."""
+    spark = encoded.sparkSession
+    chosen = encoded.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_DOCS)
+    sample = encoded.select("doc_id", "ids").join(F.broadcast(chosen), "doc_id")
+    rows = sorted((i, bytes(ids)) for i, ids in sample.collect())[:START_DOCS]
     start = gru_lm.start_weights(counts.layout, counts.class_counts, counts.word_counts)
-    sequences = [np.frombuffer(ids, np.int32).astype(np.int64) for _, ids in rows]
-    gru_lm.Trainer(start, counts.layout).fit(sequences, passes=2)
+    gru_lm.Trainer(start, counts.layout).fit([np.frombuffer(ids, np.int32) for _, ids in rows], passes=2)
+    layout = spark.sparkContext.broadcast(counts.layout)
     begun = spark.sparkContext.broadcast(gru_lm.flatten(start))
 
     def refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        layout = shared.value.layout
-        trainer = gru_lm.Trainer(gru_lm.unflatten(begun.value, layout), layout, rate=0.006)
+        trainer = gru_lm.Trainer(gru_lm.unflatten(begun.value, layout.value), layout.value, rate=0.006)
         seen = 0
         for batch in batches:
-            seen += trainer.fit(_documents(batch.column("text"), shared.value), lanes=LANES)
+            seen += trainer.fit(_documents(batch.column("ids")), lanes=LANES)
         if seen:
             flat = gru_lm.flatten(trainer.w)
             parts = [flat[at : at + SLOT].tobytes() for at in range(0, len(flat), SLOT)]
@@ -188,7 +231,7 @@ def fit(docs: DataFrame, counts: Counts) -> np.ndarray:
             )
 
     means = (
-        docs.select("text").mapInArrow(refined, "slot int, seen bigint, part binary")
+        encoded.select("ids").mapInArrow(refined, "slot int, seen bigint, part binary")
         .groupBy("slot").applyInArrow(_mean, "slot int, part binary").collect()  # a row per SLOT weights
     )
     if not means:
@@ -219,61 +262,37 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     learned = docs.where(training)
     table = stage(word_counts(learned), "word-counts")
     counts = Counts.of(table)
-    weights = fit(learned, counts) if counts.tokens else np.zeros(0, np.float32)
-    shared, flat = spark.sparkContext.broadcast(counts), spark.sparkContext.broadcast(weights)
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
-        model = gru_lm.unflatten(flat.value, held.layout) if held.tokens else None
-        row = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            columns = {n: [] for n in ("row", "n_tokens", "n_known", "base", "model", "rare")}
-            for hashes, shapes, bounds in token_runs(batch.column("text")):
-                c, ids = held.look_up(hashes)
-                owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-                logs = np.log10(np.maximum(c, 0) + 1.0)
-                sums = lambda v: np.bincount(owner, v, minlength=len(bounds) - 1)  # noqa: B023, E731
-                base = sums(logs)
-                inside = sums(np.where(ids < 0, logs - np.log10(held.shape_size[shapes]), 0.0))
-                tokens = np.where(ids >= 0, ids, held.layout.words + shapes)
-                if model is not None:
-                    inside += gru_lm.score_documents(model, held.layout, [tokens[a:b] for a, b in zip(bounds[:-1], bounds[1:])])
-                for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
-                    columns["rare"].append(hashes[a:b][c[a:b] < 0].view(np.int64))
-                    columns["row"].append(row + i)
-                row += len(bounds) - 1
-                columns["n_tokens"].append(np.diff(bounds))
-                columns["n_known"].append(sums(c > 0).astype(np.int64))
-                columns["base"].append(base)
-                columns["model"].append(inside)
-            rare = columns.pop("rare")
-            ends = np.concatenate(([0], np.cumsum([len(r) for r in rare]))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rare, np.zeros(0, np.int64)]), pa.int64()))
-            numbers = columns.pop("row")
-            arrays = [pa.array(np.concatenate(v) if v else np.zeros(0)) for v in columns.values()]
-            yield pa.record_batch(
-                [batch.column("doc_id"), batch.column("trained"), pa.array(numbers, pa.int64()), arrays[0].cast(pa.int64()),
-                 arrays[1].cast(pa.int64()), *arrays[2:], lists],
-                names=["doc_id", "trained", "row", *columns, "rare"],
-            )
-
-    kept = stage(
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(training, F.lit(False)).alias("trained"), "text").mapInArrow(
-            scored,
-            "doc_id bigint, trained boolean, row bigint, n_tokens bigint, n_known bigint, base double, model double, rare array<bigint>",
-        ),
-        "scored-documents",
-    )
-    # each rare word of a document once, with how often it has it
-    rare = kept.select("row", F.explode("rare").alias("h")).groupBy("h", "row").agg(F.count("*").alias("n"))
-    found = rare.join(table.select("h", "c"), "h").groupBy("row").agg(
-        F.sum(F.col("n") * F.log10(F.col("c") + F.lit(1.0))).alias("logs"), F.sum("n").alias("known")
+    kept = stage(encode(docs, training, counts), "document-words")
+    scored = kept.drop("rare", "ids").withColumn("model", F.lit(0.0))
+    if counts.tokens:
+        layout, flat = (spark.sparkContext.broadcast(x) for x in (counts.layout, refine(kept.where("trained"), counts)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = gru_lm.unflatten(flat.value, layout.value)
+            for batch in batches:
+                documents = _documents(batch.column("ids"))
+                ends = np.cumsum([len(d) for d in documents])
+                logs, at = [], 0
+                while at < len(documents):
+                    stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SCORED, "right")))
+                    logs.append(gru_lm.score_documents(model, layout.value, documents[at:stop]))
+                    at = stop
+                if logs:
+                    yield batch.drop_columns(["ids"]).append_column("model", pa.array(np.concatenate(logs)))
+
+        scored = kept.drop("rare").mapInArrow(
+            run, "doc_id bigint, trained boolean, row bigint, n_tokens bigint, n_known bigint, base double, inside double, model double"
+        )
+    # no word here is frequent, so rows of one are few, and neither side has to be sorted
+    rare = kept.select("row", F.explode("rare").alias("h"))
+    found = rare.join(table.select("h", "c").hint("shuffle_hash"), "h").groupBy("row").agg(
+        F.sum(F.log10(F.col("c") + F.lit(1.0))).alias("logs"), F.count("*").alias("known")
     )
     space = float(np.log10(counts.tokens + counts.distinct + 1))
     logs = F.coalesce("logs", F.lit(0.0))
     base = F.col("base") + logs - F.col("n_tokens") * F.lit(space)
-    return kept.drop("rare").join(found, "row", "left").select(
+    return scored.join(found, "row", "left").select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(counts.tokens).cast("bigint").alias("train_tokens"), base.alias("base_score"),
-        (F.col("model") + logs if counts.tokens else base).alias("score"), "trained",
+        (F.col("model") + F.col("inside") + logs if counts.tokens else base).alias("score"), "trained",
     )
