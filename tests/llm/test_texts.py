@@ -437,6 +437,73 @@ def test_probabilities_add_up():
     assert abs(parts[0] - gru_lm.score_documents(weights, layout, [long])[0]) < 1e-3 and parts[2] > parts[1] > parts[0]
 
 
+def plain_score(w, layout, doc):
+    """One token after the other, in double precision."""
+    d, h, last, total = gru_lm.STATE, np.zeros(gru_lm.STATE), 0, 0.0
+
+    def share(u, b, rows, row):
+        x = w[u][rows] @ h + w[b][rows]
+        return x[row - rows.start] - x.max() - np.log(np.exp(x - x.max()).sum())
+
+    for t in doc:
+        x, g = w["embed"][last] @ w["wx"] + w["b"], h @ w["wh"]
+        z, r = (1 / (1 + np.exp(-x[k : k + d] - g[k : k + d])) for k in (0, d))
+        new = np.tanh(x[2 * d :] + r * g[2 * d :])
+        h, last = (1 - z) * new + z * h, t
+        c = int(layout.class_of(np.array([t]))[0])
+        group = int(np.searchsorted(layout.group_cuts, c, "right")) - 1
+        total += share("wg", "bg", slice(0, len(layout.group_cuts) - 1), group)
+        total += share("wc", "bc", slice(*layout.group_cuts[group : group + 2]), c)
+        if t < layout.words:
+            total += share("uw", "bw", slice(*layout.cuts[c : c + 2]), t)
+    return total / math.log(10)
+
+
+def test_scores_equal_a_plain_loop():
+    layout = gru_lm.Layout(150, 4, np.arange(150, 0, -1), np.array([9, 1, 0, 400]))
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(0, 154, n) for n in (0, 300, 1, 7, 129, 64, 2)]
+    weights = gru_lm.start_weights(layout, np.arange(1, layout.word_classes + 5), np.arange(150))
+    for factor in (1, 3, 400):  # 400: exponentials of the logits as they are would pass single precision
+        w = {k: v * np.float32(factor) if k in ("wg", "wc", "uw") else v for k, v in weights.items()}
+        expected = [plain_score({k: v.astype(np.float64) for k, v in w.items()}, layout, doc) for doc in docs]
+        assert np.allclose(gru_lm.score_documents(w, layout, docs), expected, rtol=2e-3, atol=1e-3)
+        trained = {k: v.copy() for k, v in w.items()}
+        gru_lm.Trainer(trained, layout).fit(docs)
+        assert all(np.isfinite(v).all() for v in trained.values())
+
+
+def test_a_token_meets_few_logits():
+    counts = 10**7 / np.arange(1, 14_673)
+    layout = gru_lm.Layout(len(counts), 30, counts, np.full(30, counts.sum() / 70))
+    every = np.concatenate((np.add.reduceat(counts, layout.cuts[:-1]), layout.shape_counts))
+    share = every / every.sum()
+    logits = len(layout.group_cuts) - 1
+    logits += sum(share[a:b].sum() * (b - a) for a, b in zip(layout.group_cuts[:-1], layout.group_cuts[1:]))
+    logits += (share[: layout.word_classes] * np.diff(layout.cuts)).sum()
+    assert logits < 90  # all classes, and the words of one, were more than 170
+
+
+def test_lanes_take_whole_documents_evenly(monkeypatch):
+    monkeypatch.setattr(gru_lm, "SCORE_LANES", 3)
+    lanes = gru_lm._lanes(np.array([1, 8, 0, 5, 5, 4, 1]))
+    assert sorted(i for held in lanes for i in held) == list(range(7))
+    assert [sum([1, 8, 0, 5, 5, 4, 1][i] for i in held) for held in lanes] in ([9, 9, 6], [9, 8, 7])
+
+
+def test_kept_numbers_are_those_of_the_texts(spark):
+    rows = [(1, "a b a"), (2, None), (3, "\u00e9t\u00e9 b"), (4, ""), (5, "x " * 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    counts = lm_scoring.Counts.of(lm_scoring.word_counts(docs))
+    got = lm_scoring.encode(docs, F.col("doc_id") != 5, counts).orderBy("doc_id").collect()
+    numbers = [np.frombuffer(bytes(r["ids"]), np.int32).tolist() for r in got]
+    assert [len(x) for x in numbers] == [r["n_tokens"] for r in got] == [4, 1, 3, 1, 10]
+    assert numbers[0][0] == numbers[0][2] != numbers[0][1] == numbers[2][1] and {x[-1] for x in numbers} == {0}
+    assert [r["trained"] for r in got] == [True] * 4 + [False] and all(r["rare"] == [] for r in got)
+    column = pa.array([bytes(r["ids"]) for r in got])
+    assert [x.tolist() for x in lm_scoring._documents(column.slice(1, 3))] == numbers[1:4]
+
+
 def test_scores_beat_counts_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
