@@ -112,6 +112,56 @@ def test_a_killed_cycle_goes_on(spark, tmp_path, solved, stop):
     assert again == found and asked == []
 
 
+def test_query_has_the_rounds_of_the_original(spark, tmp_path, monkeypatch):
+    from millrace.plans import synthetic as plan
+
+    # one order whose first line is right, and one that nothing solves: its answer is "1,002"
+    orders = [(1, 5, 10.5, "F"), (11, 5, 10.5, "F")]
+    lines = [(1, 1, 3, 1, 2, 7.0), (11, 1, 3, 1, 2, 7.0)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(
+        lines, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity bigint, l_extendedprice double"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    asked = []
+    whole = cycle.solve_cases
+
+    def short(cases, log, model, runner, outer=30, inner=5, seed=96):
+        asked.append((outer, inner))
+        return whole(cases, log, model, runner, 2, inner, seed)  # the other 28 are alike
+
+    monkeypatch.setattr(plan.cycle, "solve_cases", short)
+    found = {r.case_id: r for r in plan.iterative_rounds(spark, str(tmp_path)).collect()}
+    assert asked == [(30, 5)]
+    assert (found[1]["round"], found[1].solved, found[1].n_programs, found[1].n_prev) == (0, 1, 1, 0)
+    assert (found[11]["round"], found[11].solved, found[11].n_programs, found[11].n_prev) == (9, 0, 5, 1)
+
+
+def test_earlier_attempts_keep_their_order_and_null_ids(spark, tmp_path):
+    cases = spark.createDataFrame([(1, "Buy 2?", "#### 8"), (None, "Buy 2?", "#### 9")], "case_id bigint, question string, answer string")
+    told = spark.createDataFrame([(1, MASKED)], "case_id bigint, response string")
+    asked = []
+
+    def model(kind, number, prompts):
+        asked.append((kind, number, sorted(str(r.prompt[-1].content) for r in prompts.collect())))
+        return told if kind == "mask" else spark.createDataFrame([(1, program(str(number)))], "case_id bigint, response string")
+
+    def runner(number, calls):
+        solvable = [(1, f"def answer(x): return {number}", "num_x=2")] if number < 9 else []
+        assert sorted((r.case_id or 0, r.program, r.parameters) for r in calls.collect()) == [(0, "", ""), *solvable]
+        return spark.createDataFrame([(1, str(number))], "case_id bigint, result string")
+
+    log = CommitLog(spark, str(tmp_path))
+    found = {r.case_id: r for r in cycle.solve_cases(cases, log, model, runner, 4, 3).collect()}
+    assert [list(p.results) for p in found[1].prev] == [["0", "1", "2"], ["3", "4", "5"]] and found[1].results == ["6", "7", "8"]
+    assert (found[1]["round"], found[1].solved, found[1].correct) == (8, True, 100 / 3)
+    assert (found[None]["round"], found[None].solved, found[None].answer, len(found[None].prev)) == (11, False, "#### 9", 3)
+    assert [p.programs for p in found[None].prev] == [["", "", ""]] * 3
+    assert all(texts == ["Buy 2?", "Buy 2?"] for _, _, texts in asked[:12])
+    # a round's table has what its outer round added, no earlier attempts
+    tables = [log.read(commit) for commit in log.commits().values()]
+    assert len(tables) == 12 and all("prev" not in t.columns and t.selectExpr("max(size(programs))").first()[0] <= 3 for t in tables)
+
+
 def test_commits_are_lines_not_folders(spark, tmp_path):
     log = CommitLog(spark, str(tmp_path))
     assert log.commits() == {}
